@@ -321,3 +321,40 @@ NON_COMPANY_HOSTS = [
     "google.com",
     "docs.google",
 ]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: default mailbox keyword filter (words and quoted phrases, OR-ed)
+# ---------------------------------------------------------------------------
+
+SEARCH_TERMS = [
+    "interview",
+    "call",
+    "scheduling",
+    "ראיון",
+    "טלפוני",
+    "שיחה",
+    "לתאם",
+    "זימון",
+    "applying",
+    "application",
+    "applied",
+    "candidate",
+    "candidacy",
+    "recruiting",
+    "recruiter",
+    "position",
+    "role",
+    "opportunity",
+    "resume",
+    "thank you for applying",
+    "HR",
+    "תפקיד",
+    "משרה",
+    "גיוס",
+    "מועמד",
+    "מועמדות",
+    "מועמדותך",
+    "קורות חיים",
+    'קו"ח',
+    "דרושים",
+]

@@ -122,3 +122,10 @@ def role_cut_re2() -> str:
 
 
 ROLE_APPLY_PREFIX = "(?i)^apply"
+
+
+def whole_terms(terms: list[str]) -> str:
+    """Case-insensitive whole-word / whole-phrase match of any term. The
+    boundary is consumed instead of looked around, so Java and RE2 agree."""
+    edge = r"[^\p{L}\p{N}_]"
+    return "(?i)(?:^|" + edge + ")" + alternatives(terms) + "(?:" + edge + "|\\z)"

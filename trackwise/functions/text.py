@@ -40,6 +40,16 @@ def mail_text(subject: str | Column = "subject", body: str | Column = "body") ->
     return F.concat_ws("\n", blank(subject), blank(body))
 
 
+def keyword_filter(df, terms: list[str] | None = None, cols=("subject", "body")):
+    """FLT-01: rows whose subject or body holds any term as a whole word/phrase."""
+    pat = P.whole_terms(terms or fixed.SEARCH_TERMS)
+    cond = None
+    for c in cols:
+        m = blank(c).rlike(pat)
+        cond = m if cond is None else cond | m
+    return df.filter(cond)
+
+
 # ---------------------------------------------------------------------------
 # FLT-04 / FN-09: rule classifier
 # ---------------------------------------------------------------------------

@@ -120,20 +120,48 @@ def cluster_keys(
             F.struct((-F.col("b_cnt")).alias("c"), F.col("b_first").alias("f"))
         ).alias("early_rank"),
     )
-    directed = cut_lineage(directed)
+    directed = directed.persist()
+
+    # Keys that are never "late" lead. A late key with such a neighbour follows
+    # at once; only keys whose earlier neighbours are all late themselves (a
+    # chain) need the round-based resolution below.
+    lates = directed.select(F.col("late").alias("key")).distinct()
+    flagged = directed.join(lates.select(F.col("key").alias("early"), F.lit(1).alias("early_late")), "early", "left")
+    first_pass = flagged.groupBy("late").agg(F.min(F.coalesce("early_late", F.lit(0))).alias("all_late"))
+    pending = first_pass.filter(F.col("all_late") == 1)
+    if pending.isEmpty():
+        state = lates.withColumn("state", F.lit("F")).unionByName(
+            directed.select(F.col("early").alias("key")).distinct().join(lates, "key", "left_anti").withColumn("state", F.lit("L"))
+        )
+    else:
+        state = _resolve_rounds(directed, lates, max_rounds)
 
-    # initial states: a key with an earlier neighbour is undecided, every other key in an edge leads
-    lates = directed.select(F.col("late").alias("key")).distinct().withColumn("state", F.lit("U"))
-    earlies = directed.select(F.col("early").alias("key")).distinct()
-    state = earlies.join(lates, "key", "left_anti").withColumn("state", F.lit("L")).unionByName(lates)
-    state = cut_lineage(state)
+    leaders = state.filter(F.col("state") == "L").select(F.col("key").alias("early"))
+    follow = (
+        directed.join(leaders, "early", "left_semi")
+        .join(state.filter(F.col("state") == "F").select(F.col("key").alias("late")), "late", "left_semi")
+        .groupBy("late")
+        .agg(F.min_by("early", "early_rank").alias("canonical"))
+        .select(F.col("late").alias("key"), "canonical")
+    )
+    out = stats.join(follow, "key", "left").select(
+        "key", F.coalesce("canonical", "key").alias("canonical"), "cnt", "first_seen"
+    )
+    out = cut_lineage(out)
+    directed.unpersist()
+    return out
 
-    rounds = 0
-    while rounds < max_rounds:
+
+def _resolve_rounds(directed: DataFrame, lates: DataFrame, max_rounds: int) -> DataFrame:
+    """Round-based leader election for chains; state is checkpointed per round."""
+    state = directed.select(F.col("early").alias("key")).distinct().join(lates, "key", "left_anti").withColumn(
+        "state", F.lit("L")
+    ).unionByName(lates.withColumn("state", F.lit("U")))
+    state = cut_lineage(state)
+    for _ in range(max_rounds):
         undecided = state.filter(F.col("state") == "U").select(F.col("key").alias("late"))
         if undecided.isEmpty():
-            break
-        rounds += 1
+            return state
         incoming = directed.join(undecided, "late", "left_semi").join(
             state.select(F.col("key").alias("early"), F.col("state").alias("es")), "early"
         )
@@ -147,15 +175,4 @@ def cluster_keys(
         state = cut_lineage(
             state.join(decided, "key", "left").select("key", F.coalesce("new_state", "state").alias("state"))
         )
-    else:
-        raise RuntimeError("clustering did not converge")
-
-    leaders = state.filter(F.col("state") == "L").select(F.col("key").alias("early"))
-    follow = (
-        directed.join(leaders, "early", "left_semi")
-        .join(state.filter(F.col("state") == "F").select(F.col("key").alias("late")), "late", "left_semi")
-        .groupBy("late")
-        .agg(F.min_by("early", "early_rank").alias("canonical"))
-        .select(F.col("late").alias("key"), "canonical")
-    )
-    return stats.join(follow, "key", "left").select("key", F.coalesce("canonical", "key").alias("canonical"))
+    raise RuntimeError("clustering did not converge")

@@ -62,8 +62,7 @@ def assign_clusters(events: DataFrame, min_contain: int = fixed.CONTAIN_MIN_LEN,
     ev = events.withColumn("gkey", group_key())
     stats = ev.groupBy("gkey").agg(F.count(F.lit(1)).alias("cnt"), F.min("seq").alias("first_seen"))
     stats = stats.withColumnRenamed("gkey", "key")
-    canon = cluster_keys(stats, min_contain, min_len)
-    keyed = stats.join(canon, "key").select(
+    keyed = cluster_keys(stats, min_contain, min_len).select(
         F.col("key").alias("gkey"), "cnt", "first_seen", F.col("canonical").alias("cluster")
     )
     return ev.join(keyed, "gkey")

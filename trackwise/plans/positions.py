@@ -17,6 +17,7 @@ def build_positions(
     ordered: bool = True,
 ) -> DataFrame:
     ev = P.assign_clusters(tracker, min_contain, min_len)
-    ev = P.segment_events(ev)
+    # the segmented events feed four aggregations; keep them instead of recomputing the window
+    ev = P.segment_events(ev).persist()
     pos = P.position_rollup(ev, as_of, tz).join(P.cluster_rank(ev), "cluster")
     return P.order_positions(pos) if ordered else pos
