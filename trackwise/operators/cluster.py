@@ -56,8 +56,8 @@ def _deletions(keys: DataFrame) -> DataFrame:
 
 
 def similarity_edges(keys: DataFrame, min_contain: int = fixed.CONTAIN_MIN_LEN, min_len: int = 0) -> DataFrame:
-    """Undirected similar pairs (a, b), a < b, over a DataFrame with column ``key``."""
-    k = keys.select("key").filter(F.col("key") != UNKNOWN).distinct().withColumn("len", F.length("key"))
+    """Undirected similar pairs (a, b), a < b, over distinct keys in column ``key``."""
+    k = keys.select("key").filter(F.col("key") != UNKNOWN).withColumn("len", F.length("key"))
 
     edit_keys = k.filter(F.col("len") >= min_len)
     dels = _deletions(edit_keys)
@@ -107,7 +107,7 @@ def cluster_keys(
 
     Ranking: ``cnt`` descending, then ``first_seen`` ascending (first seen = the
     smallest ``seq`` of the key's rows)."""
-    stats = key_stats.select("key", "cnt", "first_seen")
+    stats = key_stats.select("key", "cnt", "first_seen").persist()
     edges = similarity_edges(stats, min_contain, min_len)
     sa = stats.select(F.col("key").alias("a"), F.col("cnt").alias("a_cnt"), F.col("first_seen").alias("a_first"))
     sb = stats.select(F.col("key").alias("b"), F.col("cnt").alias("b_cnt"), F.col("first_seen").alias("b_first"))
@@ -149,6 +149,7 @@ def cluster_keys(
     )
     out = cut_lineage(out)
     directed.unpersist()
+    stats.unpersist()
     return out
 
 

@@ -50,4 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persist first: a reliable checkpoint otherwise computes its input twice
+    df = df.persist()
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
