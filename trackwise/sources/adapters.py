@@ -19,7 +19,7 @@ from trackwise.functions import text as T
 
 TRACKER_AS_OF = "2024-01-20T12:00:00Z"
 MAIL_AS_OF = "2026-06-10T12:00:00Z"
-MAIL_CURSOR = 1780560000  # 2026-06-04T08:00:00Z, epoch seconds
+MAIL_CURSOR = 1780359600  # 2026-06-02T00:20:00Z, epoch seconds
 PROCESSED_AT = "2026-06-01T00:00:00.000Z"
 CANDIDATE = "Candidate Name"
 OWN_ADDRESS = "me@inbox.example"
