@@ -168,7 +168,24 @@ alerts AS (
   FROM tracker WHERE category IN ('Invitation', 'Offer')
 )"""
 
+def _mail_tracker() -> str:
+    from trackwise import fixed
+
+    idx = f"((conv_id + turn) % {len(fixed.CATEGORIES)})"
+    step = _case(idx, [fixed.DEFAULT_STEP[x] for x in fixed.CATEGORIES])
+    return f"""
+mail_tracker AS (
+  SELECT received, 'Co' || CAST(conv_id AS VARCHAR) AS company, 'co' || CAST(conv_id AS VARCHAR) AS company_key,
+    'Role ' || CAST(turn % 3 AS VARCHAR) AS role, {step} AS step, {_case(idx, fixed.CATEGORIES)} AS category,
+    CASE WHEN turn % 3 = 1 THEN '2026-06-15T10:00' ELSE '' END AS interview_datetime, subject AS summary,
+    CASE WHEN turn % 7 = 3 THEN 'Withdrawn' ELSE {step} END AS status, 'ai' AS source, thread_id, '' AS link,
+    '' AS interviewer, CASE WHEN conv_id % 4 = 0 THEN '' ELSE message_id END AS message_id, seq
+  FROM mail
+)"""
+
+
 _VIEWS = {
+    "mail_tracker": (_mail_tracker(), ["mail"]),
     "tracker": (TRACKER, []),
     "mail": (MAIL, []),
     "processed": (PROCESSED, ["mail"]),

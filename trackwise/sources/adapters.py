@@ -361,3 +361,33 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "seq",
         (F.col("seq") % 2 == 0).alias("pending"),
     )
+
+
+def mail_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracker rows for the mail archive as an older classifier left them (the
+    input of the repair passes): category by (conv_id + turn) % 5, its default
+    step, a hand-set Withdrawn on some rows, an interview time on every third
+    turn, and no message id on every 4th conversation (pre-migration rows)."""
+    from trackwise import fixed
+
+    m = mail(spark, sf_dir)
+    c, t = F.col("conv_id"), F.col("turn")
+    idx = (c + t) % len(fixed.CATEGORIES)
+    step = _pick(idx, [fixed.DEFAULT_STEP[x] for x in fixed.CATEGORIES])
+    return m.select(
+        "received",
+        F.concat(F.lit("Co"), c.cast("string")).alias("company"),
+        F.concat(F.lit("co"), c.cast("string")).alias("company_key"),
+        F.concat(F.lit("Role "), (t % 3).cast("string")).alias("role"),
+        step.alias("step"),
+        _pick(idx, fixed.CATEGORIES).alias("category"),
+        F.when(t % 3 == 1, F.lit("2026-06-15T10:00")).otherwise(F.lit("")).alias("interview_datetime"),
+        F.col("subject").alias("summary"),
+        F.when(t % 7 == 3, F.lit("Withdrawn")).otherwise(step).alias("status"),
+        F.lit("ai").alias("source"),
+        "thread_id",
+        F.lit("").alias("link"),
+        F.lit("").alias("interviewer"),
+        F.when(c % 4 == 0, F.lit("")).otherwise(F.col("message_id")).alias("message_id"),
+        "seq",
+    )
