@@ -148,3 +148,43 @@ def reprocess_diff(spark, sf_dir):
         candidate=CFG.candidate,
     )
     return out["changes"]
+
+
+_UPD_STATUSES = ["Interviewing", "Offer", "Maybe", "Rejected"]
+
+
+def _updates(spark, sf_dir):
+    t = A.mail_tracker(spark, sf_dir)
+    pick = F.element_at(F.array(*[F.lit(x) for x in _UPD_STATUSES]), (F.col("seq") % 4 + 1).cast("int"))
+    a = t.filter(F.col("seq") % 7 == 0).select(
+        F.when(F.col("message_id") != "", F.col("message_id")).otherwise(F.col("thread_id")).alias("id"),
+        pick.alias("status"),
+        F.col("seq").alias("ord"),
+    )
+    b = t.filter(F.col("seq") % 13 == 0).select(
+        F.concat(F.lit("nope-"), F.col("seq").cast("string")).alias("id"), F.lit("Offer").alias("status"), (F.col("seq") + 1_000_000_000).alias("ord")
+    )
+    return a.unionByName(b)
+
+
+@register(
+    "update_status",
+    with_views("mail", "mail_tracker")
+    + f"""SELECT t.seq, coalesce(p.status, t.status) AS status FROM mail_tracker t LEFT JOIN (
+  SELECT target, first(status ORDER BY ord DESC) AS status FROM (
+    SELECT ok.status, ok.ord, coalesce(bym.seq_m, byt.seq_t) AS target FROM (
+      SELECT * FROM (
+        SELECT CASE WHEN message_id <> '' THEN message_id ELSE thread_id END AS id,
+               [{', '.join(D.q(x) for x in _UPD_STATUSES)}][seq % 4 + 1] AS status, seq AS ord
+        FROM mail_tracker WHERE seq % 7 = 0
+        UNION ALL SELECT 'nope-' || CAST(seq AS VARCHAR), 'Offer', seq + 1000000000 FROM mail_tracker WHERE seq % 13 = 0)
+      WHERE status IN {D.qlist(['Applied', 'Interviewing', 'Offer', 'Rejected', 'Withdrawn', 'Archived'])}) ok
+    LEFT JOIN (SELECT message_id, min(seq) AS seq_m FROM mail_tracker WHERE message_id <> '' GROUP BY 1) bym ON bym.message_id = ok.id
+    LEFT JOIN (SELECT thread_id, first(seq ORDER BY received DESC, seq ASC) AS seq_t FROM mail_tracker GROUP BY 1) byt ON byt.thread_id = ok.id)
+  WHERE target IS NOT NULL GROUP BY target) p ON p.target = t.seq""",
+)
+def update_status(spark, sf_dir):
+    """ML-01 + FLT-11 + JN-09 + SNK-04: whitelisted status updates resolved to
+    their target rows (message id, else latest row of the thread) and patched."""
+    patched, _rejected = R.update_status(A.mail_tracker(spark, sf_dir), _updates(spark, sf_dir))
+    return patched.select("seq", "status")

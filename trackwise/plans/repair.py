@@ -58,7 +58,7 @@ def resolve_targets(tracker: DataFrame, updates: DataFrame) -> DataFrame:
     )
     u = updates.join(by_msg, updates["id"] == by_msg["message_id"], "left").drop("message_id")
     u = u.join(by_thread, u["id"] == by_thread["thread_id"], "left").drop("thread_id")
-    return u.select("id", "status", F.coalesce("seq_m", "seq_t").alias("target_seq"))
+    return u.select(*updates.columns, F.coalesce("seq_m", "seq_t").alias("target_seq"))
 
 
 def apply_patch(base: DataFrame, patch: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -74,9 +74,10 @@ def update_status(tracker: DataFrame, updates: DataFrame) -> tuple[DataFrame, Da
     ok, bad = validate_status(updates)
     targets = resolve_targets(tracker, ok)
     unknown = targets.filter(F.col("target_seq").isNull()).select("id", "status")
-    # several updates to one row: the last one in update order wins
+    # several updates to one row: the last one in update order (``ord``, else id) wins
+    order = "ord" if "ord" in updates.columns else "id"
     patch = targets.filter(F.col("target_seq").isNotNull()).groupBy("target_seq").agg(
-        F.max_by("status", "id").alias("status")
+        F.max_by("status", order).alias("status")
     ).withColumnRenamed("target_seq", "seq")
     return apply_patch(tracker, patch, "seq", ["status"]), bad.select("id", "status").unionByName(unknown)
 
