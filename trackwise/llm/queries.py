@@ -18,7 +18,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from trackwise.llm import byte_bpe, exact_dedup  # noqa: E402
+from trackwise.llm import byte_bpe, exact_dedup, langid, toxicity  # noqa: E402
+
+
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    import public_tokenizers
+
+    pieces = langid.sentencepiece_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return langid.identify(table(spark, sf_dir, "documents"), pieces)
 
 
 @query("op5_byte_bpe")
@@ -29,6 +37,11 @@ def op5(spark, sf_dir):
     return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op6_toxicity")
+def op6(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op8_exact_dedup", exact_dedup.ORACLE)
 def op8(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
