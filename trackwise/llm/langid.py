@@ -64,15 +64,14 @@ class PieceIndex:
         self.other = len(pieces)
         self.longest = max(map(len, pieces))
         keys = np.array([self._hash(p) for p in pieces], np.uint64)
-        bits = int(len(pieces) * 4).bit_length()
+        bits = int(len(pieces) * 8).bit_length()
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.ids = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-        self.probes = 1
         for i, k in enumerate(keys.tolist()):
-            at, tries = k >> int(self.shift), 1
+            at = k >> int(self.shift)
             while self.ids[at] >= 0:
-                at, tries = (at + 1) & self.mask, tries + 1
-            self.keys[at], self.ids[at], self.probes = k, i, max(self.probes, tries)
+                at = (at + 1) & self.mask
+            self.keys[at], self.ids[at] = k, i
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -92,11 +91,19 @@ class PieceIndex:
         return out
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        at = (hashes >> self.shift).astype(np.int64)
-        out = np.where(self.keys[at] == hashes, self.ids[at], -1)
-        for k in range(1, self.probes):
-            slot = (at + k) & self.mask
-            out = np.where((out < 0) & (self.keys[slot] == hashes), self.ids[slot], out)
+        """Piece ids, -1 where no piece has the hash."""
+        at = (hashes >> self.shift).astype(np.int32)
+        own, out = self.keys[at] == hashes, self.ids[at]
+        more = np.flatnonzero((~own & (out >= 0)).ravel())  # another piece sits there: look further
+        out[~own] = -1
+        flat, want, slot = out.reshape(-1), hashes.ravel()[more], at.ravel()[more]
+        while len(more):
+            slot = (slot + 1) & self.mask
+            ids = self.ids[slot]
+            hit = self.keys[slot] == want
+            flat[more[hit]] = ids[hit]
+            go = ~hit & (ids >= 0)
+            more, want, slot = more[go], want[go], slot[go]
         return out
 
 

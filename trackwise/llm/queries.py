@@ -18,7 +18,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from trackwise.llm import byte_bpe, exact_dedup, langid, toxicity  # noqa: E402
+from trackwise.llm import byte_bpe, exact_dedup, langid, token_count, toxicity  # noqa: E402
 
 
 @query("op1_language_id")
@@ -42,6 +42,13 @@ def op6(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op7_token_count")
+def op7(spark, sf_dir):
+    import public_tokenizers
+
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op8_exact_dedup", exact_dedup.ORACLE)
 def op8(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
