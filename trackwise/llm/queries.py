@@ -18,7 +18,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from trackwise.llm import byte_bpe, exact_dedup, langid, token_count, toxicity  # noqa: E402
+from trackwise.llm import byte_bpe, exact_dedup, langid, minhash, secrets, token_count, toxicity  # noqa: E402
 
 
 @query("op1_language_id")
@@ -29,6 +29,11 @@ def op1(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"), pieces)
 
 
+@query("op4_secrets")
+def op4(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op5_byte_bpe")
 def op5(spark, sf_dir):
     import public_tokenizers
@@ -52,3 +57,8 @@ def op7(spark, sf_dir):
 @query("op8_exact_dedup", exact_dedup.ORACLE)
 def op8(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op9_minhash_odd_sketch")
+def op9(spark, sf_dir):
+    return minhash.near_dedup(table(spark, sf_dir, "documents"))
