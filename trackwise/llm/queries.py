@@ -18,7 +18,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from trackwise.llm import byte_bpe, exact_dedup, langid, minhash, secrets, token_count, toxicity  # noqa: E402
+from trackwise.llm import byte_bpe, exact_dedup, langid, minhash, repeats, secrets, token_count, toxicity  # noqa: E402
 
 
 @query("op1_language_id")
@@ -62,3 +62,8 @@ def op8(spark, sf_dir):
 @query("op9_minhash_odd_sketch")
 def op9(spark, sf_dir):
     return minhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op10_suffix_repeats")
+def op10(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))

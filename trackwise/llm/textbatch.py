@@ -52,9 +52,10 @@ _UP, _DOWN = _Powers(_P), _Powers(_P_INVERSE)
 class Prefix:
     """Polynomial prefix sums of a byte array: the hash of any slice in constant time."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, seed: int = 0):
+        values = mix(_BYTE + np.uint64(seed)) if seed else _BYTE
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _UP.upto(len(data)), out=self.sums[1:])
+        np.cumsum(values[data] * _UP.upto(len(data)), out=self.sums[1:])
 
     def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         n = len(self.sums)
