@@ -131,3 +131,40 @@ def distinct_by_row(values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray,
         new[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
         values, row = values[new], row[new]
     return values, np.searchsorted(row, np.arange(len(edges)))
+
+
+class LongTable:
+    """Row numbers of uint64 keys: open addressing in arrays, looked up a whole array at a time."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(len(keys) * 1.5).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.rows = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        slot, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            at = slot[todo]
+            free = self.rows[at] < 0
+            self.rows[at[free]] = todo[free]  # of several keys that claim a slot one stays
+            won = self.rows[at] == todo
+            self.keys[at[won]] = keys[todo[won]]
+            todo = todo[~won]
+            slot[todo] = (slot[todo] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int32)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 for keys that are not there."""
+        slot = self._slot(keys)
+        out, own = self.rows[slot], self.keys[slot] == keys
+        more = np.flatnonzero(~own & (out >= 0))
+        out[~own] = -1
+        slot, keys = slot[more], keys[more]
+        while len(more):
+            slot = (slot + 1) & self.mask
+            there = self.rows[slot]
+            hit = (self.keys[slot] == keys) & (there >= 0)
+            out[more[hit]] = there[hit]
+            go = ~hit & (there >= 0)
+            more, slot, keys = more[go], slot[go], keys[go]
+        return out
