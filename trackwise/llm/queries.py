@@ -18,7 +18,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from trackwise.llm import byte_bpe, exact_dedup, langid, minhash, ppm, repeats, secrets, token_count, toxicity  # noqa: E402
+from trackwise.llm import byte_bpe, decontaminate, exact_dedup, langid, minhash, ppm, repeats, secrets, token_count, toxicity  # noqa: E402
 
 
 @query("op1_language_id")
@@ -29,6 +29,11 @@ def op1(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"), pieces)
 
 
+@query("op2_decontaminate")
+def op2(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op3_ppm_scores")
 def op3(spark, sf_dir):
     return ppm.lm_scores(table(spark, sf_dir, "documents"))
