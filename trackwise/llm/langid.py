@@ -42,7 +42,7 @@ MARK = "▁"
 ROWS_PER_LANG = 2000
 ROUNDS = 3
 SMOOTHING = 0.05
-WORD_BLOCK = 200_000
+WORD_BLOCK = 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -136,12 +136,14 @@ def lattice(points: np.ndarray, index: PieceIndex) -> list[tuple[int, np.ndarray
 
 
 LONG_WORD = 2000
+#: Up to this length a product of the smallest probabilities stays far from the end of doubles.
+UNSCALED = 32
 
 
 def forward(points: np.ndarray, index: PieceIndex, table: np.ndarray) -> np.ndarray:
     """log P(word) for each word and language. ``table``: pieces × languages, a row of zeros last.
 
-    Probabilities are scaled at each position, so long words do not underflow."""
+    In longer words the sums are scaled at each position, so that they do not underflow."""
     n, length = points.shape
     langs = table.shape[1]
     cells = lattice(points, index)
@@ -151,16 +153,20 @@ def forward(points: np.ndarray, index: PieceIndex, table: np.ndarray) -> np.ndar
     for i in range(1, length + 1):
         now = np.zeros((n, langs))
         for w, ids in cells:
-            if w <= i:
-                now += alpha[i - w] * table[ids[:, i - w]]
-        # divide by the largest of the languages' sums; the earlier cells follow
-        scale = now
-        total += np.log(scale)
-        for k in range(max(0, i - reach + 1), i):
-            alpha[k] = alpha[k] / scale
-        alpha[i] = np.ones((n, langs))
+            if w == 1:
+                now += alpha[i - 1] * table[ids[:, i - 1]]
+            elif w <= i:
+                some = np.flatnonzero(ids[:, i - w] >= 0)
+                if len(some):
+                    now[some] += alpha[i - w][some] * table[ids[some, i - w]]
+        if length > UNSCALED:
+            total += np.log(now)
+            for k in range(max(0, i - reach + 1), i):
+                alpha[k] = alpha[k] / now
+            now = np.ones((n, langs))
+        alpha[i] = now
         alpha.pop(i - reach, None)
-    return total
+    return total + np.log(alpha[length])
 
 
 def expected(points: np.ndarray, weight: np.ndarray, index: PieceIndex, table: np.ndarray) -> np.ndarray:
@@ -192,10 +198,10 @@ def expected(points: np.ndarray, weight: np.ndarray, index: PieceIndex, table: n
 
 
 def split(text: str) -> list[str]:
-    return [MARK + w for w in text.lower().translate(_ASCII_BREAKS).split(" ") if w]
-
-
-_ASCII_BREAKS = {c: " " for c in range(9, 14)}
+    text = text.lower()
+    for c in "\t\n\v\f\r":
+        text = text.replace(c, " ")
+    return [w for w in text.split(" ") if w]
 
 
 class LanguageModel:
@@ -207,7 +213,7 @@ class LanguageModel:
     def words(self, words: list[str]) -> np.ndarray:
         """log P of each distinct word in each language."""
         out = np.zeros((len(words), len(self.langs)))
-        for rows, points in by_length(words):
+        for rows, points in by_length([MARK + w for w in words]):
             # a very long word is the product of its parts: its lattice stays small
             for a in range(0, points.shape[1], LONG_WORD):
                 out[rows] += forward(points[:, a : a + LONG_WORD], self.index, self.table)
@@ -271,7 +277,7 @@ def fit(train: DataFrame, pieces: list[str], rows_per_lang: int = ROWS_PER_LANG,
                     own = batch[batch["lang"] == lang]
                     weight = own["n"].to_numpy(float)
                     column = np.append(table[:, k], 0.0)[:, None]
-                    for rows, points in by_length(own["word"].tolist()):
+                    for rows, points in by_length([MARK + w for w in own["word"]]):
                         for a in range(0, points.shape[1], 64):
                             sums[:, k] += expected(points[:, a : a + 64], weight[rows], index, column)[: len(sums)]
             at, k = np.nonzero(sums)
