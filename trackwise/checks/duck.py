@@ -112,7 +112,7 @@ def extract_role(s="subject") -> str:
     role = jtrim(f"regexp_replace({role}, {q(P.WS + '+')}, ' ', 'g')")
     return (
         f"(CASE WHEN {cap} IS NULL THEN 'Unknown' WHEN {rlike(role, P.ROLE_APPLY_PREFIX)} THEN 'Unknown' "
-        f"WHEN length({role}) BETWEEN 2 AND 60 THEN {role} ELSE 'Unknown' END)"
+        f"WHEN length({role}) >= 2 THEN {role} ELSE 'Unknown' END)"
     )
 
 

@@ -5,6 +5,7 @@ ones a query needs (dependencies first)."""
 
 from __future__ import annotations
 
+from trackwise import fixed
 from trackwise.checks import duck as D
 from trackwise.sources import adapters as A
 
@@ -82,7 +83,8 @@ mail_base AS (
     'c' || CAST(conv_id AS VARCHAR) || '-0' AS thread_id,
     {subj} AS subject,
     {head} || chr(10) || coalesce(text, '') AS body,
-    {iso_millis("(TIMESTAMP '2026-06-01 00:00:00' + to_hours(CAST(conv_id AS INTEGER)) + to_minutes(CAST(turn * 37 AS INTEGER)))")} AS received,
+    CASE WHEN conv_id % 41 = 11 AND turn = 2 THEN '' ELSE
+    {iso_millis("(TIMESTAMP '2026-06-01 00:00:00' + to_hours(CAST(conv_id AS INTEGER)) + to_minutes(CAST(turn * 37 AS INTEGER)))")} END AS received,
     {sender} AS from_header
   FROM conversations
 ),
@@ -142,13 +144,13 @@ headers AS (
   UNION ALL SELECT message_id, 1, 'Subject', subject FROM mail WHERE conv_id % 9 <> 0
   UNION ALL SELECT message_id, 2, 'Date', received FROM mail
   UNION ALL SELECT message_id, 3, 'subject', 'Dup: ' || subject FROM mail WHERE turn % 4 = 0
-  UNION ALL SELECT message_id, 4, 'X-Job-Tracker', 'notification' FROM mail WHERE is_self
+  UNION ALL SELECT message_id, 4, '{fixed.SELF_MARKER_HEADER.title()}', '{fixed.SELF_MARKER_VALUE}' FROM mail WHERE is_self
 )"""
 
 META = """
 meta AS (
   SELECT message_id, thread_id,
-         CASE WHEN conv_id % 6 = 0 THEN NULL ELSE epoch_ms(CAST(received AS TIMESTAMPTZ)) END AS internal_ms
+         CASE WHEN conv_id % 6 = 0 THEN NULL ELSE epoch_ms(TRY_CAST(received AS TIMESTAMPTZ)) END AS internal_ms
   FROM mail
 )"""
 
@@ -169,8 +171,6 @@ alerts AS (
 )"""
 
 def _mail_tracker() -> str:
-    from trackwise import fixed
-
     idx = f"((conv_id + turn) % {len(fixed.CATEGORIES)})"
     step = _case(idx, [fixed.DEFAULT_STEP[x] for x in fixed.CATEGORIES])
     return f"""

@@ -65,28 +65,58 @@ def digest_sections(spark, sf_dir):
     return s.select("company_key", "n_items", "section")
 
 
-def _digest_sql() -> str:
+def _rows_sql() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     one_a, one_b = fixed.DIGEST_SUBJECT_ONE.split("{company}")
-    many = fixed.DIGEST_SUBJECT_MANY
-    m1 = many.split("{items}")[0]
-    m2 = many.split("{items}")[1].split("{companies}")[0]
-    m3 = many.split("{companies}")[1]
-    return with_views("alerts", extra=_section_ctes()) + f"""
-SELECT
-  CASE WHEN n_companies = 1 THEN {q(one_a)} || CASE WHEN first_company <> '' THEN first_company ELSE {q(fixed.DIGEST_SUBJECT_ONE_FALLBACK)} END || {q(one_b)}
-       ELSE {q(m1)} || CAST(n_items AS VARCHAR) || {q(m2)} || CAST(n_companies AS VARCHAR) || {q(m3)} END AS subject,
-  CASE WHEN n_companies = 1 THEN {q(fixed.DIGEST_BODY_HEAD_ONE)} ELSE {q(fixed.DIGEST_BODY_HEAD_MANY)} END
-    || {NL} || {NL} || sections || {NL} || {NL} || {q(fixed.DIGEST_BODY_TAIL)} AS body,
-  n_items, n_companies
-FROM (SELECT CAST(sum(n_items) AS BIGINT) AS n_items, count(*) AS n_companies,
-        first(first_company ORDER BY c_src, c_seq) AS first_company,
-        string_agg(section, {NL} || {NL} ORDER BY c_src, c_seq) AS sections FROM sections)
-WHERE n_companies > 0"""
-
-
-@register("digest_body", _digest_sql())
-def digest_body(spark, sf_dir):
-    """PL-05 render: AG-11 body + AG-12 subject (gate decided by SM-05 ``gate``)."""
+    m1, rest = fixed.DIGEST_SUBJECT_MANY.split("{items}")
+    m2, m3 = rest.split("{companies}")
+    line = (
+        f"{q(fixed.DIGEST_ROLE_BULLET)} || role_label || ' — ' || CASE WHEN l_step <> '' THEN l_step ELSE l_cat END "
+        f"|| coalesce({NL} || {q(fixed.DIGEST_INTERVIEW_LINE)} || with_time, '') "
+        f"|| CASE WHEN l_sum <> '' THEN {NL} || {q(fixed.DIGEST_SUMMARY_INDENT)} || l_sum ELSE '' END"
+    )
+    title = f"{q(fixed.DIGEST_COMPANY_BULLET)} || CASE WHEN newest_company <> '' THEN newest_company ELSE {q(fixed.DIGEST_UNKNOWN_COMPANY)} END"
+    subj = (
+        f"CASE WHEN n_companies = 1 THEN {q(one_a)} || CASE WHEN first_company <> '' THEN first_company ELSE {q(fixed.DIGEST_SUBJECT_ONE_FALLBACK)} END"
+        f" || {q(one_b)} ELSE {q(m1)} || CAST(n_items AS VARCHAR) || {q(m2)} || CAST(n_companies AS VARCHAR) || {q(m3)} END"
+    )
+    opening = f"CASE WHEN n_companies = 1 THEN {q(fixed.DIGEST_BODY_HEAD_ONE)} ELSE {q(fixed.DIGEST_BODY_HEAD_MANY)} END"
+    tot = "tot AS (SELECT sum(n_items) AS n_items, count(*) AS n_companies, first(first_company ORDER BY c_src, c_seq) AS first_company FROM comp)"
+    return with_views("alerts", extra=[*_section_ctes(), tot]) + f"""
+SELECT 2 AS part, company_key, c_src, c_seq, 0 AS is_role, CAST(NULL AS VARCHAR) AS received, 0 AS r_src, 0 AS r_seq, {title} AS text FROM comp
+UNION ALL SELECT 2, r.company_key, c_src, c_seq, 1, r_recv, r_src, r_seq, {line} FROM roles r JOIN comp c ON c.company_key = r.company_key
+UNION ALL SELECT 0, NULL, 0, 0, 0, NULL, 0, 0, {subj} FROM tot WHERE n_companies > 0
+UNION ALL SELECT 1, NULL, 0, 0, 0, NULL, 0, 0, {opening} FROM tot WHERE n_companies > 0
+UNION ALL SELECT 3, NULL, 0, 0, 0, NULL, 0, 0, {q(fixed.DIGEST_BODY_TAIL)} FROM tot WHERE n_companies > 0"""
+
+
+@register("digest_rows", _rows_sql())
+def digest_rows(spark, sf_dir):
+    """PL-05 render: the ordered lines of AG-11 and AG-12."""
     al = A.alerts(spark, sf_dir)
-    return G.digest_message(G.merge_alerts(al.filter("pending"), al.filter("NOT pending")))
+    return G.digest_rows(G.merge_alerts(al.filter("pending"), al.filter("NOT pending")))
+
+
+_LAST = "epoch_ms(max(CAST(received AS TIMESTAMPTZ))) // 1000"
+
+
+@register(
+    "digest_gate",
+    with_views("alerts", extra=_merged_ctes() + [f"st AS (SELECT {_LAST} AS last FROM alerts WHERE pending)"])
+    + """SELECT dkey, n.minutes, CASE WHEN n.minutes * 60 < 3600 THEN 'queued' ELSE 'sent' END AS outcome,
+      CASE WHEN n.minutes * 60 < 3600 THEN last ELSE last + n.minutes * 60 END AS last_notified_epoch
+    FROM merged, st, (VALUES (10), (90)) n(minutes)""",
+)
+def digest_gate(spark, sf_dir):
+    """PL-05 / SM-05 with SRC-08, SNK-05: the gate 10 and 90 minutes after the state's last digest, and the next state."""
+    al = A.alerts(spark, sf_dir)
+    merged = G.merge_alerts(al.filter("pending"), al.filter("NOT pending"))
+    state = al.filter("pending").agg(F.unix_seconds(F.max(F.try_to_timestamp("received"))).alias("last_notified_epoch"))
+    last = state.first()[0]  # one number
+    out = []
+    for minutes in (10, 90):
+        now = (last or 0) + minutes * 60
+        gated = G.gate(merged, state, now)
+        after = G.next_state(gated, state, now)
+        out.append(gated.select("dkey", F.lit(minutes).alias("minutes"), "outcome").crossJoin(F.broadcast(after)))
+    return out[0].unionByName(out[1])

@@ -15,7 +15,8 @@ from trackwise.plans import ingest as I
 from trackwise.sources import adapters as A
 
 CFG = I.IngestConfig(as_of=A.MAIL_AS_OF, cursor=A.MAIL_CURSOR, candidate=A.CANDIDATE)
-SINCE = I.since_bound(CFG.cursor, CFG.start_date, CFG.as_of, CFG.overlap_s)
+# a literal, so that the oracle does not ask the engine: 600 s before the cursor
+SINCE = 1780359000
 KW = P.whole_terms(fixed.SEARCH_TERMS)
 EPOCH = "floor(epoch_ms(TRY_CAST(received AS TIMESTAMPTZ)) / 1000)"
 
@@ -74,29 +75,34 @@ def fallback_cte(requests: str, name: str = "resp") -> str:
 
 
 def routed_ctes() -> list[str]:
-    text = D.mail_text()
-    comp = D.rlike(text, P.COMPENSATION)
-    hit = f"(n_category = 'Offer' AND coalesce(n_interview, '') <> '' AND NOT {comp})"
-    cand = CFG.candidate.strip().lower()
     return [
-        f"""cand AS (SELECT * FROM mail WHERE {EPOCH} >= {SINCE}
+        f"""cand AS (SELECT * FROM mail WHERE coalesce({EPOCH}, {SINCE}) >= {SINCE}
             AND ({D.rlike(D.blank('subject'), KW)} OR {D.rlike(D.blank('body'), KW)}))""",
         "ids AS (SELECT DISTINCT message_id FROM processed)",
         "legacy AS (SELECT DISTINCT message_id AS thread_id FROM processed WHERE thread_id = '')",
         f"""c2 AS (SELECT cand.*,
             message_id IN (SELECT message_id FROM ids) AS is_done,
-            (thread_id IN (SELECT thread_id FROM legacy) AND {EPOCH} <= {CFG.cursor or 0}) AS is_late,
+            coalesce(thread_id IN (SELECT thread_id FROM legacy) AND {EPOCH} <= {CFG.cursor or 0}, false) AS is_late, {EPOCH} IS NULL AS undated,
             {D.rule_category()} AS rcat, {D.has_signal()} AS sig FROM cand)""",
-        f"""chosen AS (SELECT message_id FROM (
-            SELECT message_id, row_number() OVER (ORDER BY received DESC, seq DESC) AS rn FROM c2
-            WHERE NOT is_done AND NOT is_late AND NOT is_self AND rcat IS NULL AND sig) WHERE rn <= {CFG.max_per_run})""",
+        *decided_ctes(),
+    ]
+
+
+def decided_ctes() -> list[str]:
+    """From ``c2`` (messages with is_done, undated, is_late, rcat, sig) to ``routed``."""
+    text = D.mail_text()
+    comp = D.rlike(text, P.COMPENSATION)
+    hit = f"(n_category = 'Offer' AND coalesce(n_interview, '') <> '' AND NOT {comp})"
+    cand = CFG.candidate.strip().lower()
+    return [
+        "chosen AS (SELECT message_id FROM c2 WHERE NOT is_done AND NOT undated AND NOT is_late AND NOT is_self AND rcat IS NULL AND sig)",
         fallback_cte("(SELECT message_id AS request_id FROM chosen)", "resp"),
         normalized_cte("resp", "norm"),
         f"""r0 AS (
   SELECT c2.*, n.request_id AS n_id, n.is_relevant AS n_rel, n.company AS n_company, n.role AS n_role,
     n.category AS n_category, n.step AS n_step, n.interview_datetime AS n_interview, n.summary AS n_summary,
     n.apply_url AS n_url, n.interviewer_name AS n_iv,
-    CASE WHEN is_done THEN 'processed' WHEN is_late THEN 'late' WHEN is_self THEN 'self'
+    CASE WHEN is_done THEN 'processed' WHEN undated THEN 'undated' WHEN is_late THEN 'late' WHEN is_self THEN 'self'
          WHEN rcat IS NOT NULL THEN 'rule' WHEN NOT sig THEN 'noise'
          WHEN ch.message_id IS NULL THEN 'deferred' WHEN n.request_id IS NULL THEN 'failed' ELSE 'scored' END AS route
   FROM c2 LEFT JOIN chosen ch USING (message_id) LEFT JOIN norm n ON n.request_id = c2.message_id AND n.valid)""",
@@ -140,7 +146,7 @@ def ingest_routes(spark, sf_dir):
     "ingest_metrics",
     _ingest_sql(
         "count(*) FILTER (WHERE route IN ('rule','scored')) AS scanned, "
-        "count(*) FILTER (WHERE route IN ('processed','late','self')) AS skipped, "
+        "count(*) FILTER (WHERE route IN ('processed','undated','late','self')) AS skipped, "
         "count(*) FILTER (WHERE route IN ('rule','scored') AND is_relevant) AS relevant, "
         "count(*) FILTER (WHERE route IN ('rule','scored') AND is_relevant AND category = 'Invitation') AS invitations, "
         "count(*) FILTER (WHERE route IN ('rule','scored') AND is_relevant AND category = 'Offer') AS offers, "
@@ -186,8 +192,8 @@ def ingest_alerts(spark, sf_dir):
 @register(
     "ingest_raw",
     _ingest_sql(
-        f"message_id, thread_id, received, sender_name, sender_domain, subject, substr(body, 1, {fixed.RAW_BODY_CHARS}) AS body, "
-        f"('[' || array_to_string(list_transform(links[1:{fixed.MAX_LINKS}], lambda x: '\"' || x || '\"'), ',') || ']') AS links, seq",
+        f"message_id, thread_id, received, sender_name, sender_domain, subject, body, "
+        f"('[' || array_to_string(list_transform(links, lambda x: '\"' || x || '\"'), ',') || ']') AS links, seq",
         where="route IN ('rule','scored')",
     ),
 )
@@ -233,7 +239,7 @@ def scorer_fallback(spark, sf_dir):
 @register(
     "scorer_requests",
     with_views("mail")
-    + f"SELECT message_id AS request_id, subject, substr(body, 1, {fixed.SCORER_BODY_CHARS['primary']}) AS body, "
+    + f"SELECT message_id AS request_id, subject, body, "
     "received AS email_date, sender_name, sender_domain, array_to_string(links, chr(10)) AS links FROM mail",
 )
 def scorer_requests(spark, sf_dir):
@@ -244,7 +250,7 @@ def scorer_requests(spark, sf_dir):
 @register(
     "scan_messages",
     with_views("mail")
-    + f"SELECT message_id, thread_id, received FROM mail WHERE {EPOCH} >= {SINCE} "
+    + f"SELECT message_id, thread_id, received FROM mail WHERE coalesce({EPOCH}, {SINCE}) >= {SINCE} "
     f"AND ({D.rlike(D.blank('subject'), KW)} OR {D.rlike(D.blank('body'), KW)})",
 )
 def scan_messages(spark, sf_dir):
@@ -256,7 +262,7 @@ def scan_messages(spark, sf_dir):
     "split_late",
     with_views("mail", "processed")
     + f"""SELECT message_id, (thread_id IN (SELECT DISTINCT message_id FROM processed WHERE thread_id = '')
-         AND {EPOCH} <= {CFG.cursor}) AS is_late
+         AND coalesce({EPOCH} <= {CFG.cursor}, false)) AS is_late
     FROM mail WHERE message_id NOT IN (SELECT message_id FROM processed)""",
 )
 def split_late(spark, sf_dir):

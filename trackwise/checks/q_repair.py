@@ -71,7 +71,7 @@ FROM mail_tracker t
 LEFT JOIN rr r1 ON r1.message_id = t.message_id
 LEFT JOIN tr_c tc ON tc.thread_id = t.thread_id AND tc.received = t.received
 LEFT JOIN mail a1 ON a1.message_id = t.message_id
-LEFT JOIN ar_c ac ON ac.thread_id = t.thread_id AND ac.received = t.received""",
+LEFT JOIN ar_c ac ON t.thread_id <> '' AND ac.thread_id = t.thread_id AND ac.received = t.received""",
 )
 def attach_raw(spark, sf_dir):
     """JN-03 / JN-04 / JN-05."""
@@ -97,7 +97,7 @@ def _reprocess_ctes() -> list[str]:
           FROM mail_tracker t LEFT JOIN rr r1 ON r1.message_id = t.message_id
           LEFT JOIN tr_c tc ON tc.thread_id = t.thread_id AND tc.received = t.received
           LEFT JOIN mail a1 ON a1.message_id = t.message_id
-          LEFT JOIN ar_c ac ON ac.thread_id = t.thread_id AND ac.received = t.received)""",
+          LEFT JOIN ar_c ac ON t.thread_id <> '' AND ac.thread_id = t.thread_id AND ac.received = t.received)""",
         """att2 AS (SELECT att.*,
             CASE WHEN cache_mid IS NOT NULL THEN rc.subject ELSE am.subject END AS m_subject,
             CASE WHEN cache_mid IS NOT NULL THEN rc.body ELSE am.body END AS m_body,
@@ -164,7 +164,11 @@ def _updates(spark, sf_dir):
     b = t.filter(F.col("seq") % 13 == 0).select(
         F.concat(F.lit("nope-"), F.col("seq").cast("string")).alias("id"), F.lit("Offer").alias("status"), (F.col("seq") + 1_000_000_000).alias("ord")
     )
-    return a.unionByName(b)
+    # no status at all: rejected like one that is not allowed
+    n = t.filter(F.col("seq") % 17 == 0).select(
+        F.col("thread_id").alias("id"), F.lit(None).cast("string").alias("status"), (F.col("seq") + 2_000_000_000).alias("ord")
+    )
+    return a.unionByName(b).unionByName(n)
 
 
 @register(
@@ -177,7 +181,8 @@ def _updates(spark, sf_dir):
         SELECT CASE WHEN message_id <> '' THEN message_id ELSE thread_id END AS id,
                [{', '.join(D.q(x) for x in _UPD_STATUSES)}][seq % 4 + 1] AS status, seq AS ord
         FROM mail_tracker WHERE seq % 7 = 0
-        UNION ALL SELECT 'nope-' || CAST(seq AS VARCHAR), 'Offer', seq + 1000000000 FROM mail_tracker WHERE seq % 13 = 0)
+        UNION ALL SELECT 'nope-' || CAST(seq AS VARCHAR), 'Offer', seq + 1000000000 FROM mail_tracker WHERE seq % 13 = 0
+        UNION ALL SELECT thread_id, NULL, seq + 2000000000 FROM mail_tracker WHERE seq % 17 = 0)
       WHERE status IN {D.qlist(['Applied', 'Interviewing', 'Offer', 'Rejected', 'Withdrawn', 'Archived'])}) ok
     LEFT JOIN (SELECT message_id, min(seq) AS seq_m FROM mail_tracker WHERE message_id <> '' GROUP BY 1) bym ON bym.message_id = ok.id
     LEFT JOIN (SELECT thread_id, first(seq ORDER BY received DESC, seq ASC) AS seq_t FROM mail_tracker GROUP BY 1) byt ON byt.thread_id = ok.id)
@@ -188,3 +193,66 @@ def update_status(spark, sf_dir):
     their target rows (message id, else latest row of the thread) and patched."""
     patched, _rejected = R.update_status(A.mail_tracker(spark, sf_dir), _updates(spark, sf_dir))
     return patched.select("seq", "status")
+
+
+@register(
+    "rejected_updates",
+    with_views("mail", "mail_tracker")
+    + f"""SELECT id, status FROM (
+  SELECT CASE WHEN message_id <> '' THEN message_id ELSE thread_id END AS id, [{', '.join(D.q(x) for x in _UPD_STATUSES)}][seq % 4 + 1] AS status
+  FROM mail_tracker WHERE seq % 7 = 0
+  UNION ALL SELECT 'nope-' || CAST(seq AS VARCHAR), 'Offer' FROM mail_tracker WHERE seq % 13 = 0
+  UNION ALL SELECT thread_id, NULL FROM mail_tracker WHERE seq % 17 = 0) u
+WHERE status IS NULL OR status NOT IN {D.qlist(['Applied', 'Interviewing', 'Offer', 'Rejected', 'Withdrawn', 'Archived'])}
+   OR (id NOT IN (SELECT message_id FROM mail_tracker WHERE message_id <> '') AND id NOT IN (SELECT thread_id FROM mail_tracker))""",
+)
+def rejected_updates(spark, sf_dir):
+    """FLT-11: the updates that ML-01 turns down (status not allowed or missing, id unknown)."""
+    return R.update_status(A.mail_tracker(spark, sf_dir), _updates(spark, sf_dir))[1]
+
+
+def _reprocess(spark, sf_dir):
+    return R.reprocess(
+        A.mail_tracker(spark, sf_dir), A.raw_table(spark, sf_dir), A.mail(spark, sf_dir), S.TableScorer(A.responses(spark, sf_dir)), candidate=CFG.candidate
+    )
+
+
+@register(
+    "reprocess_recovered",
+    with_views("mail", "raw", "responses", "mail_tracker", extra=_reprocess_ctes())
+    + """SELECT message_id, thread_id, received, sender_name, sender_domain, subject, body, array_to_string(links, ' ') AS links
+FROM mail WHERE message_id IN (SELECT arch_mid FROM att WHERE cache_mid IS NULL)""",
+)
+def reprocess_recovered(spark, sf_dir):
+    """PL-03 / JN-05: raw rows found in the archive, with their content."""
+    r = _reprocess(spark, sf_dir)["recovered"]
+    return r.withColumn("links", F.array_join("links", " "))
+
+
+@register(
+    "reprocess_metrics",
+    with_views("mail", "raw", "responses", "mail_tracker", extra=_reprocess_ctes())
+    + """SELECT count(*) AS rows_examined, count(*) FILTER (WHERE cache_mid IS NULL AND arch_mid IS NULL) AS skipped_no_raw,
+  count(DISTINCT CASE WHEN cache_mid IS NULL THEN arch_mid END) AS backfilled_raw,
+  (SELECT count(*) FROM cl2 WHERE route IN ('rule', 'scored')) AS reclassified,
+  (SELECT count(*) FROM cl2 WHERE route IN ('scored', 'failed')) AS ai_calls,
+  (SELECT count(*) FROM cl2 WHERE route = 'failed') AS failed FROM att""",
+)
+def reprocess_metrics(spark, sf_dir):
+    """AG-09."""
+    return _reprocess(spark, sf_dir)["metrics"]
+
+
+@register(
+    "apply_reclassified",
+    with_views("mail", "raw", "responses", "mail_tracker", extra=_reprocess_ctes())
+    + """SELECT t.seq, coalesce(c.new_step, t.step) AS step, coalesce(c.new_cat, t.category) AS category,
+  coalesce(c.new_iv, t.interview_datetime) AS interview_datetime,
+  CASE WHEN c.seq IS NOT NULL AND t.status = t.step THEN c.new_step ELSE t.status END AS status
+FROM mail_tracker t LEFT JOIN chg c ON c.seq = t.seq""",
+)
+def apply_reclassified(spark, sf_dir):
+    """ML-03: the tracker after the diff has been applied."""
+    changes = _reprocess(spark, sf_dir)["changes"]
+    out = R.apply_reclassified(A.mail_tracker(spark, sf_dir), changes, dry_run=False)
+    return out.select("seq", "step", "category", "interview_datetime", "status")

@@ -42,7 +42,7 @@ def oracle_queries() -> dict[str, str]:
 
 def _load_all() -> None:
     # query families register themselves on import
-    from trackwise.checks import q_digest, q_ingest, q_repair, q_text, q_view  # noqa: F401
+    from trackwise.checks import q_backfill, q_digest, q_ingest, q_repair, q_text, q_view  # noqa: F401
 
 
 # ---------------------------------------------------------------------------

@@ -54,28 +54,23 @@ PLACEHOLDER_ROLES = [
 
 STALE_DAYS = 14
 OVERLAP_SECONDS = 600
-MAX_PER_RUN = 25
-MAX_THREADS_PER_PASS = 40
-RAW_BODY_CHARS = 4000
-MAX_LINKS = 15
-SCORER_BODY_CHARS = {"primary": 3000, "secondary": 4000}
 DIGEST_WINDOW_MINUTES = 60
 CONTAIN_MIN_LEN = 7
 RETRYABLE_HTTP = [429, 503]
 DISPLAY_TZ = "Asia/Jerusalem"
-SELF_MARKER_HEADER = "x-job-tracker"
-SELF_MARKER_VALUE = "notification"
+SELF_MARKER_HEADER = "x-trackwise-digest"
+SELF_MARKER_VALUE = "yes"
 NO_SUBJECT = "(no subject)"
 
 # digest text pieces
 DIGEST_UNKNOWN_COMPANY = "Unknown company"
 DIGEST_NO_ROLE = "(role unspecified)"
-DIGEST_SUBJECT_ONE = "\U0001F6A8 Job Agent: Update from {company}"
+DIGEST_SUBJECT_ONE = "Status digest: news from {company}"
 DIGEST_SUBJECT_ONE_FALLBACK = "a company"
-DIGEST_SUBJECT_MANY = "\U0001F6A8 Job Agent: {items} updates across {companies} companies"
-DIGEST_BODY_HEAD_ONE = "Your job agent has updates on the following position:"
-DIGEST_BODY_HEAD_MANY = "Your job agent has updates on the following positions:"
-DIGEST_BODY_TAIL = "All updates have been logged in your tracker."
+DIGEST_SUBJECT_MANY = "Status digest: {items} items from {companies} companies"
+DIGEST_BODY_HEAD_ONE = "There is news about one company."
+DIGEST_BODY_HEAD_MANY = "There is news about several companies."
+DIGEST_BODY_TAIL = "The funnel has been updated."
 DIGEST_COMPANY_BULLET = "■ "
 DIGEST_ROLE_BULLET = "  • "
 DIGEST_INTERVIEW_LINE = "    Interview scheduled for "

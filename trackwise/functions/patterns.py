@@ -73,7 +73,8 @@ def suffix_trailing() -> str:
 # trailing run of characters that are neither word characters, ')' nor "'"
 TRAILING_NON_WORD = r"[^A-Za-z0-9_)']+\z"
 
-_NAME_CHARS = r"[A-Za-z0-9_ .&'\-]{1,40}"
+# a name ends at the first character that names do not have, whatever its length
+_NAME_CHARS = r"[A-Za-z0-9_ .&'\-]+"
 
 
 def company_subject_patterns(d: str) -> list[str]:

@@ -154,7 +154,7 @@ def extract_role(subject="subject") -> Column:
     return (
         F.when(cap.isNull(), F.lit("Unknown"))
         .when(role.rlike(P.ROLE_APPLY_PREFIX), F.lit("Unknown"))
-        .when((n >= 2) & (n <= 60), role)
+        .when(n >= 2, role)
         .otherwise(F.lit("Unknown"))
     )
 

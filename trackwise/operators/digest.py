@@ -3,10 +3,9 @@ SO-04, PL-05).
 
 ``ord`` is the merge order: held (pending) items first, then this run's new
 items, each in ``seq`` order. Grouping "in order of first appearance" becomes a
-``min(ord)`` key, "newest first" a ``max(struct(received, -ord))`` key; the
-only lists built are one per company (its role lines) and one per digest (its
-company sections) — a digest is one message, bounded by the alert volume of a
-single window.
+``min(ord)`` key, "newest first" a ``max(struct(received, -ord))`` key. A digest is a table of ordered
+lines (header, one title a company, one line a role, footer), so no company and no digest is put together
+in one task; a mailer streams the lines in their order.
 """
 
 from __future__ import annotations
@@ -38,22 +37,31 @@ def merge_alerts(pending: DataFrame, new: DataFrame, mode: str = "thread") -> Da
     return first.select("dkey", "it.*")
 
 
-def gate(n_items: int, last_notified: int | None, now_epoch: int, window_s: int = fixed.DIGEST_WINDOW_MINUTES * 60) -> str:
-    """SM-05: 'noop' (nothing to say), 'queued' (window still closed) or 'sent'."""
-    if n_items == 0:
-        return "noop"
-    if last_notified is not None and now_epoch - last_notified < window_s:
-        return "queued"
-    return "sent"
+def gate(merged: DataFrame, state: DataFrame, now_epoch: int, window_s: int = fixed.DIGEST_WINDOW_MINUTES * 60) -> DataFrame:
+    """SM-05: the items with ``outcome``: 'queued' while the window since the state's last digest is open, else 'sent'.
+    Without items there is nothing to say. ``state``: last_notified_epoch (SRC-08), possibly without rows."""
+    last = state.agg(F.max("last_notified_epoch").alias("last"))  # one row
+    open_ = F.coalesce(F.lit(now_epoch) - F.col("last") < window_s, F.lit(False))
+    return merged.crossJoin(F.broadcast(last)).withColumn("outcome", F.when(open_, "queued").otherwise("sent")).drop("last")
 
 
-def digest_sections(merged: DataFrame) -> DataFrame:
-    """AG-11 per company: (company_key, company_order, section text)."""
-    newest = F.struct(F.col("received"), F.struct(-F.col("ord.src"), -F.col("ord.seq")))
+def next_state(gated: DataFrame, state: DataFrame, now_epoch: int) -> DataFrame:
+    """SNK-05/08: the state after a digest: notified now if an item was sent, else as it was."""
+    sent = gated.agg(F.max(F.when(F.col("outcome") == "sent", F.lit(now_epoch))).alias("now"))
+    last = state.agg(F.max("last_notified_epoch").alias("last"))
+    return sent.crossJoin(F.broadcast(last)).select(F.coalesce("now", "last").cast("bigint").alias("last_notified_epoch"))
+
+
+def newest() -> Column:
+    return F.struct(F.col("received"), (-F.col("ord.src")).alias("src"), (-F.col("ord.seq")).alias("seq"))
+
+
+def role_lines(merged: DataFrame) -> DataFrame:
+    """AG-11: (company_key, role_order, line), one row a role of a company."""
     m = merged.withColumn("role_label", F.when(T.blank("role") != "", F.col("role")).otherwise(F.lit(fixed.DIGEST_NO_ROLE)))
     roles = m.groupBy("company_key", "role_label").agg(
-        F.max(newest).alias("role_order"),
-        F.max_by(F.struct("step", "category", "summary"), newest).alias("latest"),
+        F.max(newest()).alias("role_order"),
+        F.max_by(F.struct("step", "category", "summary"), newest()).alias("latest"),
         F.max(F.when(T.blank("interview_datetime") != "", F.col("interview_datetime"))).alias("with_time"),
     )
     L = F.col("latest")
@@ -65,57 +73,63 @@ def digest_sections(merged: DataFrame) -> DataFrame:
         F.coalesce(F.concat(F.lit("\n" + fixed.DIGEST_INTERVIEW_LINE), F.col("with_time")), F.lit("")),
         F.when(T.blank(L["summary"]) != "", F.concat(F.lit("\n" + fixed.DIGEST_SUMMARY_INDENT), L["summary"])).otherwise(F.lit("")),
     )
-    role_lines = roles.groupBy("company_key").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct((F.col("role_order")).alias("k"), line.alias("l"))), lambda a, b: F.when(a["k"] > b["k"], -1).when(a["k"] < b["k"], 1).otherwise(0)), lambda x: x["l"]),
-            "\n",
-        ).alias("lines")
-    )
-    companies = m.groupBy("company_key").agg(
+    return roles.select("company_key", "role_order", line.alias("line"))
+
+
+def company_titles(merged: DataFrame) -> DataFrame:
+    """AG-11: (company_key, company_order, first_company, n_items, title), one row a company."""
+    companies = merged.groupBy("company_key").agg(
         F.min("ord").alias("company_order"),
-        F.max_by("company", newest).alias("newest_company"),
+        F.max_by("company", newest()).alias("newest_company"),
         F.min_by("company", "ord").alias("first_company"),
         F.count(F.lit(1)).alias("n_items"),
     )
     name = F.when(T.blank("newest_company") != "", F.col("newest_company")).otherwise(F.lit(fixed.DIGEST_UNKNOWN_COMPANY))
-    return companies.join(role_lines, "company_key").select(
-        "company_key",
-        "company_order",
-        "first_company",
-        "n_items",
-        F.concat(F.lit(fixed.DIGEST_COMPANY_BULLET), name, F.lit("\n"), F.col("lines")).alias("section"),
+    return companies.select(
+        "company_key", "company_order", "first_company", "n_items", F.concat(F.lit(fixed.DIGEST_COMPANY_BULLET), name).alias("title")
     )
 
 
-def digest_message(merged: DataFrame) -> DataFrame:
-    """AG-11 + AG-12: one row (subject, body, n_items, n_companies)."""
-    s = digest_sections(merged)
-    agg = s.agg(
-        F.sum("n_items").alias("n_items"),
-        F.count(F.lit(1)).alias("n_companies"),
-        F.min_by("first_company", "company_order").alias("first_company"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct(F.col("company_order").alias("k"), F.col("section").alias("s")))), lambda x: x["s"]),
-            "\n\n",
-        ).alias("sections"),
-    ).filter(F.col("n_companies") > 0)
-    one = F.col("n_companies") == 1
+def subject() -> Column:
+    """AG-12 over n_items, n_companies, first_company."""
     first = F.when(T.blank("first_company") != "", F.col("first_company")).otherwise(F.lit(fixed.DIGEST_SUBJECT_ONE_FALLBACK))
-    head_one, head_many = fixed.DIGEST_SUBJECT_ONE.split("{company}")
-    many = fixed.DIGEST_SUBJECT_MANY
-    subject = F.when(one, F.concat(F.lit(head_one), first, F.lit(head_many))).otherwise(
-        F.concat(
-            F.lit(many.split("{items}")[0]),
-            F.col("n_items").cast("string"),
-            F.lit(many.split("{items}")[1].split("{companies}")[0]),
-            F.col("n_companies").cast("string"),
-            F.lit(many.split("{companies}")[1]),
-        )
+    one = F.replace(F.lit(fixed.DIGEST_SUBJECT_ONE), F.lit("{company}"), first)
+    many = F.replace(F.lit(fixed.DIGEST_SUBJECT_MANY), F.lit("{items}"), F.col("n_items").cast("string"))
+    many = F.replace(many, F.lit("{companies}"), F.col("n_companies").cast("string"))
+    return F.when(F.col("n_companies") == 1, one).otherwise(many)
+
+
+def digest_rows(merged: DataFrame) -> DataFrame:
+    """AG-11 + AG-12: the digest's lines. Their order (SO-04): ``part`` (0 subject, 1 head, 2 companies, 3 tail), then the
+    company's first appearance (c_src, c_seq), its title before its roles, the roles newest first (received
+    descending, then r_src, r_seq). Without items there are no lines."""
+    titles, lines = company_titles(merged), role_lines(merged)
+    none = F.lit(None).cast("string")
+    order = [F.col("company_order.src").alias("c_src"), F.col("company_order.seq").alias("c_seq")]
+    zero = [F.lit(0).alias("c_src"), F.lit(0).cast("bigint").alias("c_seq")]
+    no_role = [none.alias("received"), F.lit(0).alias("r_src"), F.lit(0).cast("bigint").alias("r_seq")]
+    head = titles.select(F.lit(2).alias("part"), "company_key", *order, F.lit(0).alias("is_role"), *no_role, F.col("title").alias("text"))
+    roles = lines.join(titles.select("company_key", "company_order"), "company_key").select(
+        F.lit(2).alias("part"), "company_key", *order, F.lit(1).alias("is_role"), F.col("role_order.received").alias("received"),
+        (-F.col("role_order.src")).alias("r_src"), (-F.col("role_order.seq")).alias("r_seq"), F.col("line").alias("text"),
     )
-    body = F.concat(
-        F.when(one, F.lit(fixed.DIGEST_BODY_HEAD_ONE)).otherwise(F.lit(fixed.DIGEST_BODY_HEAD_MANY)),
-        F.lit("\n\n"),
-        F.col("sections"),
-        F.lit("\n\n" + fixed.DIGEST_BODY_TAIL),
+    totals = titles.agg(
+        F.sum("n_items").alias("n_items"), F.count(F.lit(1)).alias("n_companies"), F.min_by("first_company", "company_order").alias("first_company")
+    ).filter("n_companies > 0")
+    opening = F.when(F.col("n_companies") == 1, fixed.DIGEST_BODY_HEAD_ONE).otherwise(fixed.DIGEST_BODY_HEAD_MANY)
+    frame = F.array(
+        F.struct(F.lit(0).alias("part"), subject().alias("text")),
+        F.struct(F.lit(1).alias("part"), opening.alias("text")),
+        F.struct(F.lit(3).alias("part"), F.lit(fixed.DIGEST_BODY_TAIL).alias("text")),
     )
-    return agg.select(subject.alias("subject"), body.alias("body"), F.col("n_items").cast("long").alias("n_items"), "n_companies")
+    ends = totals.select(F.inline(frame)).select("part", none.alias("company_key"), *zero, F.lit(0).alias("is_role"), *no_role, "text")
+    return head.unionByName(roles).unionByName(ends)
+
+
+def digest_sections(merged: DataFrame) -> DataFrame:
+    """AG-11 as one text a company, for small digests: (company_key, company_order, first_company, n_items, section).
+    ``digest_rows`` has the same lines without putting a company together."""
+    newest_first = F.reverse(F.array_sort(F.collect_list(F.struct(F.col("role_order").alias("k"), F.col("line").alias("l")))))
+    texts = role_lines(merged).groupBy("company_key").agg(newest_first.alias("lines"))
+    section = F.concat(F.col("title"), F.lit("\n"), F.array_join(F.transform("lines", lambda x: x["l"]), "\n"))
+    return company_titles(merged).join(texts, "company_key").select("company_key", "company_order", "first_company", "n_items", section.alias("section"))

@@ -65,12 +65,17 @@ class TableScorer:
     def __call__(self, requests: DataFrame) -> DataFrame:
         return fallback_responses(requests, self.responses, self.primary, self.fallback).select("request_id", "json")
 
+    def answers(self) -> DataFrame:
+        """The answer to every request that the table has, so that a plan may join it instead of listing its requests."""
+        asked = self.responses.filter(F.col("model") == self.primary).select("request_id")
+        return fallback_responses(asked, self.responses, self.primary, self.fallback).select("request_id", "json")
+
 
 class PandasScorer:
     """Wraps ``fn(pandas.DataFrame of requests) -> pandas.Series of JSON text``.
 
     Runs with ``mapInPandas`` over Arrow batches; ``partitions`` spreads the
-    (already budgeted) requests over that many tasks."""
+    requests over that many tasks."""
 
     def __init__(self, fn: Callable[[pd.DataFrame], pd.Series], partitions: int | None = None):
         self.fn, self.partitions = fn, partitions
@@ -86,12 +91,12 @@ class PandasScorer:
         return src.mapInPandas(run, "request_id string, json string")
 
 
-def build_requests(msgs: DataFrame, max_body: int = fixed.SCORER_BODY_CHARS["primary"]) -> DataFrame:
-    """FN-22: scorer request rows: body cut to ``max_body``, links, sender hints, date."""
+def build_requests(msgs: DataFrame) -> DataFrame:
+    """FN-22: scorer request rows: the whole body, links, sender hints, date."""
     return msgs.select(
         F.col("message_id").alias("request_id"),
         T.blank("subject").alias("subject"),
-        F.substring(T.blank("body"), 1, max_body).alias("body"),
+        T.blank("body").alias("body"),
         F.col("received").alias("email_date"),
         T.blank("sender_name").alias("sender_name"),
         T.blank("sender_domain").alias("sender_domain"),

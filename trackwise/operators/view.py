@@ -73,7 +73,10 @@ def calendar_feed(pos: DataFrame, tz: str = fixed.DISPLAY_TZ) -> DataFrame:
         F.when(T.is_real_role("role"), F.concat(F.col("role"), F.lit(" @ "))).otherwise(F.lit("Interview @ ")),
         F.col("company"),
     )
-    start, end = _compact(w), _compact(w + F.expr("INTERVAL 1 HOUR"))
+    # the start keeps the numerals as they were written; the end is a time, so it rolls over
+    part = [F.regexp_extract(T.jtrim("next_interview"), TF.WALL_RE, i) for i in range(1, 6)]
+    start = F.concat(*part[:3], F.lit("T"), *part[3:], F.lit("00"))
+    end = _compact(w + F.expr("INTERVAL 1 HOUR"))
     dates = F.concat(start, F.lit("/"), end)
     details = F.when(F.col("link") != "", F.concat(F.lit("Link: "), F.col("link")))
     url = F.concat(
@@ -132,7 +135,7 @@ def format_interview(c: str | Column) -> Column:
     raw = T.blank(c)
     part = lambda i: F.regexp_extract(s, _WALL_RE, i).cast("int")
     y, mo, d, h, mi = (part(i) for i in range(1, 6))
-    month = F.coalesce(F.element_at(F.array(*[F.lit(m) for m in fixed.MONTHS]), mo), F.lit("undefined"))
+    month = F.coalesce(F.get(F.array(*[F.lit(m) for m in fixed.MONTHS]), mo - 1), F.lit("undefined"))
     h12 = F.when(h % 12 == 0, F.lit(12)).otherwise(h % 12)
     text = F.concat(
         month, F.lit(" "), d.cast("string"), F.lit(", "), y.cast("string"), F.lit(", "),

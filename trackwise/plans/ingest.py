@@ -1,21 +1,23 @@
 """PL-01: one ingest run as a single Spark plan.
 
-scan (time bound + keywords + not own mail) → drop processed ids → legacy/self
-split → rules → signal gate → budget → score → guards → routed messages.
-The routed DataFrame is persisted once and read by the five outputs (tracker
-rows, raw cache rows, processed marks, alerts, metrics).
+scan (time bound + keywords + not own mail) → one row an id → drop processed ids →
+legacy/self split → rules → signal gate → score → guards → routed messages.
+
+The mail is scanned once and classified once. A table of answers is joined by id; any
+other scorer gets the undecided messages, and what it was given and what it said are
+written to the checkpoint folder, so the five outputs (tracker rows, raw cache rows,
+processed marks, alerts, metrics) agree. ``ingest`` stores the routed messages once for them.
 
 Routes, in precedence order (SURVEY §2.13-E):
-``processed`` (skip) · ``late`` (legacy thread, at/before cursor: skip, unmarked) ·
-``self`` (skip, marked) · ``rule`` · ``noise`` (no signal: marked, not cached) ·
-``deferred`` (over budget: unmarked) · ``failed`` (scorer gave nothing: unmarked) ·
-``scored``.
+``processed`` (skip) · ``undated`` (no readable time: unmarked, kept aside) · ``late`` (legacy thread, at/before
+cursor: unmarked, kept aside) · ``self`` (skip, marked) · ``rule`` · ``noise`` (no signal: marked, not cached) ·
+``deferred`` (only with ``max_per_run``: unmarked) · ``failed`` (scorer gave nothing: unmarked) · ``scored``.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from trackwise import fixed
 from trackwise.functions import text as T
 from trackwise.operators import scorer as S
+from trackwise.session import cut_lineage
 
 
 @dataclass
@@ -32,11 +35,9 @@ class IngestConfig:
     start_date: str | None = None  # 'YYYY-MM-DD' floor for the first run (default: as_of's day)
     terms: list[str] | None = None  # keyword filter (default: fixed.SEARCH_TERMS); [] disables it
     own_address: str = ""
-    max_per_run: int | None = fixed.MAX_PER_RUN
+    max_per_run: int | None = None  # a quota of scored messages; the rest is deferred, newest first
     candidate: str = ""
     overlap_s: int = fixed.OVERLAP_SECONDS
-    body_chars: int = fixed.SCORER_BODY_CHARS["primary"]
-    extra: dict = field(default_factory=dict)
 
 
 def since_bound(cursor: int | None, start_date: str | None, as_of: str, overlap_s: int = fixed.OVERLAP_SECONDS) -> int:
@@ -52,19 +53,29 @@ def epoch_s(received: str | Column = "received") -> Column:
     return F.floor(F.unix_micros(F.try_to_timestamp(T.blank(received))) / 1_000_000)
 
 
-def scan_messages(messages: DataFrame, since: int, terms: list[str] | None, own_address: str = "", limit: int | None = None) -> DataFrame:
-    """SRC-01 + FLT-01 + FLT-02 + FLT-03 (``-from:me``). No cap by default; with
-    ``limit`` the newest ``limit`` candidates are kept (TakeOrdered)."""
-    m = messages.filter(epoch_s() >= F.lit(since))
+def scan_messages(messages: DataFrame, since: int, terms: list[str] | None, own_address: str = "") -> DataFrame:
+    """SRC-01 + FLT-01 + FLT-02 + FLT-03 (``-from:me``): messages at or after the bound, and undated ones.
+
+    ``received`` is ISO text, which sorts by time; the plain comparisons reach the Parquet scan (a day's slack for
+    zone offsets) and the exact bound follows. Text that sorts before any year is undated, not old."""
+    day = dt.datetime.fromtimestamp(max(0, since - 86_400), dt.timezone.utc).strftime("%Y-%m-%d")
+    received = F.col("received")
+    m = messages.filter(received.isNull() | (received < "19") | (received >= day))
+    m = m.filter(epoch_s().isNull() | (epoch_s() >= F.lit(since)))
     if terms is None or terms:
         m = T.keyword_filter(m, terms)
     if own_address:
         m = m.filter(F.lower(T.sender_address("from_header")) != own_address.lower())
-    if limit is not None:
-        m = m.orderBy(F.col("received").desc(), F.col("seq").desc()).limit(limit)
     return m
 
 
+def one_per_id(messages: DataFrame) -> DataFrame:
+    """SM-02: of messages with one id the first by ``seq`` (ids are required)."""
+    rest = [c for c in messages.columns if c != "message_id"]
+    first = messages.groupBy("message_id").agg(F.min_by(F.struct(*rest), "seq").alias("m"))
+    return first.select("message_id", "m.*").select(*messages.columns)
+
+
 def split_processed(messages: DataFrame, processed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """JN-01: (fresh, already processed) by message id; legacy markers count as ids."""
     ids = processed.select("message_id").distinct()
@@ -81,13 +92,13 @@ def late_flag(messages: DataFrame, processed: DataFrame, cursor: int | None) ->
     lt = legacy_threads(processed).withColumn("_legacy", F.lit(True))
     c = int(cursor) if cursor else 0
     return messages.join(lt, "thread_id", "left").withColumn(
-        "is_late", F.coalesce(F.col("_legacy"), F.lit(False)) & (epoch_s() <= F.lit(c))
+        "is_late", F.coalesce(F.col("_legacy"), F.lit(False)) & F.coalesce(epoch_s() <= F.lit(c), F.lit(False))
     ).drop("_legacy")
 
 
-def rule_analysis() -> Column:
+def rule_analysis(category: str = "rule_cat") -> Column:
     """Analysis struct for a rule decision (null when the rules are undecided)."""
-    cat = T.rule_category()
+    cat = F.col(category)
     return F.when(
         cat.isNotNull(),
         F.struct(
@@ -104,51 +115,71 @@ def rule_analysis() -> Column:
     )
 
 
-def budget(needs: DataFrame, n: int | None) -> DataFrame:
+def budget(needs: DataFrame, n: int) -> DataFrame:
     """WN-04: ids of the first ``n`` messages needing a score, newest first. A
     bounded top-n (TakeOrderedAndProject), never a global window."""
     ids = needs.select("message_id", "received", "seq")
-    if n is None:
-        return ids.select("message_id")
     return ids.orderBy(F.col("received").desc(), F.col("seq").desc()).limit(n).select("message_id")
 
 
+def flagged(messages: DataFrame, processed: DataFrame, cfg: IngestConfig) -> DataFrame:
+    """Candidates with ``is_done``, ``undated`` and ``is_late``."""
+    since = since_bound(cfg.cursor, cfg.start_date, cfg.as_of, cfg.overlap_s)
+    cand = one_per_id(scan_messages(messages, since, cfg.terms, cfg.own_address))
+    ids = processed.select("message_id").distinct().withColumn("is_done", F.lit(True))
+    c = cand.join(ids, "message_id", "left").withColumn("is_done", F.coalesce("is_done", F.lit(False)))
+    return late_flag(c, processed, cfg.cursor).withColumn("undated", epoch_s().isNull())
+
+
+def classify(c: DataFrame) -> DataFrame:
+    """Adds ``rule`` and ``needs`` (undecided, with a signal) to flagged messages."""
+    open_ = ~F.col("is_done") & ~F.col("undated") & ~F.col("is_late") & ~F.col("is_self")
+    c = c.withColumn("rule_cat", F.when(~F.col("is_done"), T.rule_category()))
+    c = c.withColumn("needs", open_ & F.col("rule_cat").isNull() & T.has_signal())
+    return c.withColumn("rule", rule_analysis()).drop("rule_cat")
+
+
 def route(messages: DataFrame, processed: DataFrame, scorer, cfg: IngestConfig) -> DataFrame:
     """All candidate messages with ``route``, ``source`` and the final ``analysis``."""
-    since = since_bound(cfg.cursor, cfg.start_date, cfg.as_of, cfg.overlap_s)
-    cand = scan_messages(messages, since, cfg.terms, cfg.own_address)
-    fresh, done = split_processed(cand, processed)
-    fresh = late_flag(fresh, processed, cfg.cursor)
-    fresh = fresh.withColumn("rule", rule_analysis()).withColumn("signal", T.has_signal())
-    needs = fresh.filter(~F.col("is_late") & ~F.col("is_self") & F.col("rule").isNull() & F.col("signal"))
-    chosen = budget(needs, cfg.max_per_run).withColumn("_chosen", F.lit(True))
-    requests = S.build_requests(needs.join(chosen, "message_id", "left_semi"), cfg.body_chars)
-    scored = S.score(requests, scorer).select(F.col("request_id").alias("message_id"), F.col("analysis").alias("scored"))
-    r = fresh.join(chosen, "message_id", "left").join(scored, "message_id", "left")
-    guarded = S.strip_self(S.guard_offer(F.col("scored")), cfg.candidate)
-    routed = r.select(
-        *[c for c in fresh.columns if c not in ("rule", "signal", "is_late")],
-        F.when(F.col("is_late"), "late")
+    return decide(flagged(messages, processed, cfg), scorer, cfg, messages.columns)
+
+
+def decide(c: DataFrame, scorer, cfg: IngestConfig, columns: list[str]) -> DataFrame:
+    """Rules, scorer and guards for flagged messages."""
+    c = classify(c)
+    table = hasattr(scorer, "answers")
+    if not table or cfg.max_per_run is not None:
+        c = cut_lineage(c)  # read twice below
+    if cfg.max_per_run is not None:
+        chosen = budget(c.filter("needs"), cfg.max_per_run).withColumn("chosen", F.lit(True))
+        c = c.join(chosen, "message_id", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+    else:
+        c = c.withColumn("chosen", F.col("needs"))
+    if table:
+        said = scorer.answers().select("request_id", S.normalize_response("json").alias("analysis"))
+    else:
+        said = cut_lineage(S.score(S.build_requests(c.filter("chosen")), scorer))  # scored once, then read
+    c = c.join(said.select(F.col("request_id").alias("message_id"), F.col("analysis").alias("scored")), "message_id", "left")
+    route_ = (
+        F.when(F.col("is_done"), "processed")
+        .when(F.col("undated"), "undated")
+        .when(F.col("is_late"), "late")
         .when(F.col("is_self"), "self")
         .when(F.col("rule").isNotNull(), "rule")
-        .when(~F.col("signal"), "noise")
-        .when(F.col("_chosen").isNull(), "deferred")
+        .when(~F.col("needs"), "noise")
+        .when(~F.col("chosen"), "deferred")
         .when(F.col("scored").isNull(), "failed")
         .otherwise("scored")
-        .alias("route"),
-        F.when(F.col("rule").isNotNull(), F.lit("rule")).otherwise(F.lit("ai")).alias("source"),
-        "rule",
-        guarded.alias("guarded"),
     )
-    # only analyzed messages carry an analysis
-    routed = routed.withColumn(
-        "analysis",
-        F.when(F.col("route") == "rule", F.col("rule")).when(F.col("route") == "scored", F.col("guarded")),
-    ).drop("rule", "guarded")
-    skipped = done.select(*[c for c in fresh.columns if c not in ("rule", "signal", "is_late")]).withColumn(
-        "route", F.lit("processed")
-    ).withColumn("source", F.lit("")).withColumn("analysis", F.lit(None).cast(routed.schema["analysis"].dataType))
-    return routed.unionByName(skipped)
+    c = c.withColumn("route", route_)
+    guarded = S.strip_self(S.guard_offer(F.col("scored")), cfg.candidate)
+    return c.select(
+        *columns,
+        "route",
+        F.when(F.col("is_done"), "").when(F.col("rule").isNotNull(), "rule").otherwise("ai").alias("source"),
+        # only analyzed messages carry an analysis
+        F.when(F.col("route") == "rule", F.col("rule")).when(F.col("route") == "scored", guarded).alias("analysis"),
+    )
 
 
 ANALYZED = ["rule", "scored"]
@@ -178,8 +209,7 @@ def tracker_rows(routed: DataFrame) -> DataFrame:
 
 
 def raw_rows(routed: DataFrame) -> DataFrame:
-    """SNK-02 projection: analyzed messages (relevant or not), body cut to 4000,
-    at most 15 links, links as JSON text."""
+    """SNK-02 projection: analyzed messages (relevant or not), whole body, links as JSON text."""
     m = routed.filter(F.col("route").isin(*ANALYZED))
     return m.select(
         "message_id",
@@ -188,12 +218,17 @@ def raw_rows(routed: DataFrame) -> DataFrame:
         "sender_name",
         "sender_domain",
         "subject",
-        F.substring(T.blank("body"), 1, fixed.RAW_BODY_CHARS).alias("body"),
-        F.to_json(F.slice(F.coalesce("links", F.array().cast("array<string>")), 1, fixed.MAX_LINKS)).alias("links"),
+        T.blank("body").alias("body"),
+        F.to_json(F.coalesce("links", F.array().cast("array<string>"))).alias("links"),
         "seq",
     )
 
 
+def side_rows(routed: DataFrame) -> DataFrame:
+    """SM-04: late and undated messages, which no other output has, with their route."""
+    return routed.filter(F.col("route").isin("late", "undated")).drop("source", "analysis")
+
+
 def processed_marks(routed: DataFrame, processed_at: str) -> DataFrame:
     """SNK-03: messages settled by this run, one timestamp for the batch."""
     m = routed.filter(F.col("route").isin("self", "rule", "noise", "scored"))
@@ -215,7 +250,7 @@ def ingest_metrics(routed: DataFrame) -> DataFrame:
     rel = analyzed & a["is_relevant"]
     return routed.agg(
         F.count_if(analyzed).alias("scanned"),
-        F.count_if(r.isin("processed", "late", "self")).alias("skipped"),
+        F.count_if(r.isin("processed", "undated", "late", "self")).alias("skipped"),
         F.count_if(rel).alias("relevant"),
         F.count_if(rel & (a["category"] == "Invitation")).alias("invitations"),
         F.count_if(rel & (a["category"] == "Offer")).alias("offers"),
@@ -245,7 +280,7 @@ class IngestResult:
 
 
 def ingest(messages: DataFrame, processed: DataFrame, scorer, cfg: IngestConfig, processed_at: str | None = None) -> IngestResult:
-    routed = route(messages, processed, scorer, cfg).persist()
+    routed = cut_lineage(route(messages, processed, scorer, cfg))
     return IngestResult(
         routed=routed,
         rows=tracker_rows(routed),

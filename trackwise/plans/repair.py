@@ -15,6 +15,7 @@ from trackwise import fixed
 from trackwise.functions import text as T
 from trackwise.operators import scorer as S
 from trackwise.plans import ingest as I
+from trackwise.session import cut_lineage
 
 RAW_FIELDS = ["thread_id", "received", "sender_name", "sender_domain", "subject", "body", "links"]
 
@@ -45,7 +46,7 @@ def unseen_messages(messages: DataFrame, threads: DataFrame, processed: DataFram
 
 def validate_status(updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """FLT-11: (accepted, rejected) status updates by the whitelist."""
-    ok = F.col("status").isin(*fixed.OVERRIDE_STATUSES)
+    ok = F.coalesce(F.col("status").isin(*fixed.OVERRIDE_STATUSES), F.lit(False))  # a null status is rejected
     return updates.filter(ok), updates.filter(~ok)
 
 
@@ -74,8 +75,10 @@ def update_status(tracker: DataFrame, updates: DataFrame) -> tuple[DataFrame, Da
     ok, bad = validate_status(updates)
     targets = resolve_targets(tracker, ok)
     unknown = targets.filter(F.col("target_seq").isNull()).select("id", "status")
-    # several updates to one row: the last one in update order (``ord``, else id) wins
-    order = "ord" if "ord" in updates.columns else "id"
+    # several updates to one row: the last one in update order wins
+    if "ord" not in updates.columns:
+        raise ValueError("updates need an order column 'ord'")
+    order = "ord"
     patch = targets.filter(F.col("target_seq").isNotNull()).groupBy("target_seq").agg(
         F.max_by("status", order).alias("status")
     ).withColumnRenamed("target_seq", "seq")
@@ -94,10 +97,16 @@ def attach_raw(tracker: DataFrame, raw_latest: DataFrame, messages: DataFrame) -
     a_content = F.struct(*[F.col(c) for c in ["message_id"] + RAW_FIELDS])
     a_id = arch.select(F.col("message_id").alias("_aid"), a_content.alias("a_id"))
     a_tr = arch.groupBy("thread_id", "received").agg(F.min_by(a_content, "seq").alias("a_tr"))
-    t = tracker.join(by_id, tracker["message_id"] == by_id["_mid"], "left").drop("_mid")
+    # a blank id finds nothing and must not meet other blanks in one task: it joins on a key of its own
+    own = F.concat(F.lit("\u0001"), F.col("seq").cast("string"))
+    t = tracker.withColumn("_mkey", F.when(T.blank("message_id") != "", F.col("message_id")).otherwise(own))
+    t = t.join(by_id, t["_mkey"] == by_id["_mid"], "left").drop("_mid")
     t = t.join(by_tr, ["thread_id", "received"], "left")
-    t = t.join(a_id, t["message_id"] == a_id["_aid"], "left").drop("_aid")
-    t = t.join(a_tr, ["thread_id", "received"], "left")
+    t = t.join(a_id, t["_mkey"] == a_id["_aid"], "left").drop("_aid", "_mkey")
+    # the archive is searched by thread only if there is one
+    t = t.withColumn("_tkey", F.when(T.blank("thread_id") != "", F.col("thread_id")).otherwise(own))
+    a_tr = a_tr.withColumnRenamed("thread_id", "_tkey")
+    t = t.join(a_tr, ["_tkey", "received"], "left").drop("_tkey").select(*tracker.columns, "r_id", "r_tr", "a_id", "a_tr")
     has_id = T.blank("message_id") != ""
     cache = F.coalesce(F.when(has_id, F.col("r_id")), F.col("r_tr"))
     archive = F.when(has_id, F.col("a_id")).otherwise(F.col("a_tr"))
@@ -106,46 +115,52 @@ def attach_raw(tracker: DataFrame, raw_latest: DataFrame, messages: DataFrame) -
     ).drop("r_id", "r_tr", "a_id", "a_tr")
 
 
-def reclassify(attached: DataFrame, scorer, candidate: str = "", budget: int | None = None) -> DataFrame:
-    """Rules, then the scorer for undecided rows with signal (optionally the first
-    ``budget`` of them by ``seq`` — WN-05 prefix cut: the pass stops at the
-    (budget+1)-th scoring row). Adds ``route``, ``source`` and ``analysis``."""
+def reclassify(attached: DataFrame, scorer, candidate: str = "") -> DataFrame:
+    """Rules, then the scorer for undecided rows with signal. Adds ``route``, ``new_source`` and ``new``.
+
+    The scorer gets whole requests, one a message; what it says is stored before it is read (a table of
+    answers is joined instead)."""
     r = attached.filter(F.col("raw").isNotNull())
     for c in ["subject", "body", "sender_name", "sender_domain", "links"]:
         r = r.withColumn(f"m_{c}", F.col("raw")[c])
     subj, body = "m_subject", "m_body"
+    cat = F.col("rule_cat")
+    r = r.withColumn("rule_cat", T.rule_category(subj, body))
+    r = r.withColumn("needs", cat.isNull() & T.has_signal(subj, body))
+    r = r.withColumn("rule_company", F.when(cat.isNotNull(), T.extract_company(subj, body, "m_sender_name", "m_sender_domain")))
+    r = r.withColumn("rule_role", F.when(cat.isNotNull(), T.extract_role(subj)))
+    table = hasattr(scorer, "answers")
+    if not table:
+        r = cut_lineage(r)  # read twice below
     rule = F.when(
-        T.rule_category(subj, body).isNotNull(),
+        cat.isNotNull(),
         F.struct(
             F.lit(True).alias("is_relevant"),
-            T.extract_company(subj, body, "m_sender_name", "m_sender_domain").alias("company"),
-            T.extract_role(subj).alias("role"),
-            T.rule_category(subj, body).alias("category"),
-            F.when(T.rule_category(subj, body) == "Rejection", "Rejected").otherwise("Applied").alias("step"),
+            F.col("rule_company").alias("company"),
+            F.col("rule_role").alias("role"),
+            cat.alias("category"),
+            F.when(cat == "Rejection", "Rejected").otherwise("Applied").alias("step"),
             F.lit(None).cast("string").alias("interview_datetime"),
             T.blank(subj).alias("summary"),
             F.lit("").alias("apply_url"),
             F.lit("").alias("interviewer_name"),
         ),
     )
-    r = r.withColumn("rule", rule).withColumn("signal", T.has_signal(subj, body))
-    needs = r.filter(F.col("rule").isNull() & F.col("signal"))
-    if budget is not None:
-        cut = needs.select("seq").orderBy("seq").offset(budget).limit(1).collect()  # one cut key, never the rows
-        if cut:
-            r = r.filter(F.col("seq") < cut[0]["seq"])
-            needs = needs.filter(F.col("seq") < cut[0]["seq"])
-    req = needs.select(F.col("raw")["message_id"].alias("request_id"), F.col("seq"))
-    scored = S.score(req.select("request_id").distinct(), scorer).withColumnRenamed("request_id", "_rid")
+    if table:
+        scored = scorer.answers().select("request_id", S.normalize_response("json").alias("analysis"))
+    else:
+        requests = S.build_requests(r.filter("needs").select("raw.*").dropDuplicates(["message_id"]))
+        scored = cut_lineage(S.score(requests, scorer))
+    scored = scored.withColumnRenamed("request_id", "_rid")
     r = r.join(scored, F.col("raw")["message_id"] == F.col("_rid"), "left").drop("_rid")
     text = T.mail_text(subj, body)
-    guarded = S.strip_self(S.guard_offer(F.col("analysis"), text), candidate)
+    guarded = S.strip_self(S.guard_offer(F.when(F.col("needs"), F.col("analysis")), text), candidate)
     return r.select(
         *attached.columns,
-        F.when(F.col("rule").isNotNull(), "rule").when(~F.col("signal"), "no_signal")
+        F.when(cat.isNotNull(), "rule").when(~F.col("needs"), "no_signal")
         .when(F.col("analysis").isNull(), "failed").otherwise("scored").alias("route"),
-        F.when(F.col("rule").isNotNull(), "rule").otherwise("ai").alias("new_source"),
-        F.coalesce(F.col("rule"), guarded).alias("new"),
+        F.when(cat.isNotNull(), "rule").otherwise("ai").alias("new_source"),
+        F.coalesce(rule, guarded).alias("new"),
     )
 
 
@@ -187,15 +202,36 @@ def apply_reclassified(tracker: DataFrame, changes: DataFrame, dry_run: bool = T
     return apply_patch(tracker, patch, "seq", list(col_of.values()))
 
 
-def reprocess(tracker: DataFrame, raw: DataFrame, messages: DataFrame, scorer, candidate: str = "", budget: int | None = None) -> dict:
-    """PL-03: raw resolve → classify → protect → diff. Returns the diff, the
-    rows recovered from the archive (appended to raw even on a dry run, Q6) and
-    the unrecoverable rows."""
+def recovered_raw(attached: DataFrame) -> DataFrame:
+    """Raw rows found in the archive, one a message: what a pass appends to the cache, dry run or not."""
+    return attached.filter(F.col("raw_from") == "archive").select("raw.*").dropDuplicates(["message_id"])
+
+
+def reprocess_metrics(attached: DataFrame, classified: DataFrame) -> DataFrame:
+    """AG-09: one row of counters of a pass."""
+    seen = attached.agg(
+        F.count("*").alias("rows_examined"),
+        F.count_if(F.col("raw").isNull()).alias("skipped_no_raw"),
+        F.count_distinct(F.when(F.col("raw_from") == "archive", F.col("raw")["message_id"])).alias("backfilled_raw"),
+    )
+    done = classified.agg(
+        F.count_if(F.col("route").isin("rule", "scored")).alias("reclassified"),
+        F.count_if(F.col("route").isin("scored", "failed")).alias("ai_calls"),
+        F.count_if(F.col("route") == "failed").alias("failed"),
+    )
+    return seen.crossJoin(F.broadcast(done))  # one row each
+
+
+def reprocess(tracker: DataFrame, raw: DataFrame, messages: DataFrame, scorer, candidate: str = "") -> dict:
+    """PL-03: raw resolve → classify → protect → diff. Returns the diff, the raw
+    rows recovered from the archive (appended to raw even on a dry run, Q6), the
+    unrecoverable rows and the counters."""
     attached = attach_raw(tracker, read_raw(raw), messages)
-    classified = reclassify(attached, scorer, candidate, budget)
+    classified = reclassify(attached, scorer, candidate)
     return {
         "changes": diff_reclassified(classified),
-        "recovered": attached.filter(F.col("raw_from") == "archive").select("seq", F.col("raw")["message_id"].alias("message_id")),
+        "recovered": recovered_raw(attached),
         "unrecoverable": attached.filter(F.col("raw").isNull()).select("seq"),
         "classified": classified,
+        "metrics": reprocess_metrics(attached, classified),
     }

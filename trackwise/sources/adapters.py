@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackwise import fixed
 from trackwise.functions import text as T
 
 TRACKER_AS_OF = "2024-01-20T12:00:00Z"
@@ -193,7 +194,7 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("c"), c.cast("string"), F.lit("-0")).alias("thread_id"),
         _pick(tmpl, [s for s, _ in MAIL_TEMPLATES]).alias("subject"),
         F.concat(_pick(tmpl, [b for _, b in MAIL_TEMPLATES]), F.lit("\n"), T.blank("text")).alias("body"),
-        iso_millis(received).alias("received"),
+        F.when((c % 41 == 11) & (t == 2), F.lit("")).otherwise(iso_millis(received)).alias("received"),
         from_header.alias("from_header"),
         F.when(t % 2 == 0, F.array(F.concat(F.lit("https://jobs.example.org/c"), c.cast("string"), F.lit("/"), t.cast("string"))))
         .otherwise(F.array().cast("array<string>"))
@@ -304,7 +305,7 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
             "message_id", F.lit(3).alias("pos"), F.lit("subject").alias("name"), F.concat(F.lit("Dup: "), F.col("subject")).alias("value")
         ),
         m.filter(F.col("is_self")).select(
-            "message_id", F.lit(4).alias("pos"), F.lit("X-Job-Tracker").alias("name"), F.lit("notification").alias("value")
+            "message_id", F.lit(4).alias("pos"), F.initcap(F.lit(fixed.SELF_MARKER_HEADER)).alias("name"), F.lit(fixed.SELF_MARKER_VALUE).alias("value")
         ),
     ]
     out = rows[0]
@@ -317,7 +318,7 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Message metadata: thread id and internal epoch-ms (missing on every 6th
     conversation, so the Date header is used)."""
     m = mail(spark, sf_dir)
-    ms = F.unix_millis(F.to_timestamp(F.col("received")))
+    ms = F.unix_millis(F.try_to_timestamp(F.col("received")))
     return m.select(
         "message_id",
         "thread_id",
@@ -341,7 +342,13 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    """Pages with anchors added: the page's own address twice (spaced and in capitals the second time, with
+    trailing marks), and one that is noise."""
+    u = F.col("url")
+    more = F.concat(
+        F.lit('<a href="'), u, F.lit('">x</a><A HREF = \''), u, F.lit(").'>y</A><a href=\"https://example.org/unsubscribe?u="), F.col("page_id").cast("string"), F.lit('">z</a>')
+    )
+    return _read(spark, sf_dir, "pages").select("page_id", "url", F.concat(T.blank("html"), more).alias("html"))
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,8 +375,6 @@ def mail_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     input of the repair passes): category by (conv_id + turn) % 5, its default
     step, a hand-set Withdrawn on some rows, an interview time on every third
     turn, and no message id on every 4th conversation (pre-migration rows)."""
-    from trackwise import fixed
-
     m = mail(spark, sf_dir)
     c, t = F.col("conv_id"), F.col("turn")
     idx = (c + t) % len(fixed.CATEGORIES)

@@ -3,15 +3,16 @@
 New message files arrive in a folder; ``readStream`` picks them up and
 ``foreachBatch`` runs the batch ingest plan (PL-01) on each micro-batch:
 
-* SM-02 exactly one row per message: in-batch ``dropDuplicates`` plus an anti
-  join against the ``processed`` table (the batch plan already does the join);
+* SM-02 exactly one row per message: the batch plan keeps one row an id and drops ids in the ``processed`` table;
 * SM-03/06 retry: failed and deferred messages are written to a ``retry``
-  table and unioned into the next batch (the stream's checkpoint always
-  advances, unlike a cursor);
-* SM-07 commit order: rows → raw → processed → alerts are written under
-  ``run_id=<batch id>`` partitions and a ``runs`` commit row is written last;
-  readers only trust committed runs, and a replayed batch id overwrites its own
-  partitions, so replays are idempotent.
+  table and join later batches until they are processed (the stream's checkpoint always
+  advances, unlike a cursor); the ``runs`` row holds the cursor that a scheduled scan may go on from;
+* SM-04 late and undated messages go to a ``late`` table, which the backfill reads;
+* SM-07 commit order: every output is written to its own ``run_id=<batch id>`` partition and the ``runs``
+  partition is written last. Readers trust committed runs only.
+
+A batch whose id is in ``runs`` is done and is left alone. Any other batch reads earlier committed runs only and
+overwrites its own partitions, so a batch that died at any point gives the same tables when it is run again.
 
 Tables live under ``root`` as parquet folders partitioned by ``run_id``.
 """
@@ -22,29 +23,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackwise.plans import ingest as I
+from trackwise.session import cut_lineage
 
-TABLES = ["rows", "raw", "processed", "alerts", "retry"]
+PROCESSED = "message_id string, thread_id string, processed_at string"
+RUNS = "committed boolean, failed bigint, deferred bigint, cursor bigint"
 
 
 def _path(root: str, name: str) -> str:
     return f"{root}/{name}"
 
 
-def committed(spark: SparkSession, root: str, name: str, schema: str | None = None) -> DataFrame:
-    """Rows of ``name`` that belong to committed runs only."""
-    try:
-        runs = spark.read.parquet(_path(root, "runs")).select("run_id").distinct()
-        t = spark.read.parquet(_path(root, name))
-    except Exception:  # nothing written yet
-        if schema is None:
-            raise
-        return spark.createDataFrame([], schema)
-    return t.join(runs, "run_id", "left_semi")
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the folder is there; other errors are the caller's to see."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _read(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    path, schema = _path(root, name), f"{schema}, run_id bigint"
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def committed(spark: SparkSession, root: str, name: str, schema: str | None = None, besides: int | None = None) -> DataFrame:
+    """Rows of ``name`` that belong to committed runs (``besides``: other than this one).
+
+    Without a schema the table must have been written."""
+    runs = _read(spark, root, "runs", RUNS).select("run_id")
+    t = spark.read.parquet(_path(root, name)) if schema is None else _read(spark, root, name, schema)
+    if besides is not None:  # a plain filter, so the partition that is being written is not even listed
+        t, runs = t.filter(F.col("run_id") != besides), runs.filter(F.col("run_id") != besides)
+    return t.join(runs.distinct(), "run_id", "left_semi")
 
 
 def _write(df: DataFrame, root: str, name: str, run_id: int) -> None:
     (
-        df.withColumn("run_id", F.lit(run_id))
+        df.withColumn("run_id", F.lit(run_id).cast("bigint"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id")
@@ -53,30 +66,28 @@ def _write(df: DataFrame, root: str, name: str, run_id: int) -> None:
 
 
 def process_batch(batch: DataFrame, batch_id: int, spark: SparkSession, root: str, scorer, cfg: I.IngestConfig) -> None:
-    """One micro-batch: (retry ∪ batch) → ingest → writes in commit order."""
-    proc_schema = "message_id string, thread_id string, processed_at string"
-    processed = committed(spark, root, "processed", proc_schema + ", run_id long").select("message_id", "thread_id")
-    msgs = batch.dropDuplicates(["message_id"])
-    try:
-        retry = committed(spark, root, "retry").drop("run_id")
-        # a retried message is dropped once it has been processed
-        msgs = msgs.unionByName(retry.join(processed, "message_id", "left_anti"), allowMissingColumns=True).dropDuplicates(
-            ["message_id"]
-        )
-    except Exception:
-        pass
+    """One micro-batch: (open retries ∪ batch) → ingest → writes in commit order."""
+    if not _read(spark, root, "runs", RUNS).filter(F.col("run_id") == batch_id).isEmpty():
+        return
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
+    processed = committed(spark, root, "processed", PROCESSED, besides=batch_id).select("message_id", "thread_id")
+    retry = committed(spark, root, "retry", fields, besides=batch_id).select(*batch.columns)
+    # open retries only: what has been processed since is closed
+    retry = retry.join(processed.select("message_id"), "message_id", "left_anti").select(*batch.columns)
     # streaming batches are judged by arrival, not by the cursor bound
     cfg_b = I.IngestConfig(**{**cfg.__dict__, "cursor": None, "start_date": "1970-01-01"})
-    res = I.ingest(msgs, processed if processed.columns else processed, scorer, cfg_b)
+    res = I.ingest(cut_lineage(batch.unionByName(retry)), processed, scorer, cfg_b)
     _write(res.rows, root, "rows", batch_id)
     _write(res.raw, root, "raw", batch_id)
     _write(res.processed, root, "processed", batch_id)
     _write(res.alerts, root, "alerts", batch_id)
-    retry_rows = res.routed.filter(F.col("route").isin("failed", "deferred")).select(*msgs.columns)
-    _write(retry_rows, root, "retry", batch_id)
-    m = res.metrics.withColumn("run_id", F.lit(batch_id))
-    m.write.mode("append").parquet(_path(root, "runs"))  # commit marker, written last
-    res.routed.unpersist()
+    _write(I.side_rows(res.routed), root, "late", batch_id)
+    _write(res.routed.filter(F.col("route").isin("failed", "deferred")).select(*batch.columns), root, "retry", batch_id)
+    run_start = int(I.dt.datetime.fromisoformat(cfg.as_of.replace("Z", "+00:00")).timestamp())
+    counts = res.metrics.first()
+    cursor = I.advance_cursor(counts, run_start, cfg.cursor)
+    done = spark.createDataFrame([(True, counts["failed"], counts["deferred"], cursor)], RUNS)
+    _write(done, root, "runs", batch_id)  # the commit marker, written last
 
 
 def start_ingest(
