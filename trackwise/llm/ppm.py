@@ -42,7 +42,8 @@ SHARED_WORDS = 1 << 18
 SHARED_GRAMS = 1 << 21
 ORDER, DEEP, CLASSES = 3, 6, 32
 CELLS = CLASSES**ORDER * 256
-HELD_ENTRIES = 3_000_000
+HELD_ENTRIES = 2_000_000
+BLOCK_BYTES = 2 << 20
 
 _CLASS = np.zeros(256, np.uint64)
 _CLASS[1:128] = 30  # marks and control characters
@@ -123,7 +124,7 @@ def gather(train: DataFrame) -> DataFrame:
         held: dict[int, list] = {0: [], 3: []}
         total = {0: 0, 3: 0}
         for batch in batches:
-            for rows, raw, offs in blocks(batch, 0):
+            for rows, raw, offs in blocks(batch, 0, BLOCK_BYTES):
                 raw = LOWER[raw]
                 rows_seen += rows.num_rows
                 gram = grams(raw, offs)[0]
@@ -213,7 +214,7 @@ def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
         words_at, grams_at, contexts_at = LongTable(model.words), LongTable(model.grams), LongTable(model.contexts)
         end = float(model.base(np.array(model.ends)))
         for batch in batches:
-            for rows, raw, offs in blocks(batch, 2):
+            for rows, raw, offs in blocks(batch, 2, BLOCK_BYTES):
                 raw = LOWER[raw]
                 gram, edges = grams(raw, offs)
                 at = grams_at.get(gram)

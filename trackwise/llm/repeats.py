@@ -39,11 +39,13 @@ from trackwise.llm.common import parts_for, ship_code, stored
 from trackwise.llm.textbatch import Prefix, blocks
 
 LENGTH = 200
-GRAM = 64
+GRAM = 40
 CHUNK = 1 << 22
-HOT = 1000
+#: Different contexts of one anchor that one task sorts; about 5 MB of bytes.
+HOT = 20_000
 SHALLOW = 8
 BLOCK_CONTEXTS = 20_000
+BLOCK_BYTES = 2 << 20
 _PLACE = np.uint64((1 << 23) - 1)
 
 
@@ -78,9 +80,9 @@ def contexts(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
 
 
 def chunked(raw: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    if len(raw) <= CHUNK:
+    if len(raw) <= CHUNK:  # blocks are shorter, so a longer one is one row
         return contexts(raw, offs, length)
-    parts = []  # blocks this long hold one row
+    parts = []
     for a in range(0, len(raw), CHUNK):
         part = raw[a : a + CHUNK + length - 1]
         got = contexts(part, np.array([0, len(part)]), length)
@@ -170,21 +172,23 @@ def identity(text: Column) -> tuple[Column, Column]:
 
 
 def find_contexts(docs: DataFrame, length: int) -> DataFrame:
-    """k1, k2 and the arrays anchor, context, lo, hi, a row for each document; stored with a row number."""
+    """k1, k2 and the arrays anchor, context, place, a row for each document; stored with a row number.
+
+    ``place`` holds a context's first window start, and in its low 16 bits the number of further ones."""
     ship_code(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, raw, offs in blocks(batch, 2):
+            for rows, raw, offs in blocks(batch, 2, BLOCK_BYTES):
                 row, lo, hi, anchor, context = chunked(raw, offs, length)
                 edges = pa.array(np.searchsorted(row, np.arange(rows.num_rows + 1)).astype(np.int32))
                 lists = [
                     pa.ListArray.from_arrays(edges, pa.array(v))
-                    for v in (anchor.astype(np.int64), context.astype(np.int64), lo.astype(np.int64), hi.astype(np.int64))
+                    for v in (anchor.astype(np.int64), context.astype(np.int64), lo.astype(np.int64) << 16 | (hi - lo).astype(np.int64))
                 ]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *lists], names)
 
-    names = ["k1", "k2", "anchor", "context", "lo", "hi"]
+    names = ["k1", "k2", "anchor", "context", "place"]
     fields = "k1 bigint, k2 bigint, " + ", ".join(f"{c} array<bigint>" for c in names[2:])
     return stored(docs.select("k1", "k2", "text").mapInArrow(run, fields).withColumn("did", F.monotonically_increasing_id()), "repeats-contexts")
 
@@ -251,19 +255,16 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     """k1, k2, copies and marks (array of first and last start of repeated windows) for each different text."""
     texts = docs.groupBy("k1", "k2").agg(F.count("*").alias("copies"))
     found = find_contexts(docs, length)
-    zipped = F.inline(F.arrays_zip("anchor", "context", "lo", "hi"))
-    rows = found.select("did", zipped)
-    counts = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("x"), F.max("context").alias("y"))
-    often = counts.filter("n > 1").select("anchor", (F.col("x") != F.col("y")).alias("mixed"))
+    rows = found.select("did", F.inline(F.arrays_zip("anchor", "context", "place")))
+    often = stored(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "repeats-anchors")
     rows = stored(rows.join(often, "anchor"), "repeats-rows")
 
-    mixed = rows.filter("mixed")
-    kinds = stored(mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("did", "lo", "hi")).alias("r")), "repeats-kinds")
-    sure = rows.filter("NOT mixed").select("did", "lo", "hi").unionByName(
-        mixed.join(kinds.filter("n > 1"), ["anchor", "context"], "left_semi").select("did", "lo", "hi")
-    )
-    many = kinds.groupBy("anchor").agg((F.count("*") > HOT).alias("hot"))
-    wanted = kinds.join(many, "anchor").select("anchor", "context", "n", "hot", "r.*")
+    kinds = rows.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("did", "place")).alias("r"))
+    kinds = stored(kinds.select("anchor", "context", "n", "r.*"), "repeats-kinds")
+    bounds = [F.shiftright("place", 16).alias("lo"), (F.shiftright("place", 16) + F.col("place").bitwiseAND(0xFFFF)).alias("hi")]
+    sure = rows.join(kinds.filter("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("did", *bounds)
+    many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    wanted = kinds.join(many, "anchor").select("anchor", "context", "n", (F.col("kinds") > HOT).alias("hot"), "did", *bounds)
     lists = wanted.groupBy("did").agg(F.collect_list(F.struct("anchor", "context", "n", "hot", "lo", "hi")).alias("wanted"))
     where = lists.join(found.select("did", "k1", "k2"), "did").groupBy("k1", "k2").agg(F.flatten(F.collect_list(F.transform("wanted", lambda w: w.withField("did", F.col("did"))))).alias("wanted"))
     cut = docs.join(where, ["k1", "k2"]).select(F.col("text").cast("binary").alias("raw"), F.explode("wanted").alias("w"))
