@@ -2,13 +2,12 @@
 
 Three patterns give the base spans. Beside them, every long run of key
 characters that stands close after a sensitive word is a candidate. What a
-candidate costs is measured with zstandard: the compressor is primed with a
-dictionary of identifiers common in code and with the text around the
-candidate (the candidate's own string taken out), and the marginal bytes are the
-size of the candidate's frame less that of an empty frame. Names, words and repeated
-placeholders are cheap under such a dictionary; random strings cost about their entropy. A candidate
-whose marginal bytes reach ``NOVELTY`` of its length is reported as ``novel``, unless
-a base span overlaps it.
+candidate costs is measured with zstandard, primed with a dictionary of identifiers
+common in code: its marginal bytes are the size of the frame of the surrounding text and the
+candidate, less that of the surrounding text alone (without other copies of the
+candidate). Names, words and placeholders are cheap there; random strings cost
+about their length. A candidate whose marginal bytes reach ``NOVELTY`` of its
+length is reported as ``novel``, unless a base span overlaps it.
 
 Each document is worked on by itself in the task that reads it. Offsets are code points,
 ends exclusive.
@@ -42,7 +41,11 @@ SENSITIVE = re.compile(r"(?ai:passw|passphrase|passcode|secret|token|api.?key|ac
 REACH = 48
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 AROUND = 256
-NOVELTY = 0.6
+NOVELTY = 0.8
+PLAIN = (
+    "the quick brown fox jumps over the lazy dog and then goes back to where it came from; most names in a program are "
+    "made of words like these, joined by marks_like_this or ByCapitals or with-dashes, and some have numbers like 10 or 2048. "
+)
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key credential credentials authorization bearer "
     "authenticate authentication username user_name user_id client_id client_secret session_id request response "
@@ -57,19 +60,17 @@ IDENTIFIERS = (
 
 
 class Novelty:
-    """Marginal compressed bytes under a dictionary of identifiers and surrounding text."""
+    """Marginal compressed bytes: what a candidate adds to the frame of the text around it, under a dictionary of
+    identifiers. A few plain words come first, so that letters have a price even where little text is around."""
 
     def __init__(self, identifiers: str = IDENTIFIERS, level: int = 3):
-        self.identifiers = identifiers.encode()
-        self.params = zstandard.ZstdCompressionParameters.from_level(
-            level, write_checksum=0, write_content_size=0, write_dict_id=0
-        )
+        dictionary = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        params = zstandard.ZstdCompressionParameters.from_level(level, write_checksum=0, write_content_size=0, write_dict_id=0)
+        self.tool = zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params)
 
     def marginal(self, candidate: str, around: str) -> int:
-        primed = self.identifiers + b" " + around.replace(candidate, " ").encode()
-        dictionary = zstandard.ZstdCompressionDict(primed, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        tool = zstandard.ZstdCompressor(dict_data=dictionary, compression_params=self.params)
-        return len(tool.compress(candidate.encode())) - len(tool.compress(b""))
+        before = (PLAIN + around.replace(candidate, " ")).encode()
+        return len(self.tool.compress(before + candidate.encode())) - len(self.tool.compress(before))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
