@@ -2,7 +2,7 @@
 
 import random
 
-from trackwise.operators.cluster import cluster_keys
+from trackwise.operators.cluster import cluster_keys, similarity_edges
 
 
 def lev1(a, b):
@@ -59,6 +59,25 @@ def test_matches_sequential_walk(spark):
 
 
 def test_no_cartesian_in_plan(spark):
-    df = spark.createDataFrame([("acme", 2, 0), ("acmes", 1, 1)], "key string, cnt long, first_seen long")
-    plan = cluster_keys(df)._jdf.queryExecution().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    """The plan of the candidate pairs themselves, before anything is stored."""
+    df = spark.createDataFrame([("acme", 2, 0), ("acmes", 1, 1), ("acmeindustries", 1, 2)], "key string, cnt long, first_seen long")
+    edges = similarity_edges(df, 7, 0)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert {tuple(sorted(r)) for r in edges.select("a", "b").collect()} == {("acme", "acmes")}
+
+
+def test_long_chain(spark):
+    keys = ["a" * n for n in range(1, 25)]  # each is one letter from the next
+    stats = {k: (1, i) for i, k in enumerate(keys)}
+    df = spark.createDataFrame([(k, c, f) for k, (c, f) in stats.items()], "key string, cnt long, first_seen long")
+    assert {r["key"]: r["canonical"] for r in cluster_keys(df, min_contain=99).collect()} == walk_with(stats, 99)
+
+
+def walk_with(stats, m):
+    order, leaders, out = sorted(stats, key=lambda k: (-stats[k][0], stats[k][1])), [], {}
+    for k in order:
+        out[k] = next((lead for lead in leaders if similar(lead, k, m)), k)
+        if out[k] == k:
+            leaders.append(k)
+    return out

@@ -101,7 +101,6 @@ def cluster_keys(
     key_stats: DataFrame,
     min_contain: int = fixed.CONTAIN_MIN_LEN,
     min_len: int = 0,
-    max_rounds: int = 10_000,
 ) -> DataFrame:
     """``key_stats(key, cnt, first_seen)`` → ``(key, canonical)`` for every key.
 
@@ -134,7 +133,7 @@ def cluster_keys(
             directed.select(F.col("early").alias("key")).distinct().join(lates, "key", "left_anti").withColumn("state", F.lit("L"))
         )
     else:
-        state = _resolve_rounds(directed, lates, max_rounds)
+        state = _resolve_rounds(directed, lates)
 
     leaders = state.filter(F.col("state") == "L").select(F.col("key").alias("early"))
     follow = (
@@ -153,13 +152,14 @@ def cluster_keys(
     return out
 
 
-def _resolve_rounds(directed: DataFrame, lates: DataFrame, max_rounds: int) -> DataFrame:
-    """Round-based leader election for chains; state is checkpointed per round."""
+def _resolve_rounds(directed: DataFrame, lates: DataFrame) -> DataFrame:
+    """Round-based leader election for chains; state is checkpointed per round. The first undecided key of
+    the ranking has decided neighbours only, so every round decides some."""
     state = directed.select(F.col("early").alias("key")).distinct().join(lates, "key", "left_anti").withColumn(
         "state", F.lit("L")
     ).unionByName(lates.withColumn("state", F.lit("U")))
     state = cut_lineage(state)
-    for _ in range(max_rounds):
+    while True:
         undecided = state.filter(F.col("state") == "U").select(F.col("key").alias("late"))
         if undecided.isEmpty():
             return state
@@ -176,4 +176,3 @@ def _resolve_rounds(directed: DataFrame, lates: DataFrame, max_rounds: int) -> D
         state = cut_lineage(
             state.join(decided, "key", "left").select("key", F.coalesce("new_state", "state").alias("state"))
         )
-    raise RuntimeError("clustering did not converge")

@@ -22,6 +22,7 @@ from trackwise import fixed
 from trackwise.functions import text as T
 from trackwise.functions import timefn as TF
 from trackwise.operators.cluster import cluster_keys
+from trackwise.session import cut_lineage
 
 
 def group_key(company_key="company_key", company="company") -> Column:
@@ -57,9 +58,21 @@ def now_minutes(as_of, tz: str) -> int:
     return (w - dt.datetime(1970, 1, 1)).days * 1440 + w.hour * 60 + w.minute
 
 
-def assign_clusters(events: DataFrame, min_contain: int = fixed.CONTAIN_MIN_LEN, min_len: int = 0) -> DataFrame:
-    """Adds ``gkey``, ``cnt``, ``first_seen`` (of the row's own key) and ``cluster``."""
+#: What the rollups read of a clustered event.
+EVENT_COLUMNS = [
+    "received", "company", "company_key", "role", "step", "category", "interview_datetime", "summary", "status", "thread_id", "link",
+    "interviewer", "message_id", "seq", "cnt", "first_seen", "cluster",
+]
+
+
+def assign_clusters(
+    events: DataFrame, min_contain: int = fixed.CONTAIN_MIN_LEN, min_len: int = 0, key_map: DataFrame | None = None
+) -> DataFrame:
+    """Adds ``gkey``, ``cnt``, ``first_seen`` (of the row's own key) and ``cluster``. ``key_map``: a stored result of
+    ``cluster_keys`` for these events, so that several queries cluster once."""
     ev = events.withColumn("gkey", group_key())
+    if key_map is not None:
+        return ev.join(key_map.select(F.col("key").alias("gkey"), "cnt", "first_seen", F.col("canonical").alias("cluster")), "gkey")
     stats = ev.groupBy("gkey").agg(F.count(F.lit(1)).alias("cnt"), F.min("seq").alias("first_seen"))
     stats = stats.withColumnRenamed("gkey", "key")
     keyed = cluster_keys(stats, min_contain, min_len).select(
@@ -68,30 +81,27 @@ def assign_clusters(events: DataFrame, min_contain: int = fixed.CONTAIN_MIN_LEN,
     return ev.join(keyed, "gkey")
 
 
-def segment_events(ev: DataFrame, boundary: Column | None = None, chunk: Column | None = None) -> DataFrame:
+def segment_events(ev: DataFrame, boundary: Column | None = None) -> DataFrame:
     """WN-01: ``seg`` = number of boundary rows strictly before the row in its
     cluster (segments close *after* each boundary).
 
-    Skew-safe two-pass prefix sum: a cluster may hold a third of all rows, so the
-    running count is computed inside (cluster, chunk) windows, where ``chunk`` is
-    a prefix of ``received`` (monotone in the order, default: the hour), and the
-    per-chunk totals — one row per (cluster, chunk) — supply the offsets."""
+    Skew-safe two-pass prefix sum: a cluster, or one instant of a cluster, may hold a third of all rows. The rows are
+    dealt out by ranges of their total order, so every range (``chunk``) has about as many rows whatever the keys; the
+    running count is computed inside (cluster, chunk), and the totals of the chunks, one row each,
+    supply the offsets. The ranges are stored before they are read twice."""
     boundary = T.is_boundary() if boundary is None else boundary
-    chunk = F.substring(F.col("received"), 1, 13) if chunk is None else chunk
-    ev = ev.withColumn("is_boundary", boundary).withColumn("chunk", chunk)
+    order = [F.col("received"), F.col("cnt").desc(), F.col("first_seen"), F.col("seq")]
+    n = int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ev = ev.withColumn("is_boundary", boundary).repartitionByRange(n, F.col("cluster"), *order)
+    ev = cut_lineage(ev.withColumn("chunk", F.spark_partition_id()))
     b = F.col("is_boundary").cast("int")
-    w = (
-        Window.partitionBy("cluster", "chunk")
-        .orderBy(F.col("received"), F.col("cnt").desc(), F.col("first_seen"), F.col("seq"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ev = ev.withColumn("local_before", F.coalesce(F.sum(b).over(w), F.lit(0)))
+    w = Window.partitionBy("cluster", "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = F.coalesce(F.sum(b).over(w), F.lit(0))
     totals = ev.groupBy("cluster", "chunk").agg(F.sum(b).alias("n_boundary"))
     w2 = Window.partitionBy("cluster").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("cluster", "chunk", F.coalesce(F.sum("n_boundary").over(w2), F.lit(0)).alias("offset"))
-    return ev.join(offsets, ["cluster", "chunk"]).withColumn("seg", F.col("offset") + F.col("local_before")).drop(
-        "offset", "local_before", "chunk"
-    )
+    ev = ev.withColumn("local_before", local).join(offsets, ["cluster", "chunk"])
+    return ev.withColumn("seg", F.col("offset") + F.col("local_before")).drop("offset", "local_before", "chunk")
 
 
 def best_company(ev: DataFrame) -> DataFrame:

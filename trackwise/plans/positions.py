@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from trackwise import fixed
 from trackwise.operators import positions as P
+from trackwise.session import cut_lineage
 
 
 def build_positions(
@@ -15,9 +16,10 @@ def build_positions(
     min_contain: int = fixed.CONTAIN_MIN_LEN,
     min_len: int = 0,
     ordered: bool = True,
+    key_map: DataFrame | None = None,
 ) -> DataFrame:
-    ev = P.assign_clusters(tracker, min_contain, min_len)
-    # the segmented events feed four aggregations; keep them instead of recomputing the window
-    ev = P.segment_events(ev).persist()
+    ev = P.assign_clusters(tracker, min_contain, min_len, key_map)
+    # the segmented events feed five aggregations: only the columns that these read are carried and stored
+    ev = cut_lineage(P.segment_events(ev.select(*P.EVENT_COLUMNS)))
     pos = P.position_rollup(ev, as_of, tz).join(P.cluster_rank(ev), "cluster")
     return P.order_positions(pos) if ordered else pos
