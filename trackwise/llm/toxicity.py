@@ -36,6 +36,7 @@ MAX_CHARS = 20_000
 BUCKETS = 1 << 16
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 CUT = 0.3
+CHUNK_WORDS = 100_000
 
 
 def word_ids(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +86,14 @@ class Cnn:
         return np.concatenate([np.maximum(row_reduce(np.maximum, v, edges), 0) for v in values], axis=1), values
 
     def scores(self, ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        z = self.pooled(ids, edges)[0] @ self.out + self.bias + self.shift
+        """Rows are taken together up to ``CHUNK_WORDS`` words (or one row), which bounds the filters' values."""
+        out, a, n = [], 0, len(edges) - 1
+        while a < n:
+            b = min(n, max(a + 1, int(np.searchsorted(edges, edges[a] + CHUNK_WORDS, "right")) - 1))
+            pooled = self.pooled(ids[edges[a] : edges[b]], edges[a : b + 1] - edges[a])[0]
+            out.append(pooled @ self.out)
+            a = b
+        z = np.concatenate(out or [np.zeros(0)]) + self.bias + self.shift
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
@@ -191,8 +199,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_char
     if not 0 < y.sum() < len(y):
         return None
     part = np.asarray(rows["draw"].to_numpy() * (1 << 30)).astype(np.int64) % 4 == 0  # a quarter calibrates
-    batch = rows.select(["text"]).combine_chunks().to_batches()
-    pieces = [word_ids(raw, offs) for b in batch for _, raw, offs in blocks(b, 0)]
+    langs = np.array(rows["lang"].to_pylist(), object)
+    pieces = [word_ids(raw, offs) for b in rows.select(["text"]).to_batches() for _, raw, offs in blocks(b, 0)]
+    del rows
+    pa.default_memory_pool().release_unused()
     at = np.cumsum([0] + [len(i) for i, _ in pieces])
     words = np.concatenate([i for i, _ in pieces])
     edges = np.concatenate([[0]] + [e[1:] + a for (_, e), a in zip(pieces, at, strict=False)]).astype(np.int64)
@@ -206,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_char
     model = train(*subset(learn), y[learn], share)
     test = part if y[part].sum() else np.ones(len(y), bool)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    model.thresholds = calibrate(model.scores(*subset(test)), y[test], weight[test], np.array(rows["lang"].to_pylist(), object)[test])
+    model.thresholds = calibrate(model.scores(*subset(test)), y[test], weight[test], langs[test])
     return model
 
 
