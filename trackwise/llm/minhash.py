@@ -4,14 +4,18 @@
    128-bit key of the set, band keys of its MinHash samples and the odd sketch, a bitmap in which each (sample
    number, sample) flips one bit. Documents with equal keys are one class; only
    one row a class goes on, so exact copies never form pairs.
-2. Classes that share a band key are candidates. In each shared band one member is the centre
-   and the others are compared with it (a star, never all pairs). A pair is dropped early if the sizes rule the
-   threshold out or the exclusive-or of the sketches has too many bits; the rest are confirmed on full sets.
-3. Components of the confirmed links are found by alternating large-star and small-star steps. Bands
-   whose members are in one component are done. Stars are tried again with other centres for the rest, and what then still
-   shares a band across two components is compared whole: members outside the band's largest component with all members of other components. So
-   no candidate between different components is left out, and the
-   pairs made are far fewer than the squares of the bands.
+2. Classes that share a band key are candidates. In each shared band one member, the heaviest, is the centre
+   and the others are compared with it on full sets (a star, never all pairs). Members that have not come into
+   the centre's component form a star around the heaviest of them, and so on for ``STAR_ROUNDS`` rounds: that joins
+   the families of copies that a band holds.
+3. Two members of a band that are both linked with its first centre are in one component already. What is left are
+   links between components of a member x that is not linked with that centre c. The size of the symmetric difference is a
+   metric, and x and y differ in as many shingles as their differences from c do. So if x and y are linked,
+   their differences from c share many elements, and by prefix filtering one of the first few in a fixed order: those that
+   c lacks first, as edits of copies rarely agree there. An equi-join on (centre, element) with the ranks' bounds
+   finds every such pair without pairing off a group of near copies; what passes the sizes and the
+   sketches (the exclusive-or has few bits) is confirmed on full sets.
+4. Components of the confirmed links are found by alternating large-star and small-star steps.
 
 With b bands of r samples a pair of similarity s is no candidate with
 probability (1 - s**r)**b: 3e-6 at 0.8 and 2e-8 at 0.85 for 24 bands of 4.
@@ -112,8 +116,11 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
     return stored(shown.mapInArrow(run, fields).withColumn("rid", F.monotonically_increasing_id()), "minhash-rows")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b) those with den * common >= num * union. ``texts``: node, text."""
+def compare(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """For pairs (a, b): linked (den * common >= num * union), differ (the size of the symmetric difference), na,
+    nb, and ``first``: elements of the difference, those of b before those of a, each in the order of hashes. As many
+    as a link of b with something that a is not linked with, or of an unlinked b with anything, can need;
+    ``right`` is how many the former can need. ``texts``: node, text."""
     with_b = pairs.join(texts.withColumnRenamed("node", "b").withColumnRenamed("text", "text_b"), "b")
     with_both = with_b.join(texts.withColumnRenamed("node", "a").withColumnRenamed("text", "text_a"), "a")
 
@@ -123,44 +130,64 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -
                 va, ea = shingles(raw, offs, size)
                 _, raw_b, offs_b = next(blocks(rows, 3, 1 << 62))
                 vb, eb = shingles(raw_b, offs_b, size)
+                na, nb = np.diff(ea), np.diff(eb)
                 row = np.concatenate([np.repeat(np.arange(len(e) - 1), np.diff(e)) for e in (ea, eb)])
-                both = np.concatenate([va, vb])
+                both, own = np.concatenate([va, vb]), np.repeat([False, True], [len(va), len(vb)])
                 order = np.lexsort((both, row))
-                both, row = both[order], row[order]
+                both, row, own = both[order], row[order], own[order]
                 same = (both[1:] == both[:-1]) & (row[1:] == row[:-1])
                 common = np.bincount(row[1:][same], minlength=rows.num_rows)
-                union = np.diff(ea) + np.diff(eb) - common
-                ok = pa.array(den * common >= num * union)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], ["a", "b"]).filter(ok)
+                linked = den * common >= num * (na + nb - common)
+                alone = ~(np.append(same, False) | np.append(False, same))
+                both, row, own = both[alone], row[alone], own[alone]
+                order = np.lexsort((both, ~own, row))
+                both, row = both[order], row[order]
+                edges = np.searchsorted(row, np.arange(rows.num_rows + 1))
+                differ = np.diff(edges)
+                share = (den - num) / (den + num)
+                most = np.floor(share * nb * (1 + den / num)).astype(np.int64)  # the largest difference from a partner
+                other = np.floor(share * (na + nb * num / den)).astype(np.int64)  # an unlinked partner differs more from a
+                right = np.clip((differ - other + most) // 2 + 1, 0, differ)
+                keep = np.maximum(right, np.where(linked, 0, np.minimum(differ, most + 1)))
+                rank = np.arange(len(both)) - np.repeat(edges[:-1], differ)
+                both = both[rank < np.repeat(keep, differ)]
+                cut = pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        rows.column(0), rows.column(1), pa.array(linked), pa.array(na), pa.array(nb), pa.array(differ),
+                        pa.array(right), pa.ListArray.from_arrays(cut, pa.array(both.view(np.int64))),
+                    ],
+                    ["a", "b", "linked", "na", "nb", "differ", "right", "first"],
+                )
 
-    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    fields = "a bigint, b bigint, linked boolean, na bigint, nb bigint, differ bigint, right bigint, first array<bigint>"
+    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, fields)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of the edges (a, b).
 
-    Large-star and small-star in turn; each step's edges are stored, so neither
-    lineage nor the driver grows. A centre's smallest neighbour comes from an
+    Large-star and small-star in turn, until every node has one edge and that to a node without one; each step's
+    edges are stored, so neither lineage nor the driver grows. A centre's smallest neighbour comes from an
     aggregate with partial results."""
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
-    state = None
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # a node's own edge to its minimum stays, so that it is not lost
-        large = large.unionByName(low.filter("m < u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        large = large.unionByName(low.filter("m < u").select("u", F.col("m").alias("v"))).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         now = stored(small, "cc")
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == state:
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        each = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if each.filter("up > 1 OR (up > 0 AND down > 0)").isEmpty():
             break
-        state = tuple(row)
-    return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
 class NearDups:
@@ -179,57 +206,70 @@ class NearDups:
         self.texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text")
         self.links = self._links()
 
-    def _candidates(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        a = nodes.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        b = nodes.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        bits = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH // 64)), F.lit(0))
-        fits = self.den * F.least("na", "nb") >= self.num * F.greatest("na", "nb")
-        return pairs.join(a, "a").join(b, "b").filter(fits & (bits <= most_bits(self.num, self.den))).select("a", "b")
-
-    def _confirm(self, pairs: DataFrame) -> DataFrame:
-        """Links among the candidate pairs, stored. Only the texts that occur in pairs are moved on."""
-        some = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        where = self.classes.select("node", "doc_id", "text_hash").join(some, "node")
+    def _texts(self, nodes: DataFrame) -> DataFrame:
+        """node, text of some nodes, stored: the only texts that are moved on."""
+        where = self.classes.select("node", "doc_id", "text_hash").join(nodes, "node")
         found = self.texts.join(where, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")))
-        texts = stored(found.select("node", "text").dropDuplicates(["node"]), "minhash-texts")
-        return stored(confirm(pairs, texts, self.size, self.num, self.den), "minhash-links")
+        return stored(found.select("node", "text").dropDuplicates(["node"]), "minhash-texts")
+
+    def _compare(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        return stored(compare(pairs, texts, self.size, self.num, self.den), "minhash-compared")
+
+    @staticmethod
+    def _stars(banded: DataFrame) -> DataFrame:
+        """key, node, weight, a: the other members of each band, with its heaviest as the centre ``a``."""
+        best = banded.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("b"))
+        best = stored(best.select("key", (-F.col("b.m")).alias("a")), "minhash-centres")  # stored, so that the join may split hot keys
+        return stored(banded.join(best, "key").filter("node <> a"), "minhash-members")
 
     def _links(self) -> DataFrame:
-        nodes = self.rows.join(self.classes.select(F.col("node").alias("rid")), "rid", "left_semi")
+        nodes = stored(self.rows.join(self.classes.select(F.col("node").alias("rid")), "rid", "left_semi").select("rid", "sketch", "bands"), "minhash-nodes")
         banded = nodes.select(F.col("rid").alias("node"), F.explode("bands").alias("key"))
-        shared = banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-        banded = stored(banded.join(shared, "key"), "minhash-bands")
-        narrow = nodes.select("rid", "n", "sketch")
-
-        links, tried, labels = None, None, None
-        for turn in range(STAR_ROUNDS + 1):
-            if labels is None:
-                mixed = banded.withColumn("comp", F.col("node"))
-            else:
-                own = banded.join(labels.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-                open_ = own.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-                mixed = stored(own.join(open_, "key"), "minhash-mixed")
-            if turn < STAR_ROUNDS:
-                pick = F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn)))
-                centre = mixed.groupBy("key").agg(pick.alias("c"))
-                pairs = mixed.join(centre, "key").filter("comp <> c.comp").select(F.col("c.node").alias("x"), F.col("node").alias("y"))
-            else:
-                size = mixed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-                large = size.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("large"))
-                parted = mixed.join(large, "key")
-                l = parted.filter("comp <> large").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
-                r = parted.select("key", F.col("node").alias("y"), F.col("comp").alias("cy"), (F.col("comp") == F.col("large")).alias("main"))
-                pairs = l.join(r, "key").filter("cx <> cy AND (main OR x < y)").select("x", "y")
-            pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = stored(pairs, "minhash-pairs")
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            found = self._confirm(stored(self._candidates(pairs, narrow), "minhash-candidates"))
-            links = found if links is None else links.unionByName(found)
-            labels = stored(components(links), "minhash-labels")
-        self.labels = labels
-        return links
+        shared = stored(banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "minhash-shared")
+        # the centre of a band is the member that meets the most others in all its bands: of a family of edited
+        # copies the least edited, so that differences from it are the others' own
+        met = stored(banded.join(shared, "key"), "minhash-met")
+        weight = stored(met.groupBy("node").agg(F.sum("c").alias("weight")), "minhash-weights")
+        member = self._stars(met.drop("c").join(weight, "node"))
+        texts = self._texts(weight.select("node"))
+        stars = self._compare(member.select("a", F.col("node").alias("b")).distinct(), texts)
+        links = stars.filter("linked").select("a", "b")
+        labels = components(links)
+        for _ in range(1, STAR_ROUNDS):
+            root = labels.select(F.col("node").alias("n"), "root")
+            member = member.join(root.withColumnsRenamed({"n": "node", "root": "own"}), "node", "left")
+            member = member.join(root.withColumnsRenamed({"n": "a", "root": "main"}), "a", "left")
+            apart = F.coalesce("own", "node") != F.coalesce("main", "a")
+            member = self._stars(stored(member.filter(apart).select("key", "node", "weight"), "minhash-members"))
+            pairs = member.select("a", F.col("node").alias("b")).distinct()
+            links = links.unionByName(self._compare(pairs, texts).filter("linked").select("a", "b"))
+            labels = components(links)
+
+        # members of a first star whose centre has someone unlinked; their sketches and components go along
+        open_ = stars.filter("NOT linked").select("a").distinct()
+        member = stars.join(open_, "a", "left_semi").join(labels.select(F.col("node").alias("b"), "root"), "b", "left")
+        member = member.join(nodes.select(F.col("rid").alias("b"), "sketch"), "b")
+        member = stored(member.withColumn("root", F.coalesce("root", "b")), "minhash-open")
+        columns = ["b", "root", "sketch", F.col("nb").alias("n"), "differ"]
+        left = member.filter("NOT linked").select("a", F.struct(*columns).alias("x"), F.posexplode("first").alias("rx", "e"))
+        right = member.select("a", F.struct(*columns).alias("y"), F.posexplode(F.slice("first", 1, F.col("right").cast("int"))).alias("ry", "e"))
+        # elements that only one component has lead nowhere
+        roots = left.select("a", "e", F.col("x.root").alias("root")).unionByName(right.select("a", "e", F.col("y.root").alias("root")))
+        several = roots.groupBy("a", "e").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("a", "e")
+        several = stored(several, "minhash-elements")
+        left, right = left.join(several, ["a", "e"], "left_semi"), right.join(several, ["a", "e"], "left_semi")
+        bits = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
+        # twice the number of common elements that a link needs; a rank that leaves fewer rules the pair out
+        need = f"(x.differ + y.differ - floor((x.n + y.n) * {self.den - self.num} / {self.den + self.num}))"
+        fits = (
+            f"x.root <> y.root AND 2 * rx <= 2 * x.differ - {need} AND 2 * ry <= 2 * y.differ - {need} "
+            f"AND {self.den} * least(x.n, y.n) >= {self.num} * greatest(x.n, y.n)"
+        )
+        near = left.join(right, ["a", "e"]).filter(F.expr(fits) & (bits <= most_bits(self.num, self.den)))
+        rest = near.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
+        more = self._compare(rest, texts).filter("linked").select("a", "b")
+        self.labels = components(links.unionByName(more))
+        return links.unionByName(more)
 
     def documents(self) -> DataFrame:
         """doc_id, text_hash, n, component_id: a row for each document."""
