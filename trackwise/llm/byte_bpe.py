@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from trackwise.llm.common import ship_code
 
 LONG_PIECE = 256
-BLOCK_BYTES = 4 << 20
-MEMO_PIECES = 400_000
+BLOCK_BYTES = 1 << 20
+MEMO_PIECES = 200_000
 NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

@@ -45,7 +45,7 @@ CHUNK = 1 << 22
 HOT = 20_000
 SHALLOW = 8
 BLOCK_CONTEXTS = 20_000
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _PLACE = np.uint64((1 << 23) - 1)
 
 
