@@ -109,3 +109,12 @@ def test_words_beyond_the_shared_ones_count_too(spark, monkeypatch):
     first = {(r.doc_id, r.n_tokens): (r.n_known, round(r.base_score, 8)) for r in ppm.lm_scores(df).collect()}
     monkeypatch.setattr(ppm, "SHARED_WORDS", 2)
     assert first == {(r.doc_id, r.n_tokens): (r.n_known, round(r.base_score, 8)) for r in ppm.lm_scores(df).collect()}
+
+
+def test_grams_beyond_the_shared_ones_count_too(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t) for i, t in rows() if i is not None], "doc_id bigint, text string")
+    want = {(r.doc_id, r.n_tokens): r.score for r in ppm.lm_scores(df).collect()}
+    for limit in (0, 60, 400):
+        monkeypatch.setattr(ppm, "SHARED_GRAMS", limit)
+        got = {(r.doc_id, r.n_tokens): r.score for r in ppm.lm_scores(df).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-6) for k in want)

@@ -10,9 +10,9 @@ seen. Texts are scored with A-Z folded, followed by an end symbol (a zero byte).
 
 The upper part of the trie, contexts of up to three bytes, has at most 32**3 × 256
 counts, a bound that holds for any corpus; for a trained trie it is one table of log
-probabilities. Below it hang contexts of six bytes. All of their counts are gathered; the tasks
-get those above a cut that leaves at most ``SHARED_GRAMS``. What the cut takes from a context
-counts as escapes there, so every context still sums to one.
+probabilities. Below it hang contexts of six bytes. All of them count: the tasks get the contexts with
+the largest counts, each whole, as long as they have at most ``SHARED_GRAMS`` followers; bytes whose longest
+contexts a task lacks are joined with the others (each row's different grams, with their times).
 
 Counts of the trie and of words are gathered from all training documents: tasks add up their
 own, Spark sums them by key. Words are keyed by 64-bit hashes.
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackwise.llm.common import fold, ship_code, stored
@@ -40,7 +40,7 @@ from trackwise.llm.textbatch import LOWER, LongTable, Words, blocks, row_reduce
 
 SHARED_WORDS = 1 << 18
 SHARED_GRAMS = 1 << 21
-ORDER, DEEP, CLASSES = 3, 6, 32
+ORDER, DEEP, CLASSES, LEVELS = 3, 6, 32, 1
 CELLS = CLASSES**ORDER * 256
 HELD_ENTRIES = 2_000_000
 BLOCK_BYTES = 2 << 20
@@ -151,28 +151,63 @@ def gather(train: DataFrame) -> DataFrame:
     return stored(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")
 
 
-def most(counts: DataFrame, limit: int) -> DataFrame:
-    """The rows with the largest counts, at most ``limit``: the cut is the least power of 2**(1/4) that keeps to it."""
-    step = F.floor(F.log2("n") * 4).cast("int")
+def cut_at(counts: DataFrame, limit: int, by: str = "n", size: Column | None = None) -> tuple[Column, bool]:
+    """Which rows have the largest counts, with sizes that add up to at most ``limit``: the cut is the least power of
+    2**(1/4) that keeps to it. Also whether any row is left out."""
+    step = F.floor(F.log2(by) * 4).cast("int")
     cut, above = 1 << 20, 0
-    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):  # at most 256 rows
-        above += r["count"]
+    steps = counts.groupBy(step.alias("step")).agg(F.sum(F.lit(1) if size is None else size).alias("size")).collect()  # at most 256 rows
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        above += r["size"]
         if above > limit:
-            break
+            return step >= cut, True
         cut = r["step"]
-    return counts.filter(step >= cut)
+    return step >= cut, False
+
+
+def levels(key: Column) -> list[Column]:
+    """The keys under which a gathered gram counts below the upper trie, longest context first, and its cell. The number
+    of the level stands from bit 59, the symbol in the low eight bits."""
+    return [key.bitwiseOR(F.lit(1 << 59)), key.bitwiseAND(F.lit(CELLS - 1))]
+
+
+def level_keys(gram: np.ndarray) -> list[np.ndarray]:
+    """The same without the cell, for an array."""
+    return [gram | np.uint64(1 << 59)]
+
+
+def contexts(counts: DataFrame) -> DataFrame:
+    """A row for each context below the upper trie: context, total, kinds, escape, grams (key, direct; at most 256)."""
+    chain = levels(F.col("key"))
+    pairs = [F.struct(a.alias("key"), b.alias("lower")) for a, b in zip(chain, chain[1:], strict=False)]
+    deep = counts.filter("kind = 3").select(F.explode(F.array(*pairs)).alias("g"), "n")
+    deep = deep.groupBy("g.key", "g.lower").agg(F.sum("n").alias("n"))
+    both = deep.unionByName(counts.filter("kind = 1").select("key", F.lit(None).cast("bigint").alias("lower"), "n"))
+    own = both.groupBy(F.shiftright("key", 8).alias("context")).agg(
+        F.sum("n").alias("total"), F.count("*").alias("kinds"), F.collect_list(F.struct("key", "lower", "n")).alias("grams")
+    )
+    each = stored(own, "ppm-contexts").select("context", "total", "kinds", F.inline("grams"))
+    each = each.withColumn("p", F.col("n") / (F.col("total") + F.col("kinds")))
+    below = each.select(F.col("key").alias("lower"), F.col("p").alias("q"))  # what followed a context followed the shorter one too
+    out = each.filter("lower IS NOT NULL").join(below, "lower").groupBy("context").agg(
+        F.first("total").alias("total"), F.first("kinds").alias("kinds"), F.sum("q").alias("mass"),
+        F.collect_list(F.struct("key", F.log10("p").alias("direct"))).alias("grams"),
+    )
+    # the shorter context answers without the symbols that this one has
+    escape = F.log10(F.col("kinds") / (F.col("total") + F.col("kinds"))) - F.log10(F.greatest(1 - F.col("mass"), F.lit(1e-9)))
+    return stored(out.select("context", "total", "kinds", escape.alias("escape"), "grams"), "ppm-escapes")
 
 
 class Model:
     """What the tasks get: the table of the trie, the common words, and the totals."""
 
-    def __init__(self, counts: DataFrame):
+    def __init__(self, counts: DataFrame, deep: DataFrame | None = None):
         words = counts.filter("kind = 0")
         row = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
         ends = counts.filter("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         self.ends, self.tokens = int(ends), int(row.n) + int(ends)
         self.divisor = self.tokens + 0.5 * (row.v + (1 if ends else 0) + 1)
-        common = most(words, SHARED_WORDS).select("key", "n").toArrow()
+        common = words.filter(cut_at(words, SHARED_WORDS)[0]).select("key", "n").toArrow()
         self.words = common["key"].to_numpy().view(np.uint64)
         self.counts = common["n"].to_numpy()
         upper = counts.filter("kind = 1").select("key", "n").toArrow()  # at most CELLS rows
@@ -180,34 +215,78 @@ class Model:
         trie[upper["key"].to_numpy()] = upper["n"].to_numpy()
         self.table = log_table(trie)
         del trie, upper
-        self._lower(counts.filter("kind = 3"))
+        self._lower(contexts(counts) if deep is None else deep)
 
     def _lower(self, deep: DataFrame) -> None:
-        kept = most(deep, SHARED_GRAMS)
-        context = F.shiftright("key", 8).alias("context")
-        sums = kept.groupBy(context).agg(F.sum("n").alias("kept"), F.count("*").alias("kinds"))
-        all_ = deep.groupBy(context).agg(F.sum("n").alias("total"))
-        rows = kept.select("key", "n").toArrow()  # at most SHARED_GRAMS rows, and no more contexts
-        per = sums.join(all_, "context").toArrow()
-        self.grams, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-        self.contexts = per["context"].to_numpy().view(np.uint64)
-        total, kinds, held = (per[c].to_numpy().astype(float) for c in ("total", "kinds", "kept"))
-        escapes = kinds + total - held
-        of = LongTable(self.contexts).get(self.grams >> np.uint64(8))
-        self.direct = np.log10(n / (total + kinds)[of]).astype(np.float32)
-        # the shorter context answers without the symbols that this one has
-        mass = np.bincount(of, 10.0 ** self.table[cells(self.grams)].astype(float), len(self.contexts))
-        self.escape = (np.log10(escapes / (total + kinds)) - np.log10(np.maximum(1 - mass, 1e-9))).astype(np.float32)
+        kept = deep.filter(cut_at(deep, SHARED_GRAMS, "total", F.col("kinds"))[0])
+        rows = kept.select(F.inline("grams")).toArrow()  # at most SHARED_GRAMS rows, and no more contexts
+        per = kept.select("context", "escape").toArrow()
+        self.grams, self.direct = rows["key"].to_numpy().view(np.uint64), rows["direct"].to_numpy()
+        self.contexts, self.escape = per["context"].to_numpy().view(np.uint64), per["escape"].to_numpy()
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / self.divisor)
 
 
+def tally(row: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first place of each different key of a row, by rows; how often it stands there; the edges of the ``n`` rows."""
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])) if len(row) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    return order[first], np.diff(np.append(first, len(row))), np.searchsorted(row[first], np.arange(n + 1)).astype(np.int32)
+
+
+def trie_scores(model: Model, grams_at: LongTable, contexts_at: LongTable, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probabilities by the shared contexts, and the number of the longest level whose context is shared.
+
+    A context's suffix has at least its count, so all shorter contexts of a shared one are shared."""
+    bits, paid = model.table[cells(gram)].astype(np.float64), np.zeros(len(gram))
+    keys = level_keys(gram)
+    known, todo = np.full(len(gram), len(keys), np.int8), np.arange(len(gram))
+    for level, key in zip(range(len(keys), 0, -1), keys, strict=True):
+        key = key[todo]
+        at = grams_at.get(key)
+        hit = at >= 0
+        bits[todo[hit]] = paid[todo[hit]] + (model.direct[at[hit]] if hit.any() else 0)
+        todo, key = todo[~hit], key[~hit]
+        at = contexts_at.get(key >> np.uint64(8))
+        there = at >= 0
+        paid[todo[there]] += model.escape[at[there]] if there.any() else 0
+        known[todo[~there]] = level - 1
+    bits[todo] += paid[todo]
+    return bits, known
+
+
+def unshared(rows: DataFrame, rest: DataFrame) -> DataFrame:
+    """rid, gain: what the contexts that the tasks do not have (``rest``) add to the rows' scores.
+
+    ``asked`` holds a gram and, from bit 56, the longest level that the task had; ``own`` the task's answer."""
+    asked = rows.select("rid", F.inline(F.arrays_zip("asked", "own", "often")))
+    chain = levels(F.col("asked").bitwiseAND(F.lit((1 << 56) - 1)))[:-1]
+    steps = F.array(*[F.struct(F.lit(len(chain) - j).alias("level"), k.alias("key")) for j, k in enumerate(chain)])
+    each = asked.groupBy("asked").agg(F.min("own").alias("own")).select(
+        "asked", "own", F.inline(F.filter(steps, lambda x: x["level"] > F.shiftright("asked", 56)))
+    )
+    met = each.withColumn("context", F.shiftright("key", 8)).join(rest.select("context", "escape", "grams"), "context")
+    met = met.withColumn("direct", F.get(F.filter("grams", lambda g: g["key"] == F.col("key")), F.lit(0))["direct"])
+    answers = met.groupBy("asked").agg(
+        F.min("own").alias("own"), F.max(F.when(F.col("direct").isNotNull(), F.struct("level", "direct"))).alias("hit"),
+        F.collect_list(F.struct("level", "escape")).alias("steps"),  # at most one a level
+    )
+    paid = F.filter("steps", lambda x: x["level"] > F.coalesce("hit.level", F.lit(0)))
+    paid = F.aggregate(paid, F.lit(0.0), lambda sum_, x: sum_ + x["escape"])
+    answers = answers.select("asked", (F.coalesce("hit.direct", "own") + paid - F.col("own")).alias("more"))
+    return asked.join(answers, "asked").groupBy("rid").agg(F.sum(F.col("often") * F.col("more")).alias("gain"))
+
+
 def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """The contract's columns for every row of doc_id, held_out, text."""
     spark = docs.sparkSession
-    model = Model(counts)
+    deep = contexts(counts)
+    model = Model(counts, deep)
     shared = spark.sparkContext.broadcast(model)
+    kept, cut = cut_at(deep, SHARED_GRAMS, "total", F.col("kinds"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -217,13 +296,12 @@ def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
             for rows, raw, offs in blocks(batch, 2, BLOCK_BYTES):
                 raw = LOWER[raw]
                 gram, edges = grams(raw, offs)
-                at = grams_at.get(gram)
-                bits = model.direct[at].astype(np.float64) if len(model.direct) else np.zeros(len(gram))
-                miss = np.flatnonzero(at < 0)
-                at = contexts_at.get(gram[miss] >> np.uint64(8))
-                bits[miss] = model.table[cells(gram[miss])]
-                bits[miss[at >= 0]] += model.escape[at[at >= 0]]
+                bits, level = trie_scores(model, grams_at, contexts_at, gram)
                 code = row_reduce(np.add, bits, edges)
+                open_ = np.flatnonzero(level < LEVELS) if cut else np.zeros(0, np.int64)
+                asked = gram[open_] | level[open_].astype(np.uint64) << np.uint64(56)
+                some, often, parts = tally(np.searchsorted(edges, open_, "right") - 1, asked, rows.num_rows)
+                asked, own = asked[some].view(np.int64), bits[open_[some]]
                 words = Words(raw, offs)
                 h = words.hashes()
                 at = words_at.get(h)
@@ -231,24 +309,22 @@ def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
                 base = row_reduce(np.add, np.where(count >= 0, model.base(np.maximum(count, 0)), 0.0), words.edges) + end
                 known = row_reduce(np.add, (count >= 0).astype(np.int64), words.edges) + (model.ends > 0)
                 rare = np.flatnonzero(count < 0)
-                order = rare[np.lexsort((h[rare], words.row[rare]))]
-                row, key = words.row[order], h[order]
-                new = np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])) if len(row) else np.zeros(0, bool)
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(row)))
-                split = pa.array(np.searchsorted(row[first], np.arange(rows.num_rows + 1)).astype(np.int32))
+                first, times, split = tally(words.row[rare], h[rare], rows.num_rows)
+                key = h[rare[first]].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0), rows.column(1), pa.array(np.diff(words.edges) + 1), pa.array(known), pa.array(base), pa.array(code),
-                        pa.ListArray.from_arrays(split, pa.array(key[first].view(np.int64))),
-                        pa.ListArray.from_arrays(split, pa.array(times.astype(np.int32))),
+                        pa.ListArray.from_arrays(split, pa.array(key)), pa.ListArray.from_arrays(split, pa.array(times.astype(np.int32))),
+                        pa.ListArray.from_arrays(parts, pa.array(asked)), pa.ListArray.from_arrays(parts, pa.array(own)),
+                        pa.ListArray.from_arrays(parts, pa.array(often.astype(np.int32))),
                     ],
                     names,
                 )
 
-    names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"]
+    names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times", "asked", "own", "often"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, rare array<bigint>, times array<int>"
+    fields = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, "
+    fields += "rare array<bigint>, times array<int>, asked array<bigint>, own array<double>, often array<int>"
     rows = docs.select("doc_id", "held_out", "text").mapInArrow(run, fields).withColumn("rid", F.monotonically_increasing_id())
     rows = stored(rows, "ppm-rows")
     rare = rows.select("rid", F.inline(F.arrays_zip("rare", "times")))
@@ -258,12 +334,14 @@ def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
         F.sum(F.col("times") * F.log10((n + 0.5) / F.lit(model.divisor))).alias("more"),
         F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("also"),
     )
-    return rows.join(sums, "rid", "left").select(
+    out = rows.join(sums, "rid", "left")
+    out = out.join(unshared(rows, deep.filter(~kept)), "rid", "left") if cut else out.withColumn("gain", F.lit(0.0))
+    return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )
 
 
