@@ -118,3 +118,56 @@ def test_grams_beyond_the_shared_ones_count_too(spark, monkeypatch):
         monkeypatch.setattr(ppm, "SHARED_GRAMS", limit)
         got = {(r.doc_id, r.n_tokens): r.score for r in ppm.lm_scores(df).collect()}
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-6) for k in want)
+
+
+def test_letters_of_other_scripts_and_digits_are_told_apart(spark):
+    rng = random.Random(4)
+    data = []
+    for i in range(200):  # every letter or digit is told by the one before it
+        for j, signs in enumerate(("абвгдежзиклмнопр", "日月火水木金土山川田", "0123456789")):
+            at = rng.randrange(len(signs))
+            data.append((3 * i + j, "".join(signs[(at + 3 * k) % len(signs)] for k in range(40))))
+    got = ppm.lm_scores(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
+    text = dict(data)
+    for j in range(3):
+        some = [r for r in got if r.held_out and r.doc_id % 3 == j]
+        bits = -sum(r.score for r in some) / math.log10(2) / sum(len(text[r.doc_id].encode()) for r in some)
+        assert len(some) > 20 and bits < 0.4
+
+
+def test_contexts_against_the_textbook_recursion(spark):
+    """Each level pays its escape and leaves the rest to the next shorter context, in proportion."""
+    data = rows()[:120]
+    got = {r.doc_id: r.score for r in ppm.lm_scores(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    code = lambda b: int(ppm._CLASS[b])
+
+    def chain(six):  # the contexts, longest first
+        c3, c2, c1 = (code(b) for b in six[3:])
+        return [six, six[1:], six[2:], six[3:], (c3, *six[4:]), (c3, c2, six[5])]
+
+    def grams(text):
+        raw = bytes(6) + folded(text) + bytes(1)
+        return [(tuple(raw[k - 6 : k]), raw[k]) for k in range(6, len(raw))]
+
+    deep = [{} for _ in range(6)]
+    upper = {}
+    for i, t in data:
+        if not held(i):
+            for six, s in grams(t):
+                for level, c in enumerate(chain(six)):
+                    deep[level].setdefault(c, Counter())[s] += 1
+                three = tuple(code(b) for b in six[3:])
+                for k in range(4):
+                    upper.setdefault(three[3 - k :], Counter())[s] += 1
+
+    def p(six, s, level=0):
+        if level == 6:
+            return textbook(upper, tuple(code(b) for b in six[3:]), s)
+        own = deep[level].get(chain(six)[level])
+        if not own:
+            return p(six, s, level + 1)
+        total = sum(own.values()) + len(own)
+        return own[s] / total if s in own else len(own) / total * p(six, s, level + 1) / (1 - sum(p(six, x, level + 1) for x in own))
+
+    for i, t in data[:40]:
+        assert math.isclose(got[i], sum(math.log10(p(six, s)) for six, s in grams(t)), rel_tol=1e-4)

@@ -1,17 +1,17 @@
 """Operator 3, language-model scores: prediction by partial matching over bytes.
 
-The trie predicts each byte of a text from the bytes before it. Context bytes are told apart by 32
-classes (each letter, white space, digits, marks, UTF-8 leads, UTF-8 tails,
-the end), predicted bytes are told apart fully. A byte is predicted from the longest context
-that the trie has; if it never followed there, the escape probability (method C: different
+The trie predicts each byte of a text from the bytes before it. A byte is predicted from the longest
+context that the trie has; if it never followed there, the escape probability (method C: different
 followers over occurrences plus followers) is paid and the next shorter
 context is asked, with the symbols excluded that the longer one had; last come the symbols never
 seen. Texts are scored with A-Z folded, followed by an end symbol (a zero byte).
 
-The upper part of the trie, contexts of up to three bytes, has at most 32**3 × 256
-counts, a bound that holds for any corpus; for a trained trie it is one table of log
-probabilities. Below it hang contexts of six bytes. All of them count: the tasks get the contexts with
-the largest counts, each whole, as long as they have at most ``SHARED_GRAMS`` followers; bytes whose longest
+Contexts are nested, each a part of the next shorter: the last six, five, four and three bytes; the last two and the last
+one with the classes of the bytes up to the third; then the upper trie, three classes to none. There are 32
+classes (each letter, white space, digits, marks, UTF-8 leads, UTF-8 tails, the end). The upper
+trie has at most 32**3 × 256 counts, a bound that holds for any corpus; it is one table of log
+probabilities. All contexts below it count: the tasks get those with the
+largest counts, each whole, as long as they have at most ``SHARED_GRAMS`` followers; bytes whose longest
 contexts a task lacks are joined with the others (each row's different grams, with their times).
 
 Counts of the trie and of words are gathered from all training documents: tasks add up their
@@ -40,7 +40,7 @@ from trackwise.llm.textbatch import LOWER, LongTable, Words, blocks, row_reduce
 
 SHARED_WORDS = 1 << 18
 SHARED_GRAMS = 1 << 21
-ORDER, DEEP, CLASSES, LEVELS = 3, 6, 32, 1
+ORDER, DEEP, CLASSES, LEVELS = 3, 6, 32, 6
 CELLS = CLASSES**ORDER * 256
 HELD_ENTRIES = 2_000_000
 BLOCK_BYTES = 2 << 20
@@ -55,18 +55,21 @@ _CLASS[128:192] = 29
 _CLASS[192:256] = 31
 
 
-def grams(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte and end of each text: the classes of the ``DEEP`` bytes before it, five bits each, and itself
+_SAME = np.arange(256, dtype=np.uint64)
+
+
+def grams(raw: np.ndarray, offs: np.ndarray, code: np.ndarray = _CLASS, bits: int = 5, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte and end of each text: the codes (classes) of the ``order`` bytes before it, ``bits`` each, and itself
     in the low eight bits. Also the row edges. ``raw`` is folded."""
     rows = len(offs) - 1
     size = np.diff(offs)
     begin = offs[:-1] + DEEP * np.arange(1, rows + 1)
     full = np.zeros(len(raw) + DEEP * (rows + 1), np.uint8)  # ends stand between the texts and before the first
     full[np.arange(len(raw)) + DEEP * (np.repeat(np.arange(rows), size) + 1)] = raw
-    code, n = _CLASS[full], len(full) - DEEP
+    code, n = code[full], len(full) - DEEP
     gram = np.zeros(n, np.uint64)
-    for j in range(DEEP):
-        gram = (gram << np.uint64(5)) | code[j : j + n]
+    for j in range(DEEP - order, DEEP):
+        gram = (gram << np.uint64(bits)) | code[j : j + n]
     gram = (gram << np.uint64(8)) | full[DEEP:]
     wanted = np.ones(n, bool)  # of the ends after a text only the first is a symbol
     for extra in range(1, DEEP):
@@ -75,6 +78,11 @@ def grams(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return gram[wanted], np.concatenate([[0], np.cumsum(size + 1)])
 
 
+def deep_grams(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The ``DEEP`` bytes before each byte and end, and itself: 56 bits."""
+    return grams(raw, offs, _SAME, 8, DEEP)[0]
+
+
 def cells(gram: np.ndarray) -> np.ndarray:
     """The cell of the upper trie: three classes and the symbol."""
     return (gram & np.uint64(CELLS - 1)).astype(np.int32)
@@ -127,9 +135,8 @@ def gather(train: DataFrame) -> DataFrame:
             for rows, raw, offs in blocks(batch, 0, BLOCK_BYTES):
                 raw = LOWER[raw]
                 rows_seen += rows.num_rows
-                gram = grams(raw, offs)[0]
-                trie += np.bincount(cells(gram), minlength=CELLS)
-                for kind, keys in ((0, Words(raw, offs).hashes()), (3, gram)):
+                trie += np.bincount(cells(grams(raw, offs)[0]), minlength=CELLS)
+                for kind, keys in ((0, Words(raw, offs).hashes()), (3, deep_grams(raw, offs))):
                     keys, n = np.unique(keys.view(np.int64), return_counts=True)
                     held[kind].append((keys, n))
                     total[kind] += len(keys)
@@ -168,16 +175,34 @@ def cut_at(counts: DataFrame, limit: int, by: str = "n", size: Column | None = N
 def levels(key: Column) -> list[Column]:
     """The keys under which a gathered gram counts below the upper trie, longest context first, and its cell. The number
     of the level stands from bit 59, the symbol in the low eight bits."""
-    return [key.bitwiseOR(F.lit(1 << 59)), key.bitwiseAND(F.lit(CELLS - 1))]
-
-
-def level_keys(gram: np.ndarray) -> list[np.ndarray]:
-    """The same without the cell, for an array."""
-    return [gram | np.uint64(1 << 59)]
+    classes = F.lit([int(c) for c in _CLASS])
+    byte = [F.shiftright(key, 8 * j).bitwiseAND(F.lit(255)) for j in range(ORDER + 1)]
+    cell = byte[0].cast("bigint")
+    for j in range(1, ORDER + 1):
+        cell = cell.bitwiseOR(F.shiftleft(F.get(classes, byte[j].cast("int")).cast("bigint"), 5 * j + 3))
+    out = []
+    for level in range(LEVELS, 0, -1):
+        if level >= ORDER:  # the class of each byte that a shorter context needs is in the key
+            part = key.bitwiseAND(F.lit((1 << 8 * level + 8) - 1))
+        else:
+            part = F.shiftleft(F.shiftright(key, 8).bitwiseAND(F.lit((1 << 8 * level) - 1)), 23).bitwiseOR(cell)
+        out.append(part.bitwiseOR(F.lit(level << 59)))
+    return [*out, cell]
+
+
+def level_key(level: int, gram: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """The same of one level, for an array and its cells."""
+    if level >= ORDER:
+        part = gram & np.uint64((1 << 8 * level + 8) - 1)
+    else:
+        part = ((gram >> np.uint64(8)) & np.uint64((1 << 8 * level) - 1)) << np.uint64(23) | cell.astype(np.uint64)
+    return part | np.uint64(level << 59)
 
 
 def contexts(counts: DataFrame) -> DataFrame:
-    """A row for each context below the upper trie: context, total, kinds, escape, grams (key, direct; at most 256)."""
+    """A row for each context below the upper trie: context, total, kinds, escape, grams (key, direct; at most 256).
+
+    ``around`` is the count of the next shorter context. Where it is the same, so are all answers."""
     chain = levels(F.col("key"))
     pairs = [F.struct(a.alias("key"), b.alias("lower")) for a, b in zip(chain, chain[1:], strict=False)]
     deep = counts.filter("kind = 3").select(F.explode(F.array(*pairs)).alias("g"), "n")
@@ -188,14 +213,14 @@ def contexts(counts: DataFrame) -> DataFrame:
     )
     each = stored(own, "ppm-contexts").select("context", "total", "kinds", F.inline("grams"))
     each = each.withColumn("p", F.col("n") / (F.col("total") + F.col("kinds")))
-    below = each.select(F.col("key").alias("lower"), F.col("p").alias("q"))  # what followed a context followed the shorter one too
+    below = each.select(F.col("key").alias("lower"), F.col("p").alias("q"), F.col("total").alias("around"))  # what followed a context followed the shorter one too
     out = each.filter("lower IS NOT NULL").join(below, "lower").groupBy("context").agg(
-        F.first("total").alias("total"), F.first("kinds").alias("kinds"), F.sum("q").alias("mass"),
+        F.first("total").alias("total"), F.first("kinds").alias("kinds"), F.sum("q").alias("mass"), F.first("around").alias("around"),
         F.collect_list(F.struct("key", F.log10("p").alias("direct"))).alias("grams"),
     )
     # the shorter context answers without the symbols that this one has
     escape = F.log10(F.col("kinds") / (F.col("total") + F.col("kinds"))) - F.log10(F.greatest(1 - F.col("mass"), F.lit(1e-9)))
-    return stored(out.select("context", "total", "kinds", escape.alias("escape"), "grams"), "ppm-escapes")
+    return stored(out.select("context", "total", "kinds", "around", escape.alias("escape"), "grams"), "ppm-escapes")
 
 
 class Model:
@@ -221,8 +246,13 @@ class Model:
         kept = deep.filter(cut_at(deep, SHARED_GRAMS, "total", F.col("kinds"))[0])
         rows = kept.select(F.inline("grams")).toArrow()  # at most SHARED_GRAMS rows, and no more contexts
         per = kept.select("context", "escape").toArrow()
-        self.grams, self.direct = rows["key"].to_numpy().view(np.uint64), rows["direct"].to_numpy()
-        self.contexts, self.escape = per["context"].to_numpy().view(np.uint64), per["escape"].to_numpy()
+        key, direct = rows["key"].to_numpy().view(np.uint64), rows["direct"].to_numpy()
+        context, escape = per["context"].to_numpy().view(np.uint64), per["escape"].to_numpy()
+        self.levels = []  # from the shortest
+        for level in range(1, LEVELS + 1):
+            at, of = key >> np.uint64(59) == level, context >> np.uint64(51) == level
+            self.levels.append((key[at], direct[at], context[of], escape[of]))
+        self.grams, self.direct, self.contexts, self.escape = self.levels[0]  # next to the upper trie
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / self.divisor)
@@ -237,22 +267,25 @@ def tally(row: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return order[first], np.diff(np.append(first, len(row))), np.searchsorted(row[first], np.arange(n + 1)).astype(np.int32)
 
 
-def trie_scores(model: Model, grams_at: LongTable, contexts_at: LongTable, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def trie_scores(model: Model, tables: list, gram: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 probabilities by the shared contexts, and the number of the longest level whose context is shared.
 
-    A context's suffix has at least its count, so all shorter contexts of a shared one are shared."""
-    bits, paid = model.table[cells(gram)].astype(np.float64), np.zeros(len(gram))
-    keys = level_keys(gram)
-    known, todo = np.full(len(gram), len(keys), np.int8), np.arange(len(gram))
-    for level, key in zip(range(len(keys), 0, -1), keys, strict=True):
-        key = key[todo]
+    A shorter context has at least the count of a longer one, so all those of a shared one are shared."""
+    bits, paid = model.table[cell].astype(np.float64), np.zeros(len(gram))
+    known, todo = np.full(len(gram), LEVELS, np.int8), np.arange(len(gram))
+    for level in range(LEVELS, 0, -1):
+        key = level_key(level, gram[todo], cell[todo])
+        grams_at, contexts_at = tables[level - 1]
+        _, direct, _, escape = model.levels[level - 1]
         at = grams_at.get(key)
         hit = at >= 0
-        bits[todo[hit]] = paid[todo[hit]] + (model.direct[at[hit]] if hit.any() else 0)
+        if hit.any():
+            bits[todo[hit]] = paid[todo[hit]] + direct[at[hit]]
         todo, key = todo[~hit], key[~hit]
         at = contexts_at.get(key >> np.uint64(8))
         there = at >= 0
-        paid[todo[there]] += model.escape[at[there]] if there.any() else 0
+        if there.any():
+            paid[todo[there]] += escape[at[there]]
         known[todo[~there]] = level - 1
     bits[todo] += paid[todo]
     return bits, known
@@ -290,13 +323,14 @@ def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        words_at, grams_at, contexts_at = LongTable(model.words), LongTable(model.grams), LongTable(model.contexts)
+        words_at, tables = LongTable(model.words), [(LongTable(g), LongTable(c)) for g, _, c, _ in model.levels]
         end = float(model.base(np.array(model.ends)))
         for batch in batches:
             for rows, raw, offs in blocks(batch, 2, BLOCK_BYTES):
                 raw = LOWER[raw]
-                gram, edges = grams(raw, offs)
-                bits, level = trie_scores(model, grams_at, contexts_at, gram)
+                upper, edges = grams(raw, offs)
+                gram = deep_grams(raw, offs)
+                bits, level = trie_scores(model, tables, gram, cells(upper))
                 code = row_reduce(np.add, bits, edges)
                 open_ = np.flatnonzero(level < LEVELS) if cut else np.zeros(0, np.int64)
                 asked = gram[open_] | level[open_].astype(np.uint64) << np.uint64(56)
@@ -335,7 +369,7 @@ def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
         F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("also"),
     )
     out = rows.join(sums, "rid", "left")
-    out = out.join(unshared(rows, deep.filter(~kept)), "rid", "left") if cut else out.withColumn("gain", F.lit(0.0))
+    out = out.join(unshared(rows, deep.filter(~kept & (F.col("total") < F.col("around")))), "rid", "left") if cut else out.withColumn("gain", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),
