@@ -74,3 +74,21 @@ def test_convolution_against_loops():
             values = [sum((x[i + j] @ k[j] for j in range(len(k)) if i + j < len(x)), np.zeros(X.FILTERS)) for i in range(len(x))]
             want.append(np.maximum(np.max(values, axis=0), 0) if values else np.zeros(X.FILTERS))
         assert np.allclose(got[r], np.concatenate(want), atol=1e-4)
+
+
+def test_a_small_language_gets_its_own_threshold(spark, monkeypatch):
+    """Thresholds come from all labelled rows outside the training sample, which is spread over the languages."""
+    seen = []
+    calibrate = X.calibrate
+    monkeypatch.setattr(X, "calibrate", lambda bins, *rest: seen.extend(bins) or calibrate(bins, *rest))
+    docs, labels = rows(2000)
+    docs = [(i, t, "en" if i % 20 else "fr", s) for i, t, _, s in docs]  # a twentieth is French
+    docs += [(9000 + i, "er " * 9000 + ("idiot" if i % 4 == 0 else "on"), "de", "") for i in range(80)]  # all too long to train on
+    labels += [(9000 + i, 1, int(i % 4 == 0)) for i in range(80)]
+    model = X.fit(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LABEL), per_class=20)
+    assert {None, "en", "de"} <= set(model.thresholds)
+    assert sum(n for lang, _, _, n in seen if lang == "de") == 80
+    assert 2080 - 60 <= sum(n for *_, n in seen) <= 2080 - 20
+    assert X.rates({("en", 1): 10_000, ("fr", 1): 40, ("en", 0): 100, (None, 0): 4}, 100) == {
+        ("fr", 1): 0.75, ("en", 1): 0.007, (None, 0): 0.75, ("en", 0): 0.75,
+    }

@@ -7,9 +7,11 @@ and a logistic layer turns the maxima into the score. Trained by Adagrad on
 the driver over a bounded sample; scoring is one pass over the table.
 
 The sample: labelled rows with texts of at most ``max_chars`` characters, about ``per_class`` rows of each
-class, drawn by hashed id. The score is corrected for the sample's share of
-positive rows. A decision threshold for each language is chosen on a part of
-the sample that training does not see; languages with too few such rows, and null languages,
+class, drawn by hashed id and spread over the languages: each gives the same number, or ``MOST`` of its rows if it
+has fewer. The score is corrected for the sample's share of
+positive rows. A decision threshold for each language is chosen on all labelled rows that training
+does not use, of any length: one pass scores them, and their counts by language, class and bin of the score, weighted
+to the class's share in the language, give it. Languages with too few such rows, and null languages,
 take the threshold of all. The language picks the threshold only, never the score.
 
 Defined cases: null and empty texts have no words and get the score of the bias;
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackwise.llm.common import fold, ship_code
+from trackwise.llm.common import fold, ship_code, stored
 from trackwise.llm.textbatch import LOWER, Words, blocks, mix, row_reduce
 
 PER_CLASS = 3000
@@ -36,6 +38,9 @@ MAX_CHARS = 20_000
 BUCKETS = 1 << 16
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 CUT = 0.3
+MOST = 0.75  # of the rows of a language and class, the others calibrate
+BINS = 32  # a unit of the log odds
+FLOOR = -50.0
 CHUNK_WORDS = 100_000
 
 
@@ -86,7 +91,10 @@ class Cnn:
         return np.concatenate([np.maximum(row_reduce(np.maximum, v, edges), 0) for v in values], axis=1), values
 
     def scores(self, ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Rows are taken together up to ``CHUNK_WORDS`` words (or one row), which bounds the filters' values."""
+        return 1 / (1 + np.exp(-self.odds(ids, edges)))
+
+    def odds(self, ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """The log odds. Rows are taken together up to ``CHUNK_WORDS`` words (or one row), which bounds the filters' values."""
         out, a, n = [], 0, len(edges) - 1
         while a < n:
             b = min(n, max(a + 1, int(np.searchsorted(edges, edges[a] + CHUNK_WORDS, "right")) - 1))
@@ -94,7 +102,7 @@ class Cnn:
             out.append(pooled @ self.out)
             a = b
         z = np.concatenate(out or [np.zeros(0)]) + self.bias + self.shift
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        return np.clip(z, FLOOR, -FLOOR)
 
 
 def train(ids: np.ndarray, edges: np.ndarray, y: np.ndarray, share: float, epochs: int = 10, seed: int = 7) -> Cnn:
@@ -162,61 +170,96 @@ def train(ids: np.ndarray, edges: np.ndarray, y: np.ndarray, share: float, epoch
     return model
 
 
-def calibrate(score: np.ndarray, y: np.ndarray, weight: np.ndarray, lang: np.ndarray, least: int = 15) -> dict:
-    """For each language the threshold with the best F1 (the middle of the best run of cuts); ``None``: of all rows."""
+def calibrate(bins: list, sizes: dict, least: int = 15) -> dict:
+    """For each language the threshold with the best F1; ``None``: of all rows.
+
+    ``bins``: (lang, toxic, bin of the log odds, rows); ``sizes``: all labelled rows of (lang, toxic), which the rows stand for."""
+    found: dict = {}
+    for lang, toxic, _, n in bins:
+        found[lang, toxic] = found.get((lang, toxic), 0) + n
+
+    def best(some: list) -> float:
+        weight: dict = {}
+        for lang, toxic, bin_, n in some:
+            weight.setdefault(bin_, [0.0, 0.0])[toxic] += n * sizes[lang, toxic] / found[lang, toxic]
+        order = sorted(weight, reverse=True)
+        miss, hit = np.cumsum([weight[k] for k in order], axis=0).T
+        k = int((2 * hit / (hit + miss + hit[-1])).argmax())
+        below = order[k + 1] if k + 1 < len(order) else FLOOR * BINS
+        return float(1 / (1 + np.exp(-((order[k] + below + 1) / 2) / BINS)))  # between the two bins
+
+    out = {None: best(bins) if any(toxic for _, toxic, _, _ in bins) else CUT}
+    for name in {x for x, _ in found if x is not None}:
+        if min(found.get((name, 0), 0), found.get((name, 1), 0)) >= least:
+            out[name] = best([b for b in bins if b[0] == name])
+    return out
 
-    def best(s: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-        order = np.argsort(-s, kind="stable")
-        s, hit, miss = s[order], np.cumsum((y * w)[order]), np.cumsum(((1 - y) * w)[order])
-        f1 = 2 * hit / (hit + miss + (y * w).sum())
-        cut = np.append(s[1:] != s[:-1], True)  # a threshold lies between different scores
-        k = int(np.flatnonzero(cut)[f1[cut].argmax()])
-        below = s[k + 1] if k + 1 < len(s) else 0.0
-        return float((s[k] + below) / 2)
 
-    out = {None: best(score, y, weight) if y.sum() >= 1 else CUT}
-    for name in {x for x in lang.tolist() if x is not None}:
-        own = lang == name
-        if y[own].sum() >= least and (1 - y[own]).sum() >= least:
-            out[name] = best(score[own], y[own], weight[own])
+def rates(sizes: dict, per_class: int) -> dict:
+    """The share to draw of each (lang, toxic): ``per_class`` rows a class, spread evenly as far as the rows go."""
+    out = {}
+    for toxic in (0, 1):
+        left, own = float(per_class), sorted((n, str(lang), lang) for (lang, t), n in sizes.items() if t == toxic and n)
+        for j, (n, _, lang) in enumerate(own):
+            take = min(MOST * n, left / (len(own) - j))
+            out[lang, toxic] = take / n
+            left -= take
     return out
 
 
+def binned(docs: DataFrame, model: Cnn) -> DataFrame:
+    """doc_id, lang and the bin of the log odds of every row."""
+    ship_code(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, raw, offs in blocks(batch, 2):
+                at = np.floor(shared.value.odds(*word_ids(raw, offs)) * BINS).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(at)], ["doc_id", "lang", "bin"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, bin int")
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Cnn | None:
     """Learn from the rows of ``docs`` (doc_id, text, lang) that ``labels`` (doc_id, toxic) marks."""
+    spark = docs.sparkSession
     ids = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sizes = {r.toxic: r["count"] for r in ids.groupBy("toxic").count().collect()}  # two rows
-    if not sizes.get(0) or not sizes.get(1):
+    short = F.coalesce(F.char_length("text") <= max_chars, F.lit(False)).alias("short")
+    labelled = docs.select("doc_id", "lang", short).join(ids, "doc_id")
+    groups = labelled.groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.count_if("short").alias("short")).collect()  # two a language
+    sizes = {(r.lang, r.toxic): r.n for r in groups}
+    total = [sum(n for (_, t), n in sizes.items() if t == k) for k in (0, 1)]
+    if not total[0] or not total[1]:
         return None
     draw = F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
-    rate = F.when(F.col("toxic") == 1, F.lit(per_class / sizes[1])).otherwise(F.lit(per_class / sizes[0]))
-    chosen = ids.withColumn("draw", draw).filter(F.col("draw") < rate)
+    rate = rates({(r.lang, r.toxic): r.short for r in groups}, per_class)
+    rate = spark.createDataFrame([(lang, t, x) for (lang, t), x in rate.items()], "of string, class int, rate double")
+    chosen = labelled.filter("short").join(F.broadcast(rate), F.col("lang").eqNullSafe(F.col("of")) & (F.col("toxic") == F.col("class")))
+    chosen = stored(chosen.filter(draw < F.col("rate")).select("doc_id", "toxic").distinct(), "toxicity-sample")
     rows = (
-        docs.filter(F.char_length("text") <= max_chars).select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
+        docs.filter(F.char_length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
         .dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
     )
     y = rows["toxic"].to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return None
-    part = np.asarray(rows["draw"].to_numpy() * (1 << 30)).astype(np.int64) % 4 == 0  # a quarter calibrates
-    langs = np.array(rows["lang"].to_pylist(), object)
     pieces = [word_ids(raw, offs) for b in rows.select(["text"]).to_batches() for _, raw, offs in blocks(b, 0)]
     del rows
     pa.default_memory_pool().release_unused()
     at = np.cumsum([0] + [len(i) for i, _ in pieces])
     words = np.concatenate([i for i, _ in pieces])
     edges = np.concatenate([[0]] + [e[1:] + a for (_, e), a in zip(pieces, at, strict=False)]).astype(np.int64)
-    share = sizes[1] / (sizes[0] + sizes[1])
-
-    def subset(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = np.diff(edges)
-        return words[np.repeat(mask, size)], np.concatenate([[0], np.cumsum(size[mask])])
-
-    learn = ~part if 0 < y[~part].sum() < (~part).sum() else np.ones(len(y), bool)
-    model = train(*subset(learn), y[learn], share)
-    test = part if y[part].sum() else np.ones(len(y), bool)
-    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    model.thresholds = calibrate(model.scores(*subset(test)), y[test], weight[test], langs[test])
+    model = train(words, edges, y, total[1] / sum(total))
+    seen = stored(
+        binned(docs, model).join(ids, "doc_id").join(F.broadcast(chosen.select("doc_id", F.lit(True).alias("trained"))), "doc_id", "left")
+        .groupBy("lang", "toxic", "bin", F.col("trained").isNotNull().alias("trained")).count(), "toxicity-bins",
+    ).collect()  # a row for each bin of a language at most
+    other = [(r.lang, r.toxic, r.bin, r["count"]) for r in seen if not r.trained]
+    if not any(toxic for _, toxic, _, _ in other):  # too few rows to keep any back
+        other = [(r.lang, r.toxic, r.bin, r["count"]) for r in seen]
+    model.thresholds = calibrate(other, sizes)
     return model
 
 
