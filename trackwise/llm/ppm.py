@@ -44,6 +44,8 @@ ORDER, DEEP, CLASSES, LEVELS = 3, 6, 32, 6
 CELLS = CLASSES**ORDER * 256
 HELD_ENTRIES = 2_000_000
 BLOCK_BYTES = 2 << 20
+HELD_GRAMS = 1 << 18
+FIELDS = "context bigint, total bigint, kinds bigint, around bigint, escape double, grams array<struct<symbol: int, direct: double>>"
 
 _CLASS = np.zeros(256, np.uint64)
 _CLASS[1:128] = 30  # marks and control characters
@@ -199,14 +201,66 @@ def level_key(level: int, gram: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return part | np.uint64(level << 59)
 
 
+def nested(key: np.ndarray, n: np.ndarray) -> list[pa.RecordBatch]:
+    """The rows of ``contexts`` for the levels beyond ``ORDER``, from all gathered grams of some contexts of ``ORDER`` bytes."""
+    out, cell = [], np.zeros(len(key), np.uint64)  # these levels do without the cell
+    for level in range(ORDER, LEVELS + 1):
+        grams_, of = np.unique(level_key(level, key, cell), return_inverse=True)
+        times = np.bincount(of, n, len(grams_))
+        context, first, of, kinds = np.unique(grams_ >> np.uint64(8), return_index=True, return_inverse=True, return_counts=True)
+        total = np.bincount(of, times, len(context))
+        p = times / (total + kinds)[of]
+        if level > ORDER:
+            lower = np.searchsorted(below[0], level_key(level - 1, grams_ & np.uint64((1 << 56) - 1), cell[: len(grams_)]))
+            mass = np.bincount(of, below[1][lower], len(context))
+            escape = np.log10(kinds / (total + kinds)) - np.log10(np.maximum(1 - mass, 1e-9))
+            pairs = pa.StructArray.from_arrays([pa.array((grams_ & np.uint64(255)).astype(np.int32)), pa.array(np.log10(p))], ["symbol", "direct"])
+            out.append(pa.RecordBatch.from_arrays(
+                [
+                    pa.array(context.view(np.int64)), pa.array(total.astype(np.int64)), pa.array(kinds), pa.array(below[2][lower[first]].astype(np.int64)),
+                    pa.array(escape), pa.ListArray.from_arrays(pa.array(np.append(first, len(grams_)).astype(np.int32)), pairs),
+                ],
+                ["context", "total", "kinds", "around", "escape", "grams"],
+            ))
+        below = grams_, p, total[of]
+    return out
+
+
+def long_contexts(deep: DataFrame) -> DataFrame:
+    """``contexts`` beyond ``ORDER`` bytes: all that share their last ``ORDER`` bytes meet in one task, one such group at a time
+    or several small ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(k).to_numpy() for k in (0, 1)])
+            size += batch.num_rows
+            if size >= HELD_GRAMS:
+                key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                group = key >> 8 & 0xFFFFFF
+                whole = int(np.searchsorted(group, group[-1]))  # the last group may go on
+                if whole:
+                    yield from nested(key[:whole].view(np.uint64), n[:whole])
+                held, size = [[key[whole:], n[whole:]]], len(key) - whole
+        if size:
+            key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from nested(key.view(np.uint64), n)
+
+    group = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF))
+    dealt = deep.select("key", "n").repartition(group).sortWithinPartitions(group)
+    return dealt.mapInArrow(run, FIELDS)
+
+
 def contexts(counts: DataFrame) -> DataFrame:
-    """A row for each context below the upper trie: context, total, kinds, escape, grams (key, direct; at most 256).
+    """A row for each context below the upper trie: context, total, kinds, escape, grams (symbol, direct; at most 256).
 
     ``around`` is the count of the next shorter context. Where it is the same, so are all answers."""
-    chain = levels(F.col("key"))
+    gathered = counts.filter("kind = 3")
+    three = F.col("key").bitwiseAND(F.lit((1 << 8 * ORDER + 8) - 1)).alias("key")  # grams of ORDER bytes are few
+    three = stored(gathered.select(three, "n").groupBy("key").agg(F.sum("n").alias("n")), "ppm-upper")
+    chain = levels(F.col("key"))[LEVELS - ORDER :]
     pairs = [F.struct(a.alias("key"), b.alias("lower")) for a, b in zip(chain, chain[1:], strict=False)]
-    deep = counts.filter("kind = 3").select(F.explode(F.array(*pairs)).alias("g"), "n")
-    deep = deep.groupBy("g.key", "g.lower").agg(F.sum("n").alias("n"))
+    deep = three.select(F.explode(F.array(*pairs)).alias("g"), "n").groupBy("g.key", "g.lower").agg(F.sum("n").alias("n"))
     both = deep.unionByName(counts.filter("kind = 1").select("key", F.lit(None).cast("bigint").alias("lower"), "n"))
     own = both.groupBy(F.shiftright("key", 8).alias("context")).agg(
         F.sum("n").alias("total"), F.count("*").alias("kinds"), F.collect_list(F.struct("key", "lower", "n")).alias("grams")
@@ -216,11 +270,12 @@ def contexts(counts: DataFrame) -> DataFrame:
     below = each.select(F.col("key").alias("lower"), F.col("p").alias("q"), F.col("total").alias("around"))  # what followed a context followed the shorter one too
     out = each.filter("lower IS NOT NULL").join(below, "lower").groupBy("context").agg(
         F.first("total").alias("total"), F.first("kinds").alias("kinds"), F.sum("q").alias("mass"), F.first("around").alias("around"),
-        F.collect_list(F.struct("key", F.log10("p").alias("direct"))).alias("grams"),
+        F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), F.log10("p").alias("direct"))).alias("grams"),
     )
     # the shorter context answers without the symbols that this one has
     escape = F.log10(F.col("kinds") / (F.col("total") + F.col("kinds"))) - F.log10(F.greatest(1 - F.col("mass"), F.lit(1e-9)))
-    return stored(out.select("context", "total", "kinds", "around", escape.alias("escape"), "grams"), "ppm-escapes")
+    out = out.select("context", "total", "kinds", "around", escape.alias("escape"), "grams")
+    return stored(out.unionByName(long_contexts(gathered)), "ppm-escapes")
 
 
 class Model:
@@ -244,7 +299,8 @@ class Model:
 
     def _lower(self, deep: DataFrame) -> None:
         kept = deep.filter(cut_at(deep, SHARED_GRAMS, "total", F.col("kinds"))[0])
-        rows = kept.select(F.inline("grams")).toArrow()  # at most SHARED_GRAMS rows, and no more contexts
+        rows = kept.select("context", F.inline("grams")).select(F.shiftleft("context", 8).bitwiseOR(F.col("symbol").cast("bigint")).alias("key"), "direct")
+        rows = rows.toArrow()  # at most SHARED_GRAMS rows, and no more contexts
         per = kept.select("context", "escape").toArrow()
         key, direct = rows["key"].to_numpy().view(np.uint64), rows["direct"].to_numpy()
         context, escape = per["context"].to_numpy().view(np.uint64), per["escape"].to_numpy()
@@ -302,7 +358,7 @@ def unshared(rows: DataFrame, rest: DataFrame) -> DataFrame:
         "asked", "own", F.inline(F.filter(steps, lambda x: x["level"] > F.shiftright("asked", 56)))
     )
     met = each.withColumn("context", F.shiftright("key", 8)).join(rest.select("context", "escape", "grams"), "context")
-    met = met.withColumn("direct", F.get(F.filter("grams", lambda g: g["key"] == F.col("key")), F.lit(0))["direct"])
+    met = met.withColumn("direct", F.get(F.filter("grams", lambda g: g["symbol"] == F.col("key").bitwiseAND(F.lit(255))), F.lit(0))["direct"])
     answers = met.groupBy("asked").agg(
         F.min("own").alias("own"), F.max(F.when(F.col("direct").isNotNull(), F.struct("level", "direct"))).alias("hit"),
         F.collect_list(F.struct("level", "escape")).alias("steps"),  # at most one a level
