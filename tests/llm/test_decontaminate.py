@@ -118,3 +118,10 @@ def test_plan_is_native(spark):
     docs, items = data()
     out = D.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
     assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_rows_without_an_id_are_told_apart(spark):
+    item = " ".join(f"word{k}" for k in range(40))
+    docs = [(None, f"before {item} after"), (None, "a clean text"), (None, None), (1, item), (2, "clean too")]
+    kept = D.keep_clean(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    assert sorted(kept.collect(), key=str) == sorted([(None, "a clean text"), (None, None), (2, "clean too")], key=str)

@@ -135,6 +135,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents in which no item was found, as they came; all rows of a found id go."""
-    found = contamination(docs, benchmark, num, den).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")
+    """The documents in which no item was found, as they came; all rows of a found id go, rows without an id
+    are told apart by their texts."""
+    row = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("text"))
+    found = contamination(docs.select(row.alias("doc_id"), "text"), benchmark, num, den).select(F.col("doc_id").alias("_found")).distinct()
+    return docs.join(found, row == F.col("_found"), "left_anti")
