@@ -18,7 +18,9 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from trackwise.llm import byte_bpe, decontaminate, exact_dedup, langid, minhash, ppm, repeats, secrets, token_count, toxicity  # noqa: E402
+from trackwise.llm import (  # noqa: E402
+    byte_bpe, decontaminate, exact_dedup, langid, merkle, minhash, mixing, ppm, repeats, secrets, token_count, toxicity, whitening,
+)
 
 
 @query("op1_language_id")
@@ -77,3 +79,18 @@ def op9(spark, sf_dir):
 @query("op10_suffix_repeats")
 def op10(spark, sf_dir):
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_source_mix", mixing.ORACLE)
+def op12(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op13_merkle_manifest", merkle.ORACLE)
+def op13(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
