@@ -71,7 +71,7 @@ def rows_of(sizes):
     return rows
 
 
-@pytest.mark.parametrize("share", [1000, 6])
+@pytest.mark.parametrize("share", [20_000, 6])
 def test_against_plain_trees(spark, monkeypatch, share):
     monkeypatch.setattr(merkle, "HOT_SHARE", share)
     rows = rows_of({"hot": 95, None: 4, "é": 1, "z": 27, "a": 28, "": 2, "\U0001f600": 3, "￿": 10})

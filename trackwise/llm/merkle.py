@@ -6,9 +6,9 @@ rows: ``(tree, level, pos)``, the hashes of the run's other nodes to the left an
 The node left in a source's tree links on into the tree over the sources.
 
 ``climb`` is a Spark recursive query (``WITH RECURSIVE``): one row for each leaf that ascends node by node, appending the
-siblings that it meets and folding a hash with them. Each ascent emits a row, so no state grows with the depth. Nodes that stand over a
-thousandth of all leaves or more are few at every level, whatever the data (fewer than ``HOT_SHARE`` a level), so the ascent
-through them joins a broadcast table and no key gathers more than that share of the rows; below them the join is by key.
+siblings that it meets and folding a hash with them. Each ascent emits a row, so no state grows with the depth. Nodes over a
+``HOT_SHARE``-th of all leaves or more are few at every level, whatever the data, so the ascent
+through them joins a broadcast table, and below them, where it joins by key, no key gathers more than that share of the rows.
 
 Defined cases: null fields are ``-``; null sources are a source, before all others; rows with a null id come first in
 their source; rows of one source with equal ids stand in the order of their leaves; a lone row is its own root and has an
@@ -25,11 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackwise.llm.common import fold, stored
-from trackwise.llm.order import attach, numbered, ranged, running
+from trackwise.llm.order import attach, compact, place, ranged, running
 
 ARITY = 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-HOT_SHARE = 1000
+#: Nodes over a 20,000th of all leaves are broadcast: 20,000 a level at most, and a third of that each level up.
+HOT_SHARE = 20_000
 #: The tree over the sources; the sources' own trees are numbered from 0.
 TOP = -1
 
@@ -98,18 +99,21 @@ def hot(leaves: Column, total: int) -> Column:
     return leaves * HOT_SHARE >= F.lit(total)
 
 
-def build(level: DataFrame, extra: list[str], largest: int, total: int, what: str) -> tuple[list[DataFrame], DataFrame]:
-    """Levels over ``level`` (tree, size, pos, hash, leaves; a tree has ``size`` nodes, the largest ``largest``): the node rows
-    of each level, and the node left of every tree with its level ``at``. ``extra`` columns are kept on the lowest level."""
+def build(
+    level: DataFrame, extra: list[str], count: int, n_trees: int, largest: int, total: int, what: str
+) -> tuple[list[DataFrame], DataFrame]:
+    """Levels over ``level`` (tree, size, pos, hash, leaves), which has ``count`` rows; a tree has ``size`` nodes, the largest
+    ``largest``. The node rows of each level, and the node left of every tree with its level ``at``. ``extra`` columns are
+    kept on the lowest level."""
     nodes, left = [], level.filter("size = 1").select("tree", "hash", "leaves", F.lit(0).alias("at"))
     while largest > 1:
         at = len(nodes)
-        built = stored(runs(level.filter("size > 1"), extra), f"{what}-{at}")
+        built = stored(compact(runs(level.filter("size > 1"), extra), count), f"{what}-{at}")
         nodes.append(node_rows(built, at, extra, total))
         size = F.floor((F.col("size") + ARITY - 1) / ARITY).cast("long").alias("size")
         level = built.select("tree", size, F.col("up").alias("pos"), "hash", "leaves")
         left = left.unionByName(level.filter("size = 1").select("tree", "hash", "leaves", F.lit(at + 1).alias("at")))
-        extra, largest = [], -(-largest // ARITY)
+        extra, largest, count = [], -(-largest // ARITY), count // ARITY + n_trees
     return nodes, left
 
 
@@ -159,22 +163,20 @@ def ascents(rows: DataFrame) -> tuple[DataFrame, bytes, tuple[int, int]] | None:
     total, largest, n_trees = seen
     if not total:
         return None
-    trees = running(ranged(sizes, [], ["source"]), [], ["source"], F.col("size"), "before").drop("_range", "_tie")
-    trees = stored(numbered(trees, [], ["source"], "tree"), "merkle-trees")
+    trees = running(ranged(sizes, [], ["source"], n_trees), [], ["source"], F.col("size"), "before")
+    trees = stored(compact(place(trees, [], ["source"], "tree").drop("_range", "_tie"), n_trees), "merkle-trees")
     by, order = ["source"], ["doc_id", "hash", "fold"]
-    leaves = running(attach(ranged(rows, by, order), by, trees), by, order, one, "pos")
-    leaves = stored(
-        leaves.select("tree", "size", "pos", "hash", one.alias("leaves"), (F.col("before") + F.col("pos")).alias("leaf"), "doc_id", "fold"),
-        "merkle-placed",
-    )
-    nodes, subroots = build(leaves, ["leaf", "doc_id", "fold"], largest, total, "merkle")
+    leaves = place(attach(ranged(rows, by, order, total), by, trees), by, order, "pos")
+    leaves = leaves.select("tree", "size", "pos", "hash", one.alias("leaves"), (F.col("before") + F.col("pos")).alias("leaf"), "doc_id", "fold")
+    leaves = stored(compact(leaves, total), "merkle-placed")
+    nodes, subroots = build(leaves, ["leaf", "doc_id", "fold"], total, n_trees, largest, total, "merkle")
 
     # the nodes left are the leaves of the tree over the sources; they are met under the keys that they have in their own trees
     tops = subroots.select(
         F.lit(TOP).cast("long").alias("tree"), F.lit(n_trees).alias("size"), F.col("tree").alias("pos"), "hash", "leaves",
         F.col("tree").alias("own"), "at",
     )
-    top_nodes, roots = build(stored(tops, "merkle-subroots"), ["own", "at"], n_trees, total, "merkle-top")
+    top_nodes, roots = build(stored(compact(tops, n_trees), "merkle-subroots"), ["own", "at"], n_trees, 1, n_trees, total, "merkle-top")
     root = roots.first()["hash"]  # one row
     where = (TOP, len(top_nodes)) if top_nodes else (0, len(nodes))
     links = [
@@ -188,7 +190,7 @@ def ascents(rows: DataFrame) -> tuple[DataFrame, bytes, tuple[int, int]] | None:
     )
     for n in [*nodes[1:], *links, *top_nodes[1:]]:
         uppers = uppers.unionByName(n.select(*NODE))
-    uppers = stored(uppers, "merkle-nodes")
+    uppers = stored(compact(uppers, total), "merkle-nodes")
 
     # the first ascent needs no look-up: a leaf's run is at hand when it is built
     folded = digest(F.concat(as_hex(F.col("left")), as_hex(F.col("fold")), as_hex(F.col("right"))))
@@ -202,10 +204,10 @@ def ascents(rows: DataFrame) -> tuple[DataFrame, bytes, tuple[int, int]] | None:
             "leaf", F.lit(1).alias("step"), F.col("ptree").alias("tree"), F.col("plevel").alias("level"), F.col("ppos").alias("pos"),
             F.col("phot").alias("hot"), folded.alias("fold"), F.concat("left", "right").alias("sibs"), none.alias("subroot"), "doc_id", "hash",
         ))
-    start = stored(start, "merkle-start")
+    start = stored(compact(start, total), "merkle-start")
     state = ["leaf", "step", "tree", "level", "pos", "hot", "fold", "sibs", "subroot"]
     with no_row_limit(spark):
-        low = stored(climb(start.select(*state), uppers.filter("NOT hot"), False), "merkle-climb")
+        low = stored(compact(climb(start.select(*state), uppers.filter("NOT hot"), False), total), "merkle-climb")
         high = climb(low.filter("hot"), uppers.filter("hot"), True)
         steps = low.filter("NOT hot").unionByName(high)
         at_root = (F.col("tree") == where[0]) & (F.col("level") == where[1])

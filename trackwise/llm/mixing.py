@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackwise.llm.common import stored
-from trackwise.llm.order import attach, numbered, ranged, running
+from trackwise.llm.order import attach, compact, place, ranged, running
 
 WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
@@ -55,7 +55,8 @@ def draw_key(seed: str, doc_id: Column, text: Column) -> Column:
 def ranked_weights(sources: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     """(source, source_size, weight): the weights repeat over the sources by code point, null last."""
     rows = sources.withColumn("_none", F.col("source").isNull())
-    rows = numbered(rows, [], ["_none", "source"], "_place")
+    by, order = [], ["_none", "source"]
+    rows = place(ranged(rows, by, order, rows.count()), by, order, "_place")
     at = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("_place") % len(weights) + 1).cast("int"))
     return rows.select("source", "source_size", at.cast("long").alias("weight"))
 
@@ -120,9 +121,10 @@ def mix(
         "mix-sizes",
     )
     sources = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    plan = stored(targets(stored(ranked_weights(sources, weights), "mix-weights"), share, max_epochs), "mix-plan")
+    plan = targets(stored(ranked_weights(sources, weights), "mix-weights"), share, max_epochs)
+    count = rows.count()
     by, order = ["source"], ["key", "doc_id", "size"]
-    placed = attach(ranged(rows, by, order), by, plan.drop("weight"))
+    placed = attach(ranged(rows, by, order, count), by, plan.drop("weight"))
     size, den = F.col("size"), F.col("den")
     tier = sum(((size * t <= F.col("source_size")).cast("int") for t in TIERS), F.lit(0))
     placed = placed.withColumns({"tier": tier, "extra": F.lit(0)})
@@ -137,7 +139,7 @@ def mix(
         own = F.col("tier") == k
         placed = running(placed, by, order, F.when(own, size).otherwise(0), "before")
         extra = F.when(own, (big(2 * F.col("before") + size) * scale < 2 * goal).cast("int")).otherwise(F.col("extra"))
-        placed = stored(placed.withColumn("extra", extra).drop("before", "drawn", "upto"), "mix-placed")
+        placed = stored(compact(placed.withColumn("extra", extra).drop("before", "drawn", "upto"), count), "mix-placed")
     repeats = F.col("whole") + F.col("extra")
     return placed.select(
         "doc_id", "key", "size", "source", "source_size", "target", repeats.alias("repeats"), (size * repeats).alias("taken")

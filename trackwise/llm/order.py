@@ -15,13 +15,20 @@ from pyspark.sql import functions as F
 from trackwise.llm.common import stored
 
 #: Ranges for each shuffle partition: ranges are hashed to partitions again, and many small ones fall more evenly.
-RANGES = 4
+RANGES = 2
+#: Rows that make a range worth a task, and a file.
+RANGE_ROWS, FILE_ROWS = 2000, 50_000
 
 
-def ranged(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """``rows`` dealt by ranges of (by, order) and stored, with the range's number. Null keys are a group of their own and
-    come first; rows that agree in ``by`` and ``order`` stand in any order, but keep it."""
-    n = RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """Few rows in few files, for tables that are read again and again; larger ones stay as they are dealt."""
+    return df.coalesce(1 + rows // FILE_ROWS)
+
+
+def ranged(rows: DataFrame, by: list[str], order: list[str], count: int) -> DataFrame:
+    """The ``count`` ``rows`` dealt by ranges of (by, order) and stored, with the range's number. Null keys are a group of
+    their own and come first; rows that agree in ``by`` and ``order`` stand in any order, but keep it."""
+    n = min(RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + count // RANGE_ROWS)
     dealt = rows.withColumn("_tie", F.monotonically_increasing_id())
     dealt = dealt.repartitionByRange(n, *by, *order, "_tie").withColumn("_range", F.spark_partition_id())
     return stored(dealt, "ranges")
@@ -44,9 +51,9 @@ def running(dealt: DataFrame, by: list[str], order: list[str], value: Column, na
     return _join(local, starts, key).withColumn(name, F.col("_start") + F.col("_local")).drop("_start", "_local")
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    """``rows`` with ``name``: the number of rows before it in its group."""
-    return running(ranged(rows, by, order), by, order, F.lit(1).cast("long"), name).drop("_range", "_tie")
+def place(dealt: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: the number of rows before it in its group."""
+    return running(dealt, by, order, F.lit(1).cast("long"), name)
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
