@@ -2,6 +2,7 @@
 
 import random
 
+from trackwise.operators import cluster
 from trackwise.operators.cluster import cluster_keys, similarity_edges
 
 
@@ -81,3 +82,36 @@ def walk_with(stats, m):
         if out[k] == k:
             leaders.append(k)
     return out
+
+
+def elect_plainly(edges):
+    early = {}
+    for a, b in edges:
+        early.setdefault(b, set()).add(a)
+        early.setdefault(a, set())
+    state = {}
+    for k in sorted(early):
+        state[k] = "F" if any(state[e] == "L" for e in early[k]) else "L"
+    return state
+
+
+def test_chain_of_100000_keys_in_few_rounds(spark, monkeypatch):
+    n, rounds = 100_000, []
+    keep = cluster.stored
+    monkeypatch.setattr(cluster, "stored", lambda df, what: (rounds.append(what), keep(df, what))[1])
+    chain = spark.range(n - 1).selectExpr("id AS early", "id + 1 AS late")
+    state = cluster.elect(chain)
+    assert rounds.count("elect-keys") <= 25
+    assert state.count() == n and state.filter("(key % 2 = 0) <> (state = 'L')").isEmpty()
+
+
+def test_election_on_random_graphs(spark):
+    rng = random.Random(3)
+    edges, at = [], 0
+    for size, per in ((60, 1), (60, 2), (60, 4), (40, 12)):  # trees, then denser and denser
+        for k in range(1, size):
+            near = range(max(0, k - 8), k)
+            edges += [(at + e, at + k) for e in rng.sample(near, min(len(near), rng.randint(1, per)))]
+        at += size
+    df = spark.createDataFrame(edges, "early long, late long")
+    assert {r["key"]: r["state"] for r in cluster.elect(df).collect()} == elect_plainly(edges)

@@ -20,12 +20,11 @@ Distributed form:
      equi-join on that gram, then verify with ``instr``.
    Every join key is selective: a variant bucket holds at most one key per
    character value, and choosing the rarest gram keeps gram buckets small.
-2. Leader election in rounds over the edge list only (keys without an earlier
-   neighbour are leaders immediately): an undecided key with an earlier leader
-   neighbour becomes a follower; one whose earlier neighbours are all followers
-   becomes a leader. Each round is a join + aggregation; the state is written to
-   the reliable checkpoint folder so lineage stays short and a lost executor
-   only recomputes one round.
+2. Leader election over the edge list only. A key without an earlier neighbour leads; one with a leader among its earlier
+   neighbours follows; one whose earlier neighbours all follow leads. A key that hangs on a single undecided neighbour is
+   its opposite, so whoever looks at it may look at that neighbour instead and count the turn: chains shrink to half in each
+   round, and rounds grow with the logarithm of their length. A round is a join and two aggregates over the
+   undecided edges, written to the shared folder.
 3. canonical = the earliest-ranked leader among a follower's earlier neighbours.
 """
 
@@ -35,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackwise import fixed
-from trackwise.session import cut_lineage
+from trackwise.session import stored
 
 UNKNOWN = "unknown"
 
@@ -106,8 +105,12 @@ def cluster_keys(
 
     Ranking: ``cnt`` descending, then ``first_seen`` ascending (first seen = the
     smallest ``seq`` of the key's rows)."""
-    stats = key_stats.select("key", "cnt", "first_seen").persist()
-    edges = similarity_edges(stats, min_contain, min_len)
+    stats = stored(key_stats.select("key", "cnt", "first_seen"), "key-stats")
+    return assign_leaders(stats, similarity_edges(stats, min_contain, min_len))
+
+
+def assign_leaders(stats: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, canonical, cnt, first_seen) for ``stats`` whose similar pairs (a, b) are ``edges``."""
     sa = stats.select(F.col("key").alias("a"), F.col("cnt").alias("a_cnt"), F.col("first_seen").alias("a_first"))
     sb = stats.select(F.col("key").alias("b"), F.col("cnt").alias("b_cnt"), F.col("first_seen").alias("b_first"))
     e = edges.join(sa, "a").join(sb, "b")
@@ -119,21 +122,8 @@ def cluster_keys(
             F.struct((-F.col("b_cnt")).alias("c"), F.col("b_first").alias("f"))
         ).alias("early_rank"),
     )
-    directed = directed.persist()
-
-    # Keys that are never "late" lead. A late key with such a neighbour follows
-    # at once; only keys whose earlier neighbours are all late themselves (a
-    # chain) need the round-based resolution below.
-    lates = directed.select(F.col("late").alias("key")).distinct()
-    flagged = directed.join(lates.select(F.col("key").alias("early"), F.lit(1).alias("early_late")), "early", "left")
-    first_pass = flagged.groupBy("late").agg(F.min(F.coalesce("early_late", F.lit(0))).alias("all_late"))
-    pending = first_pass.filter(F.col("all_late") == 1)
-    if pending.isEmpty():
-        state = lates.withColumn("state", F.lit("F")).unionByName(
-            directed.select(F.col("early").alias("key")).distinct().join(lates, "key", "left_anti").withColumn("state", F.lit("L"))
-        )
-    else:
-        state = _resolve_rounds(directed, lates)
+    directed = stored(directed, "directed")
+    state = elect(directed)
 
     leaders = state.filter(F.col("state") == "L").select(F.col("key").alias("early"))
     follow = (
@@ -146,33 +136,54 @@ def cluster_keys(
     out = stats.join(follow, "key", "left").select(
         "key", F.coalesce("canonical", "key").alias("canonical"), "cnt", "first_seen"
     )
-    out = cut_lineage(out)
-    directed.unpersist()
-    stats.unpersist()
-    return out
+    return stored(out, "clusters")
+
 
+def elect(directed: DataFrame) -> DataFrame:
+    """(key, state): 'L' or 'F' for every key of ``directed`` (early, late).
 
-def _resolve_rounds(directed: DataFrame, lates: DataFrame) -> DataFrame:
-    """Round-based leader election for chains; state is checkpointed per round. The first undecided key of
-    the ranking has decided neighbours only, so every round decides some."""
-    state = directed.select(F.col("early").alias("key")).distinct().join(lates, "key", "left_anti").withColumn(
-        "state", F.lit("L")
-    ).unionByName(lates.withColumn("state", F.lit("U")))
-    state = cut_lineage(state)
+    Open edges are (late, early, flip): the late key sees a leader there if ``early`` leads, or with ``flip`` if it doesn't.
+    An edge to a key with a single open edge of its own is moved on to that one's end."""
+    lates = directed.select(F.col("late").alias("key")).distinct()
+    roots = directed.select(F.col("early").alias("key")).distinct().join(lates, "key", "left_anti")
+    marked = directed.select("early", "late").join(roots.select(F.col("key").alias("early"), F.lit(True).alias("root")), "early", "left")
+    edges = marked.groupBy("late", "early").agg(F.max(F.coalesce("root", F.lit(False))).alias("hit"))
+    edges = edges.withColumns({"flip": F.lit(False), "live": ~F.col("hit")})
+    decided = [roots.withColumn("state", F.lit("L"))]
     while True:
-        undecided = state.filter(F.col("state") == "U").select(F.col("key").alias("late"))
-        if undecided.isEmpty():
-            return state
-        incoming = directed.join(undecided, "late", "left_semi").join(
-            state.select(F.col("key").alias("early"), F.col("state").alias("es")), "early"
+        # one row an (late, early): both flips of one key mean that one of the two sees a leader
+        seen = edges.groupBy("late", "early").agg(
+            (F.max("hit") | ((F.count_if(F.col("live") & F.col("flip")) > 0) & (F.count_if(F.col("live") & ~F.col("flip")) > 0))).alias("hit"),
+            F.max("live").alias("live"),
+            F.max(F.col("live") & F.col("flip")).alias("flip"),
         )
-        decided = incoming.groupBy("late").agg(
-            F.max((F.col("es") == "L").cast("int")).alias("has_leader"),
-            F.min((F.col("es") == "F").cast("int")).alias("all_followers"),
-        ).select(
-            F.col("late").alias("key"),
-            F.when(F.col("has_leader") == 1, "F").when(F.col("all_followers") == 1, "L").otherwise("U").alias("new_state"),
+        seen = stored(seen, "elect-edges")
+        ends = F.when(F.col("live"), F.struct("early", "flip"))
+        judged = seen.groupBy("late").agg(F.max("hit").alias("hit"), F.count_if("live").alias("n"), F.max(ends).alias("end"))
+        judged = stored(judged.withColumn("state", F.when(F.col("hit"), "F").when(F.col("n") == 0, "L")), "elect-keys")
+        decided.append(judged.filter("state IS NOT NULL").select(F.col("late").alias("key"), "state"))
+        open_ = judged.filter("state IS NULL")
+        if open_.isEmpty():
+            break
+        known = decided[1]  # roots are never looked at: an edge to one is a hit
+        for d in decided[2:]:
+            known = known.unionByName(d)
+        single = open_.filter("n = 1").select(F.col("late").alias("key"), "end")
+        about = known.withColumn("end", F.lit(None).cast(single.schema["end"].dataType)).unionByName(
+            single.withColumn("state", F.lit(None).cast("string")).select("key", "state", "end")
         )
-        state = cut_lineage(
-            state.join(decided, "key", "left").select("key", F.coalesce("new_state", "state").alias("state"))
+        edges = seen.filter("live").join(open_.select("late"), "late", "left_semi")
+        edges = edges.join(about.withColumnRenamed("key", "early"), "early", "left")
+        moved, told = F.col("end").isNotNull(), F.col("state").isNotNull()
+        edges = edges.select(
+            "late",
+            F.when(moved, F.col("end.early")).otherwise(F.col("early")).alias("early"),
+            # its opposite: flip, the end's flip, and one turn
+            F.when(moved, F.col("flip") == F.col("end.flip")).otherwise(F.col("flip")).alias("flip"),
+            (told & ((F.col("state") == "L") != F.col("flip"))).alias("hit"),
+            (~told).alias("live"),
         )
+    out = decided[0]
+    for d in decided[1:]:
+        out = out.unionByName(d)
+    return out

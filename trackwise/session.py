@@ -9,6 +9,7 @@ folder (a cluster must name a shared folder).
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +56,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     out = df.checkpoint(eager=True)
     df.unpersist()
     return out
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Write ``df`` to a fresh folder beside the checkpoints and read it back: computed once, whoever reads it and
+    whichever executors are lost."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
