@@ -6,6 +6,7 @@ whole driver tables (through the adapters). Column names match the oracle's.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from trackwise.checks import oracles as O
 from trackwise.operators import positions as P
 from trackwise.plans.positions import build_positions
+from trackwise.plans.refresh import PositionsView
+from trackwise.session import checkpoint_dir
 from trackwise.sources import adapters as A
 
 _SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +72,18 @@ def active_positions(spark, sf_dir):
     return pos.filter(~T.is_terminal("category", "status")).select(*P.POSITION_COLUMNS)
 
 
+@register("refresh_positions", O.positions_sql())
+def refresh_positions(spark, sf_dir):
+    """SM-08: the tracker taken in by three batches of rows, each refreshing what it touches."""
+    rows = A.tracker(spark, sf_dir)
+    last = rows.agg(F.max("seq")).first()[0] or 0  # one number
+    view = PositionsView(spark, f"{checkpoint_dir(spark)}/positions-{uuid.uuid4().hex}")
+    bounds = [-1, last * 8 // 10, last * 9 // 10, last]
+    for low, high in zip(bounds, bounds[1:]):
+        view.refresh(rows.filter((F.col("seq") > low) & (F.col("seq") <= high)), A.TRACKER_AS_OF)
+    return view.positions(A.TRACKER_AS_OF).select(*P.POSITION_COLUMNS)
+
+
 @register("cluster_keys", O.cluster_keys_sql())
 def cluster_keys(spark, sf_dir):
     """JN-07 (+ AG-01 key, rank inputs)."""

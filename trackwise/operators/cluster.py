@@ -54,9 +54,52 @@ def _deletions(keys: DataFrame) -> DataFrame:
     )
 
 
+def _sized(keys: DataFrame) -> DataFrame:
+    return keys.select("key").filter(F.col("key") != UNKNOWN).withColumn("len", F.length("key"))
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _substrings(keys: DataFrame, size: Column) -> DataFrame:
+    """(key, part): the distinct parts of ``size`` characters (one or an array of sizes)."""
+    sized = keys.withColumn("n", size)
+    at = sized.select("key", "n", F.explode(F.sequence(F.lit(1), F.col("len") - F.col("n") + 1)).alias("at"))
+    return at.select("key", F.col("key").substr(F.col("at"), F.col("n")).alias("part")).distinct()
+
+
+def new_edges(old: DataFrame, fresh: DataFrame, min_contain: int = fixed.CONTAIN_MIN_LEN, min_len: int = 0) -> DataFrame:
+    """The similar pairs (a, b), a < b, that ``fresh`` keys have with each other and with ``old`` ones.
+
+    What is exploded far is the new keys; the old keys' side is a plain equi-join. An old key inside a new one is found
+    among all parts of the new one; a new key inside an old one by the part of it that the fewest old keys have."""
+    f, o = _sized(fresh), _sized(old)
+    fe, oe = f.filter(F.col("len") >= min_len), o.filter(F.col("len") >= min_len)
+    fd, od = _deletions(fe), _deletions(oe).select(F.col("key").alias("other"), "len", "pos", "variant")
+    swapped = fd.join(od, ["variant", "pos", "len"]).filter(F.col("key") != F.col("other")).select(*_pair("key", "other"))
+    longer = fd.join(oe.select(F.col("key").alias("variant")), "variant").select(*_pair("key", "variant"))
+    shorter = od.join(fe.select(F.col("key").alias("variant")), "variant").select(*_pair("other", "variant"))
+
+    fl, ol = f.filter(F.col("len") >= min_contain), o.filter(F.col("len") >= min_contain)
+    parts = _substrings(fl, F.explode(F.sequence(F.lit(min_contain), F.col("len"))))
+    inside = parts.join(ol.select(F.col("key").alias("part")), "part").select(*_pair("key", "part"))
+    grams = _substrings(fl, F.lit(min_contain))
+    holders = _substrings(ol, F.lit(min_contain)).join(grams.select("part").distinct(), "part", "left_semi")
+    holders = holders.withColumnRenamed("key", "other")
+    rare = grams.join(holders.groupBy("part").agg(F.count("*").alias("n")), "part", "left").groupBy("key").agg(
+        F.min_by("part", F.struct(F.coalesce("n", F.lit(0)), "part")).alias("part")
+    )
+    around = rare.join(holders, "part").filter((F.length("other") > F.length("key")) & (F.instr(F.col("other"), F.col("key")) > 0))
+    found = similarity_edges(fresh, min_contain, min_len)
+    for e in (swapped, longer, shorter, inside, around.select(*_pair("key", "other"))):
+        found = found.unionByName(e)
+    return found.distinct()
+
+
 def similarity_edges(keys: DataFrame, min_contain: int = fixed.CONTAIN_MIN_LEN, min_len: int = 0) -> DataFrame:
     """Undirected similar pairs (a, b), a < b, over distinct keys in column ``key``."""
-    k = keys.select("key").filter(F.col("key") != UNKNOWN).withColumn("len", F.length("key"))
+    k = _sized(keys)
 
     edit_keys = k.filter(F.col("len") >= min_len)
     dels = _deletions(edit_keys)
