@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trackwise import fixed
 from trackwise.checks.duck_adapters import with_views
 from trackwise.checks.registry import register
 from trackwise.operators import digest as G
+from trackwise.plans.digest import Digest
+from trackwise.session import checkpoint_dir
 from trackwise.sources import adapters as A
 
 NL = "chr(10)"
 NEWEST = "received DESC, src, seq"
 
 
-def _merged_ctes() -> list[str]:
+_HELD_AND_NEW = "SELECT *, 0 AS src FROM alerts WHERE pending UNION ALL SELECT *, 1 AS src FROM alerts WHERE NOT pending"
+
+
+def _merged_ctes(items: str = _HELD_AND_NEW) -> list[str]:
     return [
-        """u AS (SELECT *, 0 AS src FROM alerts WHERE pending UNION ALL SELECT *, 1 AS src FROM alerts WHERE NOT pending)""",
+        f"u AS ({items})",
         """u2 AS (SELECT *, CASE WHEN thread_id <> '' THEN thread_id ELSE concat_ws('|', company_key, role, received) END AS dkey FROM u)""",
         """merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dkey ORDER BY src, seq) AS rn FROM u2) WHERE rn = 1)""",
     ]
 
 
-def _section_ctes() -> list[str]:
+def _section_ctes(items: str = _HELD_AND_NEW) -> list[str]:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    return _merged_ctes() + [
+    return _merged_ctes(items) + [
         f"m AS (SELECT *, CASE WHEN role <> '' THEN role ELSE {q(fixed.DIGEST_NO_ROLE)} END AS role_label FROM merged)",
         f"""roles AS (SELECT company_key, role_label,
             first(received ORDER BY {NEWEST}) AS r_recv, first(src ORDER BY {NEWEST}) AS r_src, first(seq ORDER BY {NEWEST}) AS r_seq,
@@ -65,7 +72,7 @@ def digest_sections(spark, sf_dir):
     return s.select("company_key", "n_items", "section")
 
 
-def _rows_sql() -> str:
+def _rows_sql(items: str = _HELD_AND_NEW) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     one_a, one_b = fixed.DIGEST_SUBJECT_ONE.split("{company}")
     m1, rest = fixed.DIGEST_SUBJECT_MANY.split("{items}")
@@ -82,7 +89,7 @@ def _rows_sql() -> str:
     )
     opening = f"CASE WHEN n_companies = 1 THEN {q(fixed.DIGEST_BODY_HEAD_ONE)} ELSE {q(fixed.DIGEST_BODY_HEAD_MANY)} END"
     tot = "tot AS (SELECT sum(n_items) AS n_items, count(*) AS n_companies, first(first_company ORDER BY c_src, c_seq) AS first_company FROM comp)"
-    return with_views("alerts", extra=[*_section_ctes(), tot]) + f"""
+    return with_views("alerts", extra=[*_section_ctes(items), tot]) + f"""
 SELECT 2 AS part, company_key, c_src, c_seq, 0 AS is_role, CAST(NULL AS VARCHAR) AS received, 0 AS r_src, 0 AS r_seq, {title} AS text FROM comp
 UNION ALL SELECT 2, r.company_key, c_src, c_seq, 1, r_recv, r_src, r_seq, {line} FROM roles r JOIN comp c ON c.company_key = r.company_key
 UNION ALL SELECT 0, NULL, 0, 0, 0, NULL, 0, 0, {subj} FROM tot WHERE n_companies > 0
@@ -120,3 +127,20 @@ def digest_gate(spark, sf_dir):
         after = G.next_state(gated, state, now)
         out.append(gated.select("dkey", F.lit(minutes).alias("minutes"), "outcome").crossJoin(F.broadcast(after)))
     return out[0].unionByName(out[1])
+
+
+@register(
+    "digest_runs",
+    f"SELECT 'first' AS run_id, * FROM ({_rows_sql('SELECT *, 1 AS src FROM alerts WHERE pending')}) "
+    f"UNION ALL SELECT 'later', * FROM ({_rows_sql('SELECT *, 0 AS src FROM alerts WHERE NOT pending')})",
+)
+def digest_runs(spark, sf_dir):
+    """PL-05 whole (SRC-08, SM-05, SNK-05): one batch is sent at once, the next is held ten minutes later, and goes out when the
+    window has ended, without new alerts. Each run finds the state that the one before it has stored."""
+    al = A.alerts(spark, sf_dir)
+    d = Digest(spark, f"{checkpoint_dir(spark)}/digest-{uuid.uuid4().hex}")
+    start = 1_780_000_000
+    d.run("first", al.filter("pending"), start)
+    d.run("held", al.filter("NOT pending"), start + 600)
+    d.tick("later", start + 3600)
+    return d.store.read("lines")
