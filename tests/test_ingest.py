@@ -86,6 +86,35 @@ def test_repeated_messages_count_once(spark):
     assert once == twice and I.route(m.unionByName(m), p, s, cfg).count() == len(once)
 
 
+def test_repeated_answers_count_once(spark):
+    m, p, r = A.mail(spark, SF), A.processed(spark, SF), A.responses(spark, SF)
+    cfg = I.IngestConfig(as_of=A.MAIL_AS_OF, cursor=A.MAIL_CURSOR)
+    once = I.route(m, p, S.TableScorer(r), cfg)
+    worse = r.limit(50).withColumn("http_status", F.lit(500)).withColumn("json", F.lit(None).cast("string"))
+    again = I.route(m, p, S.TableScorer(r.unionByName(r).unionByName(r).unionByName(worse)), cfg)
+    assert again.count() == once.count()
+    said = lambda df: sorted(map(str, df.select("message_id", "route", "analysis").collect()))
+    assert said(again) == said(once)
+    requests = m.select(F.col("message_id").alias("request_id"))
+    assert S.fallback_responses(requests.unionByName(requests), r).count() == requests.distinct().count()
+
+
+def test_messages_without_an_id_stay_apart(spark):
+    m = messages(
+        spark,
+        {"subject": "Phone screen", "body": "are you available for an interview?"},
+        {"message_id": None, "subject": "Phone screen", "body": "first"},
+        {"message_id": None, "subject": "Phone screen", "body": "second"},
+        {"message_id": "", "subject": "Phone screen", "body": "third"},
+    )
+    p = no_processed(spark, (None, "t", "x"), ("", "t", "x"))
+    out = I.ingest(m, p, seen_scorer(), CFG)
+    got = [(r.message_id, r.route) for r in out.routed.select("message_id", "route").collect()]
+    assert sorted(got, key=str) == sorted([("m0", "scored"), (None, "unidentified"), (None, "unidentified"), ("", "unidentified")], key=str)
+    assert {r.body for r in I.side_rows(out.routed).collect()} == {"first", "second", "third"}
+    assert [r.message_id for r in out.processed.collect()] == ["m0"] and out.metrics.first()["skipped"] == 3
+
+
 def test_scan_is_pushed_and_mail_read_once(spark, tmp_path):
     m = messages(spark, {"subject": "Phone screen"}, {"received": ""})
     m.write.parquet(str(tmp_path / "mail"))

@@ -35,24 +35,30 @@ ANALYSIS_FIELDS = [
 ]
 
 
+def _by_request(responses: DataFrame, primary: str, fallback: str) -> DataFrame:
+    """(request_id, p, f): the answer that counts of either model. Of repeated answers an answered one (status 200) comes
+    first, then the smallest status, then the smallest text, null last: the order says nothing, but keeps reruns equal."""
+    status = F.col("http_status")
+    best = F.struct(
+        F.coalesce(status != 200, F.lit(True)).alias("unanswered"), status.alias("status"), F.col("json").isNull().alias("none"), "json"
+    )
+    of = lambda model: F.min(F.when(F.col("model") == model, best))
+    known = responses.filter(F.col("model").isin(primary, fallback) & F.col("request_id").isNotNull())
+    return known.groupBy("request_id").agg(of(primary).alias("p"), of(fallback).alias("f"))
+
+
 def fallback_responses(
     requests: DataFrame, responses: DataFrame, primary: str = "primary", fallback: str = "fallback"
 ) -> DataFrame:
     """JN-10: the primary model's answer; on a retryable status (429/503) the
     fallback model's answer instead (when it is a different model); any other
-    failure is final (json null)."""
-    r = responses.select("request_id", "model", "http_status", "json")
-    p = r.filter(F.col("model") == primary).select(
-        "request_id", F.col("http_status").alias("p_status"), F.col("json").alias("p_json")
-    )
-    fb = r.filter(F.col("model") == fallback).select(
-        "request_id", F.col("http_status").alias("f_status"), F.col("json").alias("f_json")
-    )
-    j = requests.select("request_id").join(p, "request_id", "left").join(fb, "request_id", "left")
-    retry = F.col("p_status").isin(*fixed.RETRYABLE_HTTP) & F.lit(primary != fallback)
-    use_fb = retry & (F.col("f_status") == 200)
-    json = F.when(F.col("p_status") == 200, F.col("p_json")).when(use_fb, F.col("f_json"))
-    model = F.when(F.col("p_status") == 200, F.lit(primary)).when(use_fb, F.lit(fallback))
+    failure is final (json null). One row a request, however often it or its answers are repeated."""
+    asked = requests.select("request_id").filter(F.col("request_id").isNotNull()).distinct()
+    j = asked.join(_by_request(responses, primary, fallback), "request_id", "left")
+    p_ok, f_ok = F.col("p.status") == 200, F.col("f.status") == 200
+    retry = F.col("p.status").isin(*fixed.RETRYABLE_HTTP) & F.lit(primary != fallback)
+    json = F.when(p_ok, F.col("p.json")).when(retry & f_ok, F.col("f.json"))
+    model = F.when(p_ok, F.lit(primary)).when(retry & f_ok, F.lit(fallback))
     return j.select("request_id", model.alias("model"), json.alias("json"))
 
 

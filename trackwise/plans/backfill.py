@@ -45,7 +45,7 @@ def backfill_routes(messages: DataFrame, tracker: DataFrame, processed: DataFram
     c = unseen.join(matched, "message_id", "left").withColumn("migrated", F.coalesce("migrated", no))
     # a migrated message needs no decision; done is what decide() leaves alone
     c = c.withColumn("is_done", F.col("migrated")).withColumn("undated", no).withColumn("is_late", no)
-    routed = I.decide(c, scorer, cfg, messages.columns)
+    routed = I.decide(I.with_key(c), scorer, cfg, messages.columns)
     return routed.withColumn("route", F.when(F.col("route") == "processed", "migrated").otherwise(F.col("route")))
 
 

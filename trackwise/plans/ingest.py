@@ -9,7 +9,7 @@ written to the checkpoint folder, so the five outputs (tracker rows, raw cache r
 processed marks, alerts, metrics) agree. ``ingest`` stores the routed messages once for them.
 
 Routes, in precedence order (SURVEY §2.13-E):
-``processed`` (skip) · ``undated`` (no readable time: unmarked, kept aside) · ``late`` (legacy thread, at/before
+``unidentified`` (no id: unmarked, kept aside) · ``processed`` (skip) · ``undated`` (no readable time: unmarked, kept aside) · ``late`` (legacy thread, at/before
 cursor: unmarked, kept aside) · ``self`` (skip, marked) · ``rule`` · ``noise`` (no signal: marked, not cached) ·
 ``deferred`` (only with ``max_per_run``: unmarked) · ``failed`` (scorer gave nothing: unmarked) · ``scored``.
 """
@@ -69,11 +69,21 @@ def scan_messages(messages: DataFrame, since: int, terms: list[str] | None, own_
     return m
 
 
+def without_id() -> Column:
+    return T.blank("message_id") == ""
+
+
+def with_key(messages: DataFrame) -> DataFrame:
+    """Adds ``_key``: the id, or a key of its own for a message without one, so that these neither fall together nor meet
+    in one task."""
+    own = F.concat(F.lit("\u0001"), F.monotonically_increasing_id().cast("string"))
+    return messages.withColumn("_key", F.when(without_id(), own).otherwise(F.col("message_id")))
+
+
 def one_per_id(messages: DataFrame) -> DataFrame:
-    """SM-02: of messages with one id the first by ``seq`` (ids are required)."""
-    rest = [c for c in messages.columns if c != "message_id"]
-    first = messages.groupBy("message_id").agg(F.min_by(F.struct(*rest), "seq").alias("m"))
-    return first.select("message_id", "m.*").select(*messages.columns)
+    """SM-02: of messages with one id the first by ``seq``; all messages without an id."""
+    first = with_key(messages).groupBy("_key").agg(F.min_by(F.struct(*messages.columns), "seq").alias("m"))
+    return first.select("m.*")
 
 
 def split_processed(messages: DataFrame, processed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,14 +136,14 @@ def flagged(messages: DataFrame, processed: DataFrame, cfg: IngestConfig) -> Dat
     """Candidates with ``is_done``, ``undated`` and ``is_late``."""
     since = since_bound(cfg.cursor, cfg.start_date, cfg.as_of, cfg.overlap_s)
     cand = one_per_id(scan_messages(messages, since, cfg.terms, cfg.own_address))
-    ids = processed.select("message_id").distinct().withColumn("is_done", F.lit(True))
-    c = cand.join(ids, "message_id", "left").withColumn("is_done", F.coalesce("is_done", F.lit(False)))
+    ids = processed.select(F.col("message_id").alias("_key")).distinct().withColumn("is_done", F.lit(True))
+    c = with_key(cand).join(ids, "_key", "left").withColumn("is_done", F.coalesce("is_done", F.lit(False)))
     return late_flag(c, processed, cfg.cursor).withColumn("undated", epoch_s().isNull())
 
 
 def classify(c: DataFrame) -> DataFrame:
     """Adds ``rule`` and ``needs`` (undecided, with a signal) to flagged messages."""
-    open_ = ~F.col("is_done") & ~F.col("undated") & ~F.col("is_late") & ~F.col("is_self")
+    open_ = ~without_id() & ~F.col("is_done") & ~F.col("undated") & ~F.col("is_late") & ~F.col("is_self")
     c = c.withColumn("rule_cat", F.when(~F.col("is_done"), T.rule_category()))
     c = c.withColumn("needs", open_ & F.col("rule_cat").isNull() & T.has_signal())
     return c.withColumn("rule", rule_analysis()).drop("rule_cat")
@@ -159,9 +169,10 @@ def decide(c: DataFrame, scorer, cfg: IngestConfig, columns: list[str]) -> DataF
         said = scorer.answers().select("request_id", S.normalize_response("json").alias("analysis"))
     else:
         said = cut_lineage(S.score(S.build_requests(c.filter("chosen")), scorer))  # scored once, then read
-    c = c.join(said.select(F.col("request_id").alias("message_id"), F.col("analysis").alias("scored")), "message_id", "left")
+    c = c.join(said.select(F.col("request_id").alias("_key"), F.col("analysis").alias("scored")), "_key", "left")
     route_ = (
-        F.when(F.col("is_done"), "processed")
+        F.when(without_id(), "unidentified")
+        .when(F.col("is_done"), "processed")
         .when(F.col("undated"), "undated")
         .when(F.col("is_late"), "late")
         .when(F.col("is_self"), "self")
@@ -225,8 +236,8 @@ def raw_rows(routed: DataFrame) -> DataFrame:
 
 
 def side_rows(routed: DataFrame) -> DataFrame:
-    """SM-04: late and undated messages, which no other output has, with their route."""
-    return routed.filter(F.col("route").isin("late", "undated")).drop("source", "analysis")
+    """SM-04: late, undated and unidentified messages, which no other output has, with their route."""
+    return routed.filter(F.col("route").isin("late", "undated", "unidentified")).drop("source", "analysis")
 
 
 def processed_marks(routed: DataFrame, processed_at: str) -> DataFrame:
@@ -250,7 +261,7 @@ def ingest_metrics(routed: DataFrame) -> DataFrame:
     rel = analyzed & a["is_relevant"]
     return routed.agg(
         F.count_if(analyzed).alias("scanned"),
-        F.count_if(r.isin("processed", "undated", "late", "self")).alias("skipped"),
+        F.count_if(r.isin("unidentified", "processed", "undated", "late", "self")).alias("skipped"),
         F.count_if(rel).alias("relevant"),
         F.count_if(rel & (a["category"] == "Invitation")).alias("invitations"),
         F.count_if(rel & (a["category"] == "Offer")).alias("offers"),
