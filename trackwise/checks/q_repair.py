@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trackwise.checks import duck as D
@@ -11,6 +13,8 @@ from trackwise.checks.registry import register
 from trackwise.functions import patterns as P
 from trackwise.operators import scorer as S
 from trackwise.plans import repair as R
+from trackwise.plans.tracker_store import TrackerStore
+from trackwise.session import checkpoint_dir
 from trackwise.sources import adapters as A
 
 RR = """rr AS (
@@ -171,8 +175,7 @@ def _updates(spark, sf_dir):
     return a.unionByName(b).unionByName(n)
 
 
-@register(
-    "update_status",
+_STATUS_SQL = (
     with_views("mail", "mail_tracker")
     + f"""SELECT t.seq, coalesce(p.status, t.status) AS status FROM mail_tracker t LEFT JOIN (
   SELECT target, first(status ORDER BY ord DESC) AS status FROM (
@@ -186,8 +189,11 @@ def _updates(spark, sf_dir):
       WHERE status IN {D.qlist(['Applied', 'Interviewing', 'Offer', 'Rejected', 'Withdrawn', 'Archived'])}) ok
     LEFT JOIN (SELECT message_id, min(seq) AS seq_m FROM mail_tracker WHERE message_id <> '' GROUP BY 1) bym ON bym.message_id = ok.id
     LEFT JOIN (SELECT thread_id, first(seq ORDER BY received DESC, seq ASC) AS seq_t FROM mail_tracker GROUP BY 1) byt ON byt.thread_id = ok.id)
-  WHERE target IS NOT NULL GROUP BY target) p ON p.target = t.seq""",
+  WHERE target IS NOT NULL GROUP BY target) p ON p.target = t.seq"""
 )
+
+
+@register("update_status", _STATUS_SQL)
 def update_status(spark, sf_dir):
     """ML-01 + FLT-11 + JN-09 + SNK-04: whitelisted status updates resolved to
     their target rows (message id, else latest row of the thread) and patched."""
@@ -195,6 +201,16 @@ def update_status(spark, sf_dir):
     return patched.select("seq", "status")
 
 
+@register("stored_status", _STATUS_SQL)
+def stored_status(spark, sf_dir):
+    """SNK-04 on a stored tracker: the status updates rewrite the key buckets of their rows, in one commit."""
+    rows = A.mail_tracker(spark, sf_dir)
+    t = TrackerStore(spark, f"{checkpoint_dir(spark)}/tracker-{uuid.uuid4().hex}")
+    t.append(rows)
+    t.update_status(_updates(spark, sf_dir))
+    return t.read().select("seq", "status")
+
+
 @register(
     "rejected_updates",
     with_views("mail", "mail_tracker")

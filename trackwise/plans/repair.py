@@ -69,20 +69,23 @@ def apply_patch(base: DataFrame, patch: DataFrame, key: str, cols: list[str]) ->
     return j.select(*[F.coalesce(F.col(f"__p_{c}"), F.col(c)).alias(c) if c in cols else F.col(c) for c in base.columns])
 
 
-def update_status(tracker: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """ML-01: returns (patched tracker, rejected updates). An update whose id
+def status_patch(tracker: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """ML-01: (seq, status) to be set, one row a ``seq``, and the rejected updates. An update whose id
     matches no row, or whose status is not allowed, is rejected."""
+    if "ord" not in updates.columns:
+        raise ValueError("updates need an order column 'ord'")
     ok, bad = validate_status(updates)
     targets = resolve_targets(tracker, ok)
     unknown = targets.filter(F.col("target_seq").isNull()).select("id", "status")
     # several updates to one row: the last one in update order wins
-    if "ord" not in updates.columns:
-        raise ValueError("updates need an order column 'ord'")
-    order = "ord"
-    patch = targets.filter(F.col("target_seq").isNotNull()).groupBy("target_seq").agg(
-        F.max_by("status", order).alias("status")
-    ).withColumnRenamed("target_seq", "seq")
-    return apply_patch(tracker, patch, "seq", ["status"]), bad.select("id", "status").unionByName(unknown)
+    patch = targets.filter(F.col("target_seq").isNotNull()).groupBy("target_seq").agg(F.max_by("status", "ord").alias("status"))
+    return patch.withColumnRenamed("target_seq", "seq"), bad.select("id", "status").unionByName(unknown)
+
+
+def update_status(tracker: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """ML-01: returns (patched tracker, rejected updates)."""
+    patch, rejected = status_patch(tracker, updates)
+    return apply_patch(tracker, patch, "seq", ["status"]), rejected
 
 
 def attach_raw(tracker: DataFrame, raw_latest: DataFrame, messages: DataFrame) -> DataFrame:
