@@ -22,7 +22,7 @@ from trackwise import fixed
 from trackwise.functions import text as T
 from trackwise.functions import timefn as TF
 from trackwise.operators.cluster import cluster_keys
-from trackwise.session import cut_lineage
+from trackwise.session import stored
 
 
 def group_key(company_key="company_key", company="company") -> Column:
@@ -93,7 +93,7 @@ def segment_events(ev: DataFrame, boundary: Column | None = None) -> DataFrame:
     order = [F.col("received"), F.col("cnt").desc(), F.col("first_seen"), F.col("seq")]
     n = int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ev = ev.withColumn("is_boundary", boundary).repartitionByRange(n, F.col("cluster"), *order)
-    ev = cut_lineage(ev.withColumn("chunk", F.spark_partition_id()))
+    ev = stored(ev.withColumn("chunk", F.spark_partition_id()), "ranges")
     b = F.col("is_boundary").cast("int")
     w = Window.partitionBy("cluster", "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = F.coalesce(F.sum(b).over(w), F.lit(0))

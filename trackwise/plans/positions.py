@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from trackwise import fixed
 from trackwise.operators import positions as P
-from trackwise.session import cut_lineage
+from trackwise.session import stored
 
 
 def build_positions(
@@ -19,7 +19,7 @@ def build_positions(
     key_map: DataFrame | None = None,
 ) -> DataFrame:
     ev = P.assign_clusters(tracker, min_contain, min_len, key_map)
-    # the segmented events feed five aggregations: only the columns that these read are carried and stored
-    ev = cut_lineage(P.segment_events(ev.select(*P.EVENT_COLUMNS)))
+    # the segmented events feed five aggregations: stored by column, each reads its own columns only
+    ev = stored(P.segment_events(ev.select(*P.EVENT_COLUMNS)), "segments")
     pos = P.position_rollup(ev, as_of, tz).join(P.cluster_rank(ev), "cluster")
     return P.order_positions(pos) if ordered else pos

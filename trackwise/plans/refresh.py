@@ -22,7 +22,7 @@ from trackwise.functions import timefn as TF
 from trackwise.operators import positions as P
 from trackwise.operators.cluster import assign_leaders, new_edges
 from trackwise.operators.components import components
-from trackwise.session import cut_lineage, stored
+from trackwise.session import stored
 from trackwise.sources.bucket_store import BucketStore, Table
 
 ROW = [c for c in P.EVENT_COLUMNS if c not in ("cnt", "first_seen", "cluster")]
@@ -86,7 +86,7 @@ class PositionsView:
         members = stored(members.select(F.col("key").alias("gkey"), "cnt", "first_seen", F.col("canonical").alias("cluster")), "refresh-members")
         held = self.store.read("events", self.store.buckets_of(members, "gkey"))
         events = held.unionByName(new).join(members, "gkey").select(*P.EVENT_COLUMNS)
-        events = cut_lineage(P.segment_events(events))
+        events = stored(P.segment_events(events), "refresh-segments")
         rolled = P.position_rollup(events, as_of, self.tz).join(P.cluster_rank(events), "cluster")
         order = F.col("cluster_order")
         rolled = rolled.withColumn("cluster_order", F.struct(order["col1"].alias("col1"), order["first_seen"].alias("first_seen"), order["seq"].alias("seq")))
