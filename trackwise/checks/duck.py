@@ -69,22 +69,65 @@ def title_domain(x: str) -> str:
     return f"(CASE WHEN {label} = '' THEN 'Unknown' ELSE upper(substr({label}, 1, 1)) || substr({label}, 2) END)"
 
 
+# ---- reading by tokens (``functions.reading``), as DuckDB list functions --------------------------------------------
+
+
+def bind(value: str, name: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def tokens(x: str) -> str:
+    return f"regexp_extract_all({x}, {q(P.TOKEN)})"
+
+
+def rest(t: str, j: str) -> str:
+    return f"array_to_string({t}[{j}:], '')"
+
+
+def led(t: str, j: str, phrases: list[str], any_case: bool = True) -> str:
+    """The two tokens a word before ``j``, joined, end in a phrase's words and white space."""
+    out = []
+    for p in phrases:
+        n = 2 * len(p.split())
+        before = f"regexp_replace(array_to_string({t}[{j} - {n}:{j} - 1], ''), {q(P.WS + '+')}, ' ', 'g')"
+        out.append(f"({j} > {n} AND {'lower(' + before + ')' if any_case else before} = {q(p + ' ')})")
+    return "(" + " OR ".join(out) + ")"
+
+
+def first(t: str, where: str, text: str, proper: str) -> str:
+    """The leftmost ``text`` at a place ``j`` with ``where``, of those that are ``proper`` (as ``x``)."""
+    places = f"list_filter(range(1, len({t}) + 1), lambda j: {where})"
+    return f"list_filter(list_transform({places}, lambda j: {text}), lambda x: {proper})[1]"
+
+
+def name_after(t: str, phrases: list[str], any_case: bool = True) -> str:
+    head = "^[A-Za-z0-9]." if any_case else "^[A-Z]."
+    return first(t, led(t, "j", phrases, any_case), f"regexp_extract({rest(t, 'j')}, {q(P.NAME_HEAD)})", rlike("x", head))
+
+
+def without_article(t: str, any_case: bool) -> str:
+    word = f"lower({t}[j])" if any_case else f"{t}[j]"
+    return f"CASE WHEN {word} = 'the' AND len({t}) >= j + 2 AND {rlike(t + '[j + 1]', P.WS)} THEN {rest(t, 'j + 2')} ELSE {rest(t, 'j')} END"
+
+
 def company_from_subject(s="subject") -> str:
-    s = blank(s)
-    p1, p2, p3 = P.company_subject_patterns(D)
-    raw = (
-        f"(CASE WHEN {rlike(s, p1)} THEN {extract(s, p1)} WHEN {rlike(s, p2)} THEN {extract(s, p2)} "
-        f"WHEN {rlike(s, p3)} THEN {extract(s, p3)} END)"
+    names = ", ".join(
+        [
+            name_after("t", fixed.COMPANY_LEADS),
+            name_after("t", fixed.COMPANY_ROLE_LEADS),
+            name_after("t", [fixed.COMPANY_PLACE_LEAD], any_case=False),
+        ]
     )
-    c = strip_trailing_nonword(clean_company(raw))
-    return f"(CASE WHEN {raw} IS NULL THEN '' WHEN {rlike(c, P.role_not_company(D))} THEN '' ELSE {c} END)"
+    raw = bind(tokens(blank(s)), "t", f"coalesce({names})")
+    return bind(strip_trailing_nonword(clean_company(raw)), "c", f"CASE WHEN {rlike('c', P.role_not_company(D))} THEN '' ELSE c END")
 
 
 def company_from_behalf(b="body") -> str:
-    b = blank(b)
-    pat = P.behalf_pattern()
-    first = f"regexp_replace({extract(b, pat)}, {q('(?:' + P.BEHALF_CUT + ')(?s:.*)')}, '')"
-    return f"(CASE WHEN {rlike(b, pat)} THEN {strip_trailing_nonword(clean_company(first))} ELSE '' END)"
+    parts = f"regexp_split_to_array({blank(b)}, {q('(?i)' + P.escape(fixed.COMPANY_BEHALF_LEAD))})[2:]"
+    lead = "^" + P.WS + "+"
+    name = f"CASE WHEN {rlike('p', lead)} THEN regexp_extract(regexp_replace(p, {q(lead)}, ''), {q(P.NAME_HEAD)}) END"
+    name = f"list_filter(list_transform({parts}, lambda p: {name}), lambda n: {rlike('n', '^[A-Za-z].')})[1]"
+    return strip_trailing_nonword(clean_company(f"regexp_split_to_array({name}, {q(P.BEHALF_CUT)})[1]"))
 
 
 def extract_company(subject="subject", body="body", sender_name="sender_name", sender_domain="sender_domain") -> str:
@@ -100,20 +143,36 @@ def extract_company(subject="subject", body="body", sender_name="sender_name", s
     )
 
 
+def until_stop(x: str, stops: list[str]) -> str:
+    words = [w for w in stops if w != "@"]
+    spaced = f"coalesce(k > 1 AND {rlike('u[k - 1]', P.WS + chr(92) + 'z')}, false)"
+    at = f"u[k] = '@' AND k > 1 AND ({spaced} OR {rlike('u[k - 1]', '[A-Za-z]' + chr(92) + 'z')}) AND {rlike('u[k + 1]', '^[A-Za-z0-9_]')}"
+    kept = f"CASE WHEN lower(u[k]) IN {qlist(words)} AND {spaced} THEN '' WHEN {at} THEN ''"
+    for w in words:
+        stem = f"substr(u[k], 1, greatest(length(u[k]) - {len(w)}, 0))"
+        kept += f" WHEN ends_with(lower(u[k]), {q(w)}) AND {rlike(stem, '[A-Za-z]' + chr(92) + 'z')} THEN {stem}"
+    ends = f"list_transform(range(1, len(u) + 1), lambda k: {kept} END)"
+    k = "list_filter(range(1, len(e) + 1), lambda m: e[m] IS NOT NULL)[1]"
+    cut = f"CASE WHEN {k} IS NULL THEN array_to_string(u, '') ELSE array_to_string(u[:{k} - 1], '') || e[{k}] END"
+    return bind(tokens(x), "u", bind(ends, "e", cut))
+
+
 def extract_role(s="subject") -> str:
-    s = blank(s)
-    p1, p2, p3 = P.role_subject_patterns(D)
-    cap = (
-        f"(CASE WHEN {rlike(s, p1)} THEN {extract(s, p1)} WHEN {rlike(s, p2)} THEN {extract(s, p2)} "
-        f"WHEN {rlike(s, p3)} THEN {extract(s, p3)} END)"
+    lead = "^" + P.WS + "+"
+    behind = f"regexp_replace({rest('t', 'j + 1')}, {q(lead)}, '')"
+    value = f"regexp_replace(substr({behind}, 2), {q(lead)}, '')"
+    marks = " AND ".join(f"NOT contains(x, {q(m)})" for m in fixed.PHRASE_END_MARKS)
+    kinds = ", ".join(
+        [
+            first("t", led("t", "j", fixed.ROLE_LEADS), without_article("t", True), "x <> ''"),
+            first("t", f"lower(t[j]) IN {qlist(fixed.ROLE_LABELS)} AND substr({behind}, 1, 1) IN (':', '-')", value, "x <> ''"),
+            first("t", led("t", "j", [fixed.ROLE_PHRASE_LEAD], False), without_article("t", False), f"{rlike('x', '^[A-Z]')} AND {marks}"),
+        ]
     )
-    cut = f"regexp_replace({cap}, {q(P.role_cut_re2())}, '\\1\\2')"
-    role = f"regexp_replace({cut}, {q(P.TRAILING_NON_WORD)}, '')"
+    lead_text = bind(tokens(blank(s)), "t", f"coalesce({kinds})")
+    role = f"regexp_replace({until_stop(lead_text, fixed.ROLE_STOP_WORDS)}, {q(P.TRAILING_NON_WORD)}, '')"
     role = jtrim(f"regexp_replace({role}, {q(P.WS + '+')}, ' ', 'g')")
-    return (
-        f"(CASE WHEN {cap} IS NULL THEN 'Unknown' WHEN {rlike(role, P.ROLE_APPLY_PREFIX)} THEN 'Unknown' "
-        f"WHEN length({role}) >= 2 THEN {role} ELSE 'Unknown' END)"
-    )
+    return bind(role, "r", f"CASE WHEN NOT {rlike('r', P.ROLE_APPLY_PREFIX)} AND length(r) >= 2 THEN r ELSE 'Unknown' END")
 
 
 def entity_key(company="company", domain="sender_domain") -> str:

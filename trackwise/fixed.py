@@ -264,19 +264,42 @@ COMPANY_SUFFIX_SEPARATORS = ["|", "-", "–", "—", ":"]
 # a captured "company" that is really a role
 ROLE_NOT_COMPANY_WORDS = ["role", "position", "opening"]
 
-# subject lead-ins before a company name (first pattern), in order
-COMPANY_LEAD_VERBS = ["applying", "application", "applied"]
-COMPANY_LEAD_PREPS = ["to", "with", "at", "for a position at"]
-COMPANY_LEAD_NOUNS = ["position", "role"]
-COMPANY_LEAD_NOUN_PREPS = ["at", "with"]
+# phrases before a company name in a subject, and in a body
+COMPANY_LEADS = [
+    "applying to",
+    "applying with",
+    "applying at",
+    "applying for a position at",
+    "application to",
+    "application with",
+    "application at",
+    "application for a position at",
+    "applied to",
+    "applied with",
+    "applied at",
+    "applied for a position at",
+]
+COMPANY_ROLE_LEADS = ["position at", "position with", "role at", "role with"]
+COMPANY_PLACE_LEAD = "at"
+COMPANY_BEHALF_LEAD = "on behalf of"
+
+# characters of a name besides ASCII letters, digits and "_"
+NAME_MARKS = " .&'-"
 
-# subject lead-ins before a role (first pattern), in order
-ROLE_LEAD_INS = ["applying for", "apply for", "for the position of", "position of", "interview for"]
-ROLE_LEAD_NOUNS = ["position", "role"]
+# phrases before a role in a subject, label words before ":" or "-", and the word before a closing phrase
+ROLE_LEADS = ["applying for", "apply for", "for the position of", "position of", "interview for"]
+ROLE_LABELS = ["position", "role"]
+ROLE_PHRASE_LEAD = "for"
+
+# marks that a closing phrase does not hold
+PHRASE_END_MARKS = ",.!|"
 
 # words that end a role inside a subject
 ROLE_STOP_WORDS = ["at", "@", "with", "position", "role", "opening", "opportunity", "req", "requisition"]
 
+# a "role" that begins like this is the application itself
+ROLE_NOT_ROLE_START = "apply"
+
 # links never surfaced as a company site
 JUNK_LINK_PHRASES = [
     "unsubscribe",

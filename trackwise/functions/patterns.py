@@ -1,4 +1,5 @@
-"""Regular expressions built from the phrase lists in ``trackwise.fixed``.
+"""Regular expressions built from the phrase lists in ``trackwise.fixed``. Names and roles are read token by token
+(``functions.reading``).
 
 Two dialects are produced from the same lists: ``java`` (Spark's ``rlike`` /
 ``regexp_*``) and ``re2`` (DuckDB, used as the independent oracle). They differ
@@ -7,8 +8,6 @@ only where the engines differ:
 * Java's ``\\b`` is Unicode-aware, RE2's is ASCII: Spark gets an explicit ASCII
   word-boundary construct.
 * Java's ``$`` also matches before a final newline: both dialects use ``\\z``.
-* RE2 has no look-behind: the one pattern that needs it has an RE2 rewrite that
-  cuts at the same position (see ``role_cut``).
 """
 
 from __future__ import annotations
@@ -73,25 +72,11 @@ def suffix_trailing() -> str:
 # trailing run of characters that are neither word characters, ')' nor "'"
 TRAILING_NON_WORD = r"[^A-Za-z0-9_)']+\z"
 
-# a name ends at the first character that names do not have, whatever its length
-_NAME_CHARS = r"[A-Za-z0-9_ .&'\-]+"
+# tokens of a line (``functions.reading``): words, white space, runs of anything else
+TOKEN = r"[A-Za-z0-9_]+|" + WS + "+|[^A-Za-z0-9_" + WS[1:] + "+"
 
-
-def company_subject_patterns(d: str) -> list[str]:
-    """Three ordered subject patterns; group 1 is the company."""
-    verbs = alternatives(fixed.COMPANY_LEAD_VERBS)
-    preps = alternatives(fixed.COMPANY_LEAD_PREPS)
-    nouns = alternatives(fixed.COMPANY_LEAD_NOUNS)
-    nprep = alternatives(fixed.COMPANY_LEAD_NOUN_PREPS)
-    return [
-        "(?i)" + verbs + " " + preps + "\\s+([A-Za-z0-9]" + _NAME_CHARS + ")",
-        "(?i)" + nouns + " " + nprep + "\\s+([A-Za-z0-9]" + _NAME_CHARS + ")",
-        wb(d) + "at\\s+([A-Z]" + _NAME_CHARS + ")",
-    ]
-
-
-def behalf_pattern() -> str:
-    return "(?i)on behalf of\\s+([A-Z]" + _NAME_CHARS + ")"
+# a name goes on as far as its characters do, whatever its length
+NAME_HEAD = "^[A-Za-z0-9_" + "".join("\\" + ch if ch == "-" else ch for ch in fixed.NAME_MARKS) + "]*"
 
 
 # where an "on behalf of" capture ends: a full stop followed by space, or , ; newline
@@ -102,27 +87,7 @@ def role_not_company(d: str) -> str:
     return "(?i)^the" + wb(d) + "|" + wb(d) + alternatives(fixed.ROLE_NOT_COMPANY_WORDS) + "s?\\z"
 
 
-def role_subject_patterns(d: str) -> list[str]:
-    """Three ordered subject patterns; group 1 is the role text."""
-    return [
-        "(?i)" + alternatives(fixed.ROLE_LEAD_INS) + "\\s+(?:the\\s+)?(.+)\\z",
-        "(?i)" + wb(d) + alternatives(fixed.ROLE_LEAD_NOUNS) + "\\s*[:\\-]\\s*(.+)\\z",
-        wb(d) + "for\\s+(?:the\\s+)?([A-Z][^,.!|]*)\\z",
-    ]
-
-
-def role_cut_java() -> str:
-    """Split point after a role: whitespace or a lower-case letter, then a stop word."""
-    return "(?i)(?:\\s+|(?<=[a-z]))" + alternatives(fixed.ROLE_STOP_WORDS) + _JAVA_WB
-
-
-def role_cut_re2() -> str:
-    """RE2 form of ``role_cut_java``: keeps the text before the first cut (group 1)
-    plus the letter the look-behind would have left in place (group 2)."""
-    return "(?is)^(.*?)(?:\\s+|([a-z]))" + alternatives(fixed.ROLE_STOP_WORDS) + "\\b.*\\z"
-
-
-ROLE_APPLY_PREFIX = "(?i)^apply"
+ROLE_APPLY_PREFIX = "(?i)^" + escape(fixed.ROLE_NOT_ROLE_START)
 
 
 def whole_terms(terms: list[str]) -> str:

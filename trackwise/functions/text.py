@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackwise import fixed
 from trackwise.functions import patterns as P
+from trackwise.functions import reading as R
 
 J = "java"
 
@@ -95,25 +96,25 @@ def title_domain(domain: str | Column) -> Column:
 
 
 def company_from_subject(subject="subject") -> Column:
-    """FN-05: first of three subject patterns that matches; a capture that is
-    really a role gives ''."""
-    s = blank(subject)
-    p1, p2, p3 = P.company_subject_patterns(J)
-    raw = (
-        F.when(s.rlike(p1), F.regexp_extract(s, p1, 1))
-        .when(s.rlike(p2), F.regexp_extract(s, p2, 1))
-        .when(s.rlike(p3), F.regexp_extract(s, p3, 1))
+    """FN-05: the name behind the first kind of lead phrase that the subject holds; a name that is really a role
+    gives ''."""
+    raw = R.bind(
+        R.tokens(blank(subject)),
+        lambda t: F.coalesce(
+            R.name_after(t, fixed.COMPANY_LEADS),
+            R.name_after(t, fixed.COMPANY_ROLE_LEADS),
+            R.name_after(t, [fixed.COMPANY_PLACE_LEAD], any_case=False),
+        ),
+    )
+    return R.bind(
+        strip_trailing_nonword(clean_company(raw)),
+        lambda c: F.when(c.rlike(P.role_not_company(J)), F.lit("")).otherwise(c),
     )
-    c = strip_trailing_nonword(clean_company(raw))
-    return F.when(raw.isNull(), F.lit("")).when(c.rlike(P.role_not_company(J)), F.lit("")).otherwise(c)
 
 
 def company_from_behalf(body="body") -> Column:
-    b = blank(body)
-    pat = P.behalf_pattern()
-    cap = F.regexp_extract(b, pat, 1)
-    first = F.split(cap, P.BEHALF_CUT, 2).getItem(0)
-    return F.when(b.rlike(pat), strip_trailing_nonword(clean_company(first))).otherwise(F.lit(""))
+    name = F.split(R.names_behind(blank(body), fixed.COMPANY_BEHALF_LEAD), P.BEHALF_CUT, 2).getItem(0)
+    return strip_trailing_nonword(clean_company(name))
 
 
 def extract_company(subject="subject", body="body", sender_name="sender_name", sender_domain="sender_domain") -> Column:
@@ -140,22 +141,19 @@ def extract_company(subject="subject", body="body", sender_name="sender_name", s
 
 
 def extract_role(subject="subject") -> Column:
-    s = blank(subject)
-    p1, p2, p3 = P.role_subject_patterns(J)
-    cap = (
-        F.when(s.rlike(p1), F.regexp_extract(s, p1, 1))
-        .when(s.rlike(p2), F.regexp_extract(s, p2, 1))
-        .when(s.rlike(p3), F.regexp_extract(s, p3, 1))
+    """FN-08: what follows the first kind of lead that the subject holds, up to a stop word."""
+    lead = R.bind(
+        R.tokens(blank(subject)),
+        lambda t: F.coalesce(
+            R.rest_after(t, fixed.ROLE_LEADS),
+            R.rest_after_label(t, fixed.ROLE_LABELS),
+            R.phrase_after(t, fixed.ROLE_PHRASE_LEAD),
+        ),
     )
-    cut = F.split(cap, P.role_cut_java(), 2).getItem(0)
-    role = F.regexp_replace(cut, P.TRAILING_NON_WORD, "")
-    role = jtrim(F.regexp_replace(role, P.WS + "+", " "))
-    n = F.length(role)
-    return (
-        F.when(cap.isNull(), F.lit("Unknown"))
-        .when(role.rlike(P.ROLE_APPLY_PREFIX), F.lit("Unknown"))
-        .when(n >= 2, role)
-        .otherwise(F.lit("Unknown"))
+    role = F.regexp_replace(R.until_stop(lead, fixed.ROLE_STOP_WORDS), P.TRAILING_NON_WORD, "")
+    return R.bind(
+        jtrim(F.regexp_replace(role, P.WS + "+", " ")),
+        lambda r: F.when(~r.rlike(P.ROLE_APPLY_PREFIX) & (F.length(r) >= 2), r).otherwise(F.lit("Unknown")),
     )
 
 
