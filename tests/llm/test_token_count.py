@@ -36,6 +36,14 @@ def test_every_prefix(library):
             assert prefixes.cut(budget) == max(k for k, n in enumerate(counts) if n <= budget)
 
 
+def test_indented_code(library):
+    counter = load(PATH)
+    text = "def f(x):\n    if x:\n        return  x\n" + " " * 37 + "y  =   ①" + " " * 5 + "z" * 700 + "    éé"
+    assert counter.texts([text]) == [len(library.encode(text))]
+    prefixes = Prefixes(counter, text)
+    assert [prefixes.tokens(k) for k in range(len(text) + 1)] == [len(library.encode(text[:k])) for k in range(len(text) + 1)]
+
+
 def test_documents(spark):
     long = "the cat sat " * 3000
     rows = [(1, None), (2, ""), (3, "é x"), (3, "é x"), (None, "a"), (5, long)]

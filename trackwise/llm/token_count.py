@@ -13,7 +13,7 @@ piece that ranks before the merges that are next to take them.
 
 ``Prefixes`` keeps the counts of a text, so budgets and truncations are answered by
 lookups. Runs of two or more marks merge last (they rank after all other pieces); they are
-counted apart.
+counted apart, and the walk says whether the word's first token is its mark alone, which then joins the run.
 
 Distinct segments of a block are worked on together, in numpy, by length.
 Memory is bounded by the block of documents and by the segment memory.
@@ -41,7 +41,8 @@ from trackwise.llm.langid import PieceIndex, by_length
 LIMIT = 4096
 MARK = "▁"
 NEVER = 2**30
-#: Longer segments go through in slices that overlap by the longest piece.
+#: Bytes of text whose new segments are worked on together: few large numpy calls instead of many small ones.
+BLOCK_BYTES = 4 << 20
 MEMO_SEGMENTS = 400_000
 _SEGMENT = re.compile(r" *[^ ]+| +")
 
@@ -166,8 +167,9 @@ class PieceCounter:
         return ok
 
     # ---- counts ---------------------------------------------------------
-    def prefix_counts(self, points: np.ndarray) -> np.ndarray:
-        """Counts at every prefix (columns 0 to length) of equally long segments without runs of marks."""
+    def prefix_counts(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts at every prefix (columns 0 to length) of equally long segments without runs of marks, and whether the
+        prefix's first token is one character alone."""
         n, length = points.shape
         widths = list(range(1, min(length, self.index.longest) + 1))
         cells = []
@@ -184,6 +186,7 @@ class PieceCounter:
         size = np.where(points < 0x80, 1, np.where(points < 0x800, 2, np.where(points < 0x10000, 3, 4)))
         counts = np.zeros((n, length + 1), np.int32)
         last = np.full((n, length + 1), -1, np.int32)
+        lone = np.zeros((n, length + 1), bool)
         for i in range(1, length + 1):
             open_ = np.ones(n, bool)
             for w, ids in reversed(cells):
@@ -202,8 +205,9 @@ class PieceCounter:
                 last[rows, i] = t
                 add = np.where(t == self.other, size[rows, i - 1], 1)  # bytes stand for a character without a piece
                 counts[rows, i] = counts[rows, i - w] + add
+                lone[rows, i] = lone[rows, i - w] if i > w else w == 1
                 open_[rows] = False
-        return counts
+        return counts, lone
 
     def run_count(self, n: int) -> int:
         """Tokens of a run of marks that nothing follows."""
@@ -213,38 +217,46 @@ class PieceCounter:
 
     def segments(self, words: list[str]) -> list[int]:
         out = np.zeros(len(words), np.int64)
-        plain, at = [], []
+        plain, at, runs = [], [], []
         for k, s in enumerate(words):
             marks = len(s) - len(s.lstrip(MARK))
             if marks == len(s):
                 out[k] = self.run_count(marks)
             else:
-                plain.append(s[max(0, marks - 1) :]), at.append(k)
-        at = np.array(at, np.int64)
+                plain.append(s[max(0, marks - 1) :]), at.append(k), runs.append(marks)
+        at, runs = np.array(at, np.int64), np.array(runs, np.int64)
         for rows, points in by_length(plain):
-            for_long = self._long if points.shape[1] > 512 else self.prefix_counts
-            out[at[rows]] = for_long(points)[:, -1]
-        # further marks: if the word's first token is the mark alone, it joins the run
-        for k in at[[words[k].startswith(MARK * 2) for k in at.tolist()]].tolist() if len(at) else []:
-            s = words[k]
-            marks = len(s) - len(s.lstrip(MARK))
-            tokens = self.merges(s[marks - 1 :])[0]
-            size = sum(1 if t in self.rank else len(t.encode()) for t in tokens)
-            lone = tokens[0] == MARK
-            out[k] = self.run_count(marks) + size - 1 if lone else self.run_count(marks - 1) + size
+            counts, lone = self.walked(points)
+            out[at[rows]] = self.behind_run(runs[rows], counts[:, -1], lone[:, -1])
         return out.tolist()
 
-    def _long(self, points: np.ndarray) -> np.ndarray:
+    def walked(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._long(points) if points.shape[1] > 512 else self.prefix_counts(points)
+
+    def behind_run(self, marks: np.ndarray, counts: np.ndarray, lone: np.ndarray) -> np.ndarray:
+        """Counts with the further marks before a segment: if its first token is the mark alone, that joins the run."""
+        more = np.flatnonzero(marks > 1)
+        if not len(more):
+            return counts
+        out = counts.astype(np.int64)
+        joined = marks[more] - ~lone[more]
+        runs, which = np.unique(joined, return_inverse=True)
+        out[more] += np.array([self.run_count(m) for m in runs.tolist()], np.int64)[which] - lone[more]
+        return out
+
+    def _long(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of any length: the same walk in pieces of columns, so that the lattice stays small."""
         step, reach = 256, self.index.longest
         n, length = points.shape
         counts, last = np.zeros((n, length + 1), np.int32), np.full((n, length + 1), -1, np.int32)
+        lone = np.zeros((n, length + 1), bool)
         for a in range(0, length, step):
             lo, hi = max(0, a - reach), min(length, a + step)
-            self._walk(points[:, lo:hi], counts[:, lo : hi + 1], last[:, lo : hi + 1], a - lo, lo == 0)
-        return counts
+            cut = slice(lo, hi + 1)
+            self._walk(points[:, lo:hi], counts[:, cut], last[:, cut], lone[:, cut], a - lo, lo == 0)
+        return counts, lone
 
-    def _walk(self, points, counts, last, begin, at_start) -> None:
+    def _walk(self, points, counts, last, lone, begin, at_start) -> None:
         n, length = points.shape
         widths = list(range(1, min(length, self.index.longest) + 1))
         cells = []
@@ -268,6 +280,7 @@ class PieceCounter:
                     rows, t = rows[fits], t[fits]
                 last[rows, i] = t
                 counts[rows, i] = counts[rows, i - w] + np.where(t == self.other, size[rows, i - 1], 1)
+                lone[rows, i] = lone[rows, i - w] if i > w or not at_start else w == 1
                 open_[rows] = False
 
     @staticmethod
@@ -292,11 +305,14 @@ class Prefixes:
         parts, total, counts = counter.split(text) if text else [], 0, [np.zeros(1, np.int64)]
         for s in (p.replace(" ", MARK) for p in parts):
             marks = len(s) - len(s.lstrip(MARK))
-            if marks > 1:
-                own = np.array([counter.segments([s[:k]])[0] for k in range(1, len(s) + 1)])
-            else:
-                points = np.frombuffer(s.encode("utf-32-le"), np.uint32)[None]
-                own = counter._long(points)[0, 1:]
+            run = np.array([counter.run_count(k) for k in range(1, marks + 1)], np.int64)
+            own = run
+            if marks < len(s):
+                points = np.frombuffer(s[max(0, marks - 1) :].encode("utf-32-le"), np.uint32)[None]
+                walked, lone = counter._long(points)
+                first = 1 + (marks > 0)  # prefixes that go beyond the marks
+                word = counter.behind_run(np.full(walked.shape[1] - first, marks), walked[0, first:], lone[0, first:])
+                own = np.concatenate([run, word])
             counts.append(own + total)
             total += int(own[-1])
         self.counts = np.concatenate(counts)[1:]  # at 0: the mark that leads the text, which stands for no character
@@ -327,7 +343,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(path)
         for batch in batches:
-            for a, b in blocks(batch.column(1)):
+            for a, b in blocks(batch.column(1), BLOCK_BYTES):
                 texts = batch.column(1).slice(a, b - a)
                 n = np.array(counter.texts(texts.to_pylist()), np.int64)
                 size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
