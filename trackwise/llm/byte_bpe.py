@@ -10,7 +10,7 @@ with the same order (rank, then position).
 
 The text of a document is encoded whole. Memory is bounded by the block of
 documents (``BLOCK_BYTES``, or one document if that is longer) and the piece
-memory (``MEMO_PIECES`` entries, emptied when full).
+memory (``MEMO_PIECES`` entries, emptied when full); the codec and its memory go at the end of a task.
 
 Defined cases: null text encodes to no ids like empty text; repeated rows and ids give a row each;
 an empty table gives no rows; other columns are not read by ``encode_documents`` and
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from trackwise.llm.common import ship_code
+from trackwise.llm.common import released, ship_code
 
 LONG_PIECE = 256
 BLOCK_BYTES = 1 << 20
@@ -231,7 +231,7 @@ class ByteBPE:
 
 @lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> ByteBPE:
-    """One codec a worker process."""
+    """One codec a task."""
     return ByteBPE.from_file(path, pattern)
 
 
@@ -283,7 +283,7 @@ def encode_table(docs: DataFrame, path: str, pattern: str, text_col: str = "text
     fields = (schema.simpleString()[7:-1] + ", " if keep else "") + ("ids: array<int>, " if with_ids else "")
     out = fields + "n_tokens: bigint, ids_sha256: string, decoded_sha256: string"
     names = [*keep, *(["ids"] if with_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
-    return shown.mapInArrow(run, out)
+    return shown.mapInArrow(released(run, load.cache_clear), out)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:

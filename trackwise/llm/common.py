@@ -7,11 +7,15 @@ fixed once it has been written to the shared folder.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +54,33 @@ def parts_for(df: DataFrame, rows_each: int, least: int | None = None) -> int:
     return max(least, -(-n // rows_each))
 
 
+def release() -> None:
+    """Give the memory that this process no longer uses back to the machine: Arrow's pool and the allocator keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def released(run: Run, forget: Callable[[], None] | None = None) -> Run:
+    """``run`` for ``mapInArrow``, in a worker that is used again by later tasks: at the end of the task ``forget``
+    empties what the process holds for it, and unused memory goes back."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            release()
+
+    return inner
+
+
 def ship_code(spark: SparkSession) -> None:
     """Give the Python workers this package, once a session (as ``--py-files`` would)."""
     sc = spark.sparkContext

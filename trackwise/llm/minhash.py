@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackwise.llm.common import ship_code, stored
-from trackwise.llm.textbatch import LOWER, Words, blocks, distinct_by_row, mix, row_reduce
+from trackwise.llm.common import released, ship_code, stored
+from trackwise.llm.textbatch import LOWER, Words, blocks, distinct_by_row, forget_powers, mix, row_reduce
 
 BANDS, ROWS = 24, 4
 SKETCH = 256
@@ -113,7 +113,7 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = f"doc_id {kind}, text_hash bigint, n bigint, key1 bigint, key2 bigint, bands array<bigint>, sketch array<bigint>"
     shown = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return stored(shown.mapInArrow(run, fields).withColumn("rid", F.monotonically_increasing_id()), "minhash-rows")
+    return stored(shown.mapInArrow(released(run, forget_powers), fields).withColumn("rid", F.monotonically_increasing_id()), "minhash-rows")
 
 
 def compare(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -161,7 +161,7 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -
                 )
 
     fields = "a bigint, b bigint, linked boolean, na bigint, nb bigint, differ bigint, right bigint, first array<bigint>"
-    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, fields)
+    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(released(run, forget_powers), fields)
 
 
 def components(edges: DataFrame) -> DataFrame:

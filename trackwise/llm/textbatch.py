@@ -49,6 +49,12 @@ class _Powers:
 _UP, _DOWN = _Powers(_P), _Powers(_P_INVERSE)
 
 
+def forget_powers() -> None:
+    """Let go of the powers, which grow to the longest block seen; they are worked out again when needed."""
+    for p in (_UP, _DOWN):
+        p.all = np.ones(1, np.uint64)
+
+
 class Prefix:
     """Polynomial prefix sums of a byte array: the hash of any slice in constant time."""
 

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackwise.llm.common import fold, ship_code, stored
-from trackwise.llm.textbatch import LOWER, Words, blocks, mix, row_reduce
+from trackwise.llm.common import fold, release, released, ship_code, stored
+from trackwise.llm.textbatch import LOWER, Words, blocks, forget_powers, mix, row_reduce
 
 PER_CLASS = 3000
 MAX_CHARS = 20_000
@@ -219,7 +219,7 @@ def binned(docs: DataFrame, model: Cnn) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(at)], ["doc_id", "lang", "bin"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, bin int")
+    return docs.select("doc_id", "lang", "text").mapInArrow(released(run, forget_powers), f"doc_id {kind}, lang string, bin int")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Cnn | None:
@@ -247,11 +247,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_char
         return None
     pieces = [word_ids(raw, offs) for b in rows.select(["text"]).to_batches() for _, raw, offs in blocks(b, 0)]
     del rows
-    pa.default_memory_pool().release_unused()
     at = np.cumsum([0] + [len(i) for i, _ in pieces])
     words = np.concatenate([i for i, _ in pieces])
     edges = np.concatenate([[0]] + [e[1:] + a for (_, e), a in zip(pieces, at, strict=False)]).astype(np.int64)
+    del pieces
     model = train(words, edges, y, total[1] / sum(total))
+    del words, edges
+    forget_powers()
+    release()
     seen = stored(
         binned(docs, model).join(ids, "doc_id").join(F.broadcast(chosen.select("doc_id", F.lit(True).alias("trained"))), "doc_id", "left")
         .groupBy("lang", "toxic", "bin", F.col("trained").isNotNull().alias("trained")).count(), "toxicity-bins",
@@ -292,7 +295,7 @@ def score(docs: DataFrame, model: Cnn | None, text_col: str = "text", only: list
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got), pa.array(got >= limit)], [*own, "score", "toxic"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
-    return shown.mapInArrow(run, fields if keep_below else f"{fields}, score double, toxic boolean")
+    return shown.mapInArrow(released(run, forget_powers), fields if keep_below else f"{fields}, score double, toxic boolean")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
