@@ -69,7 +69,7 @@ def test_queries_are_registered():
     import __spark_entry__ as E
 
     names = set(E.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.QUERIES) <= names and "op8_exact_dedup" in E.oracle_sql()
 
 
