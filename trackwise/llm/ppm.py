@@ -29,23 +29,24 @@ table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackwise.llm.common import fold, ship_code, stored
+from trackwise.llm.common import discard, fold, released, ship_code, shuffles_freed, stored
 from trackwise.llm.textbatch import LOWER, LongTable, Words, blocks, row_reduce
 
 SHARED_WORDS = 1 << 18
 SHARED_GRAMS = 1 << 21
 ORDER, DEEP, CLASSES, LEVELS = 3, 6, 32, 6
 CELLS = CLASSES**ORDER * 256
-HELD_ENTRIES = 2_000_000
-BLOCK_BYTES = 2 << 20
+HELD_ENTRIES = 1_000_000
+BLOCK_BYTES = 1 << 20
 HELD_GRAMS = 1 << 18
-FIELDS = "context bigint, total bigint, kinds bigint, around bigint, escape double, grams array<struct<symbol: int, direct: double>>"
+FIELDS = "context bigint, total bigint, kinds bigint, around bigint, escape float, grams array<struct<symbol: int, direct: float>>"
 
 _CLASS = np.zeros(256, np.uint64)
 _CLASS[1:128] = 30  # marks and control characters
@@ -90,6 +91,14 @@ def cells(gram: np.ndarray) -> np.ndarray:
     return (gram & np.uint64(CELLS - 1)).astype(np.int32)
 
 
+def cell_of(gram: np.ndarray) -> np.ndarray:
+    """The same from a gram of ``DEEP`` bytes."""
+    out = (gram & 255).astype(np.int32)
+    for j in range(1, ORDER + 1):
+        out |= _CLASS[gram >> 8 * j & 255].astype(np.int32) << 5 * j + 3
+    return out
+
+
 def log_table(counts: np.ndarray) -> np.ndarray:
     """log10 P(symbol | context) of every cell, from the counts of the cells."""
     third = counts.reshape(CLASSES, CLASSES, CLASSES, 256)
@@ -120,24 +129,29 @@ def gather(train: DataFrame) -> DataFrame:
     ship_code(train.sparkSession)
 
     def emit(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if kind == 3:  # the cell follows from the gram
+            yield from emit(1, *added(cell_of(keys).astype(np.int64), n))
         for a in range(0, len(keys), 100_000):
             k = keys[a : a + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[a : a + 100_000])], ["kind", "key", "n"])
 
+    def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        return keys[first], np.add.reduceat(n[order], first) if len(first) else n
+
     def merged(held: list) -> tuple[np.ndarray, np.ndarray]:
-        keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        unique, inverse = np.unique(keys, return_inverse=True)
-        return unique, np.bincount(inverse, n, len(unique)).astype(np.int64)
+        return added(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, rows_seen = np.zeros(CELLS, np.int64), 0
+        rows_seen = 0
         held: dict[int, list] = {0: [], 3: []}
         total = {0: 0, 3: 0}
         for batch in batches:
             for rows, raw, offs in blocks(batch, 0, BLOCK_BYTES):
                 raw = LOWER[raw]
                 rows_seen += rows.num_rows
-                trie += np.bincount(cells(grams(raw, offs)[0]), minlength=CELLS)
                 for kind, keys in ((0, Words(raw, offs).hashes()), (3, deep_grams(raw, offs))):
                     keys, n = np.unique(keys.view(np.int64), return_counts=True)
                     held[kind].append((keys, n))
@@ -152,11 +166,9 @@ def gather(train: DataFrame) -> DataFrame:
             if held[kind]:
                 yield from emit(kind, *merged(held[kind]))
         if rows_seen:
-            at = np.flatnonzero(trie)
-            yield from emit(1, at, trie[at])
             yield from emit(2, np.zeros(1, np.int64), np.array([rows_seen], np.int64))
 
-    parts = train.select("text").mapInArrow(run, "kind int, key bigint, n bigint")
+    parts = train.select("text").mapInArrow(released(run), "kind int, key bigint, n bigint")
     return stored(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")
 
 
@@ -214,11 +226,11 @@ def nested(key: np.ndarray, n: np.ndarray) -> list[pa.RecordBatch]:
             lower = np.searchsorted(below[0], level_key(level - 1, grams_ & np.uint64((1 << 56) - 1), cell[: len(grams_)]))
             mass = np.bincount(of, below[1][lower], len(context))
             escape = np.log10(kinds / (total + kinds)) - np.log10(np.maximum(1 - mass, 1e-9))
-            pairs = pa.StructArray.from_arrays([pa.array((grams_ & np.uint64(255)).astype(np.int32)), pa.array(np.log10(p))], ["symbol", "direct"])
+            pairs = pa.StructArray.from_arrays([pa.array((grams_ & np.uint64(255)).astype(np.int32)), pa.array(np.log10(p).astype(np.float32))], ["symbol", "direct"])
             out.append(pa.RecordBatch.from_arrays(
                 [
                     pa.array(context.view(np.int64)), pa.array(total.astype(np.int64)), pa.array(kinds), pa.array(below[2][lower[first]].astype(np.int64)),
-                    pa.array(escape), pa.ListArray.from_arrays(pa.array(np.append(first, len(grams_)).astype(np.int32)), pairs),
+                    pa.array(escape.astype(np.float32)), pa.ListArray.from_arrays(pa.array(np.append(first, len(grams_)).astype(np.int32)), pairs),
                 ],
                 ["context", "total", "kinds", "around", "escape", "grams"],
             ))
@@ -248,7 +260,12 @@ def long_contexts(deep: DataFrame) -> DataFrame:
 
     group = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF))
     dealt = deep.select("key", "n").repartition(group).sortWithinPartitions(group)
-    return dealt.mapInArrow(run, FIELDS)
+    return dealt.mapInArrow(released(run), FIELDS)
+
+
+def narrow(n: np.ndarray) -> np.ndarray:
+    """Counts in the narrowest type that holds them."""
+    return n.astype(np.min_scalar_type(int(n.max(initial=0))))
 
 
 def contexts(counts: DataFrame) -> DataFrame:
@@ -265,21 +282,28 @@ def contexts(counts: DataFrame) -> DataFrame:
     own = both.groupBy(F.shiftright("key", 8).alias("context")).agg(
         F.sum("n").alias("total"), F.count("*").alias("kinds"), F.collect_list(F.struct("key", "lower", "n")).alias("grams")
     )
-    each = stored(own, "ppm-contexts").select("context", "total", "kinds", F.inline("grams"))
+    short = stored(own, "ppm-contexts")
+    each = short.select("context", "total", "kinds", F.inline("grams"))
     each = each.withColumn("p", F.col("n") / (F.col("total") + F.col("kinds")))
     below = each.select(F.col("key").alias("lower"), F.col("p").alias("q"), F.col("total").alias("around"))  # what followed a context followed the shorter one too
     out = each.filter("lower IS NOT NULL").join(below, "lower").groupBy("context").agg(
         F.first("total").alias("total"), F.first("kinds").alias("kinds"), F.sum("q").alias("mass"), F.first("around").alias("around"),
-        F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), F.log10("p").alias("direct"))).alias("grams"),
+        F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), F.log10("p").cast("float").alias("direct"))).alias("grams"),
     )
     # the shorter context answers without the symbols that this one has
     escape = F.log10(F.col("kinds") / (F.col("total") + F.col("kinds"))) - F.log10(F.greatest(1 - F.col("mass"), F.lit(1e-9)))
-    out = out.select("context", "total", "kinds", "around", escape.alias("escape"), "grams")
-    return stored(out.unionByName(long_contexts(gathered)), "ppm-escapes")
+    out = out.select("context", "total", "kinds", "around", escape.cast("float").alias("escape"), "grams")
+    out = stored(out.unionByName(long_contexts(gathered)), "ppm-escapes")
+    discard(three)
+    discard(short)
+    return out
 
 
 class Model:
-    """What the tasks get: the table of the trie, the common words, and the totals."""
+    """What the tasks get: the table of the trie, the common words, and the totals.
+
+    Shipped without what a task can work out: the upper trie as its counts, a level as its contexts and, for each, how many
+    symbols follow, which, and their logarithms."""
 
     def __init__(self, counts: DataFrame, deep: DataFrame | None = None):
         words = counts.filter("kind = 0")
@@ -289,12 +313,9 @@ class Model:
         self.divisor = self.tokens + 0.5 * (row.v + (1 if ends else 0) + 1)
         common = words.filter(cut_at(words, SHARED_WORDS)[0]).select("key", "n").toArrow()
         self.words = common["key"].to_numpy().view(np.uint64)
-        self.counts = common["n"].to_numpy()
+        self.counts = narrow(common["n"].to_numpy())
         upper = counts.filter("kind = 1").select("key", "n").toArrow()  # at most CELLS rows
-        trie = np.zeros(CELLS, np.int64)
-        trie[upper["key"].to_numpy()] = upper["n"].to_numpy()
-        self.table = log_table(trie)
-        del trie, upper
+        self.upper = upper["key"].to_numpy().astype(np.int32), narrow(upper["n"].to_numpy())
         self._lower(contexts(counts) if deep is None else deep)
 
     def _lower(self, deep: DataFrame) -> None:
@@ -302,14 +323,42 @@ class Model:
         rows = kept.select("context", F.inline("grams")).select(F.shiftleft("context", 8).bitwiseOR(F.col("symbol").cast("bigint")).alias("key"), "direct")
         rows = rows.toArrow()  # at most SHARED_GRAMS rows, and no more contexts
         per = kept.select("context", "escape").toArrow()
-        key, direct = rows["key"].to_numpy().view(np.uint64), rows["direct"].to_numpy()
-        context, escape = per["context"].to_numpy().view(np.uint64), per["escape"].to_numpy()
+        key, context = rows["key"].to_numpy().view(np.uint64), per["context"].to_numpy().view(np.uint64)
+        by_key, by_context = np.argsort(key), np.argsort(context)
+        key, direct = key[by_key], rows["direct"].to_numpy()[by_key]
+        context, escape = context[by_context], per["escape"].to_numpy()[by_context]
         self.levels = []  # from the shortest
         for level in range(1, LEVELS + 1):
             at, of = key >> np.uint64(59) == level, context >> np.uint64(51) == level
             self.levels.append((key[at], direct[at], context[of], escape[of]))
         self.grams, self.direct, self.contexts, self.escape = self.levels[0]  # next to the upper trie
 
+    @cached_property
+    def table(self) -> np.ndarray:
+        trie = np.zeros(CELLS, self.upper[1].dtype)
+        trie[self.upper[0]] = self.upper[1]
+        return log_table(trie)
+
+    @cached_property
+    def tables(self) -> list[tuple[LongTable, LongTable]]:
+        """Where each level has its grams and its contexts, from the shortest."""
+        return [(LongTable(grams_), LongTable(contexts_)) for grams_, _, contexts_, _ in self.levels]
+
+    def __getstate__(self) -> dict:
+        own = {k: getattr(self, k) for k in ("ends", "tokens", "divisor", "words", "counts", "upper")}
+        own["levels"] = []
+        for grams_, direct, contexts_, escape in self.levels:  # both sorted: the grams of a context stand together
+            kinds = np.diff(np.append(np.searchsorted(grams_ >> np.uint64(8), contexts_), len(grams_)))
+            own["levels"].append((contexts_, (kinds - 1).astype(np.uint8), grams_.astype(np.uint8), direct, escape))
+        return own
+
+    def __setstate__(self, own: dict) -> None:
+        levels = [
+            (np.repeat(contexts_, kinds.astype(np.int64) + 1) << np.uint64(8) | symbols, direct, contexts_, escape)
+            for contexts_, kinds, symbols, direct, escape in own["levels"]
+        ]
+        self.__dict__.update(own, levels=levels)
+
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / self.divisor)
 
@@ -323,7 +372,7 @@ def tally(row: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return order[first], np.diff(np.append(first, len(row))), np.searchsorted(row[first], np.arange(n + 1)).astype(np.int32)
 
 
-def trie_scores(model: Model, tables: list, gram: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def trie_scores(model: Model, gram: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 probabilities by the shared contexts, and the number of the longest level whose context is shared.
 
     A shorter context has at least the count of a longer one, so all those of a shared one are shared."""
@@ -331,7 +380,7 @@ def trie_scores(model: Model, tables: list, gram: np.ndarray, cell: np.ndarray)
     known, todo = np.full(len(gram), LEVELS, np.int8), np.arange(len(gram))
     for level in range(LEVELS, 0, -1):
         key = level_key(level, gram[todo], cell[todo])
-        grams_at, contexts_at = tables[level - 1]
+        grams_at, contexts_at = model.tables[level - 1]
         _, direct, _, escape = model.levels[level - 1]
         at = grams_at.get(key)
         hit = at >= 0
@@ -351,51 +400,59 @@ def unshared(rows: DataFrame, rest: DataFrame) -> DataFrame:
     """rid, gain: what the contexts that the tasks do not have (``rest``) add to the rows' scores.
 
     ``asked`` holds a gram and, from bit 56, the longest level that the task had; ``own`` the task's answer."""
-    asked = rows.select("rid", F.inline(F.arrays_zip("asked", "own", "often")))
+    with shuffles_freed(rows.sparkSession):
+        once = rows.select(F.inline(F.arrays_zip("asked", "own"))).groupBy("asked").agg(F.min("own").alias("own"))
+        once = stored(once, "ppm-asked")
     chain = levels(F.col("asked").bitwiseAND(F.lit((1 << 56) - 1)))[:-1]
     steps = F.array(*[F.struct(F.lit(len(chain) - j).alias("level"), k.alias("key")) for j, k in enumerate(chain)])
-    each = asked.groupBy("asked").agg(F.min("own").alias("own")).select(
-        "asked", "own", F.inline(F.filter(steps, lambda x: x["level"] > F.shiftright("asked", 56)))
-    )
-    met = each.withColumn("context", F.shiftright("key", 8)).join(rest.select("context", "escape", "grams"), "context")
-    met = met.withColumn("direct", F.get(F.filter("grams", lambda g: g["symbol"] == F.col("key").bitwiseAND(F.lit(255))), F.lit(0))["direct"])
-    answers = met.groupBy("asked").agg(
-        F.min("own").alias("own"), F.max(F.when(F.col("direct").isNotNull(), F.struct("level", "direct"))).alias("hit"),
-        F.collect_list(F.struct("level", "escape")).alias("steps"),  # at most one a level
-    )
-    paid = F.filter("steps", lambda x: x["level"] > F.coalesce("hit.level", F.lit(0)))
-    paid = F.aggregate(paid, F.lit(0.0), lambda sum_, x: sum_ + x["escape"])
-    answers = answers.select("asked", (F.coalesce("hit.direct", "own") + paid - F.col("own")).alias("more"))
+    wanted = F.slice(steps, F.lit(1), F.lit(LEVELS) - F.shiftright("asked", 56).cast("int"))
+    each = once.select("asked", "own", F.inline(wanted)).withColumn("context", F.shiftright("key", 8))
+    place = F.array_position("symbol", F.col("key").bitwiseAND(F.lit(255)).cast("int")).cast("int")
+    met = each.join(rest, "context").withColumn("direct", F.when(place > 0, F.get("direct", place - 1)))
+    own = [F.max(F.when(F.col("level") == j, F.col(c))).alias(f"{c}{j}") for c in ("escape", "direct") for j in range(1, LEVELS + 1)]
+    answers = met.groupBy("asked").agg(F.min("own").cast("double").alias("own"), *own)
+    answer = F.col("own")
+    for j in range(1, LEVELS + 1):  # each longer context gives its own probability or escapes to the shorter ones
+        answer = F.coalesce(F.col(f"direct{j}").cast("double"), answer + F.coalesce(f"escape{j}", F.lit(0.0)))
+    with shuffles_freed(rows.sparkSession):
+        answers = stored(answers.select("asked", (answer - F.col("own")).alias("more")), "ppm-answers")
+    discard(rest)
+    discard(once)
+    asked = rows.select("rid", F.inline(F.arrays_zip("asked", "often")))
     return asked.join(answers, "asked").groupBy("rid").agg(F.sum(F.col("often") * F.col("more")).alias("gain"))
 
 
-def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """The contract's columns for every row of doc_id, held_out, text."""
+def score(docs: DataFrame, counts: DataFrame, deep: DataFrame | None = None) -> DataFrame:
+    """The contract's columns for every row of doc_id, held_out, text. ``deep``: the stored contexts, which go once what the
+    tasks lack is taken from them; without it they are worked out from all counts."""
     spark = docs.sparkSession
-    deep = contexts(counts)
+    deep = contexts(counts) if deep is None else deep
     model = Model(counts, deep)
     shared = spark.sparkContext.broadcast(model)
     kept, cut = cut_at(deep, SHARED_GRAMS, "total", F.col("kinds"))
+    if cut:
+        rest = stored(deep.filter(~kept & (F.col("total") < F.col("around"))).select("context", "escape", "grams.symbol", "grams.direct"), "ppm-rest")
+    discard(deep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        words_at, tables = LongTable(model.words), [(LongTable(g), LongTable(c)) for g, _, c, _ in model.levels]
+        words_at = LongTable(model.words)
         end = float(model.base(np.array(model.ends)))
         for batch in batches:
             for rows, raw, offs in blocks(batch, 2, BLOCK_BYTES):
                 raw = LOWER[raw]
                 upper, edges = grams(raw, offs)
                 gram = deep_grams(raw, offs)
-                bits, level = trie_scores(model, tables, gram, cells(upper))
+                bits, level = trie_scores(model, gram, cells(upper))
                 code = row_reduce(np.add, bits, edges)
                 open_ = np.flatnonzero(level < LEVELS) if cut else np.zeros(0, np.int64)
                 asked = gram[open_] | level[open_].astype(np.uint64) << np.uint64(56)
                 some, often, parts = tally(np.searchsorted(edges, open_, "right") - 1, asked, rows.num_rows)
-                asked, own = asked[some].view(np.int64), bits[open_[some]]
+                asked, own = asked[some].view(np.int64), bits[open_[some]].astype(np.float32)
                 words = Words(raw, offs)
                 h = words.hashes()
                 at = words_at.get(h)
-                count = np.where(at >= 0, model.counts[at], -1) if len(model.counts) else at
+                count = np.where(at >= 0, model.counts[at].astype(np.int64), -1) if len(model.counts) else at
                 base = row_reduce(np.add, np.where(count >= 0, model.base(np.maximum(count, 0)), 0.0), words.edges) + end
                 known = row_reduce(np.add, (count >= 0).astype(np.int64), words.edges) + (model.ends > 0)
                 rare = np.flatnonzero(count < 0)
@@ -414,9 +471,10 @@ def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
     names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times", "asked", "own", "often"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, "
-    fields += "rare array<bigint>, times array<int>, asked array<bigint>, own array<double>, often array<int>"
-    rows = docs.select("doc_id", "held_out", "text").mapInArrow(run, fields).withColumn("rid", F.monotonically_increasing_id())
+    fields += "rare array<bigint>, times array<int>, asked array<bigint>, own array<float>, often array<int>"
+    rows = docs.select("doc_id", "held_out", "text").mapInArrow(released(run), fields).withColumn("rid", F.monotonically_increasing_id())
     rows = stored(rows, "ppm-rows")
+    shared.destroy()
     rare = rows.select("rid", F.inline(F.arrays_zip("rare", "times")))
     words = counts.filter("kind = 0").select(F.col("key").alias("rare"), "n")
     n = F.coalesce("n", F.lit(0))
@@ -425,7 +483,7 @@ def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
         F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("also"),
     )
     out = rows.join(sums, "rid", "left")
-    out = out.join(unshared(rows, deep.filter(~kept & (F.col("total") < F.col("around")))), "rid", "left") if cut else out.withColumn("gain", F.lit(0.0))
+    out = out.join(unshared(rows, rest), "rid", "left") if cut else out.withColumn("gain", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),
@@ -438,4 +496,9 @@ def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
 def lm_scores(docs: DataFrame) -> DataFrame:
     """The contract's row for each document."""
     docs = docs.select("doc_id", "text", (fold(F.col("doc_id"), 5) == 1).alias("held_out"))
-    return score(docs, gather(docs.filter("NOT held_out")))
+    with shuffles_freed(docs.sparkSession):
+        counts = gather(docs.filter("NOT held_out"))
+        deep = contexts(counts)
+        words = stored(counts.filter("kind < 3"), "ppm-words")
+        discard(counts)
+    return score(docs, words, deep)
