@@ -43,6 +43,47 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(got[:, k], [by_segmentations(w, prob) for w in words])
 
 
+def plain_forward(word, prob):
+    """log of the sum over all segmentations, position by position, in logarithms."""
+    logs = [0.0]
+    for i in range(1, len(word) + 1):
+        ways = []
+        for w in range(1, min(i, 3) + 1):
+            part = word[i - w : i]
+            p = prob.get(part, prob["?"] if w == 1 else 0.0)
+            if p:
+                ways.append(logs[i - w] + math.log(p))
+        top = max(ways)
+        logs.append(top + math.log(sum(math.exp(x - top) for x in ways)))
+    return logs[-1]
+
+
+def test_words_of_any_length_are_walked_whole(monkeypatch):
+    t, index = table(), L.PieceIndex(PIECES)
+    rng = random.Random(3)
+    for size in (40, 1999, 2000, 2001, 5000):
+        word = "▁" + "".join(rng.choice("abcz") for _ in range(size))
+        points = np.frombuffer(word.encode("utf-32-le"), np.uint32)[None]
+        got = L.forward(points, index, t)[0]
+        for k in range(2):
+            assert math.isclose(got[k], plain_forward(word, dict(zip([*PIECES, "?"], t[:-1, k], strict=True))), rel_tol=1e-9)
+    points = np.frombuffer(("▁" + "abcabzca" * 12).encode("utf-32-le"), np.uint32)[None]
+    column = np.append(t[:-1, 0], 0.0)[:, None]
+    whole, counts = L.forward(points, index, t), L.expected(points, np.ones(1), index, column)
+    for window in (1, 2, 7, 50):
+        monkeypatch.setattr(L, "WINDOW", window)
+        assert np.allclose(whole, L.forward(points, index, t))
+        assert np.allclose(counts, L.expected(points, np.ones(1), index, column))
+
+
+def test_sample_is_bounded_without_ids_and_with_repeats(spark):
+    rows = [(None, f"text {i}", "en") for i in range(4000)] + [(7, "again", "en")] * 4000 + [(None, "wort", "de")] * 3 + [(1, None, "en"), (2, "x", None)]
+    got = L.sampled(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), 500).collect()
+    english = [r for r in got if r.lang == "en"]
+    assert 150 < len(english) < 400 and len({r.text for r in english}) == len(english)  # half of the rows repeat one
+    assert [r.text for r in got if r.lang == "de"] == ["wort"]
+
+
 def test_long_words_are_scaled():
     t, index = table(), L.PieceIndex(PIECES)
     word = "▁" + "abcz" * 400

@@ -11,7 +11,9 @@ The piece probabilities are fitted by expectation-maximisation. The E-step is
 a Spark job: tasks run the forward-backward algorithm over their distinct
 words and return expected piece counts, which are summed by (language, piece).
 The fit reads a sample of at most about ``rows_per_lang`` labelled rows of each language
-(rows whose hashed id is below the needed share); prediction reads every whole text.
+(rows whose hashed id and text are below the needed share, rows that repeat both once); prediction reads every whole text.
+
+Words of any length are walked whole, with the lattice of a bounded window in memory.
 
 Words are runs of other characters than ``[\\x20\\x09-\\x0D]`` in lower case, led by a mark
 of the word's start. Characters that no piece has count as a piece of their own.
@@ -122,6 +124,10 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield rows, np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(len(rows), n)
 
 
+#: Positions whose lattice is held at once: a longer word is walked window by window.
+WINDOW = 2000
+
+
 def lattice(points: np.ndarray, index: PieceIndex) -> list[tuple[int, np.ndarray]]:
     """(width, piece ids of all slices of that width; -1 where there is none)."""
     widths = list(range(1, min(points.shape[1], index.longest) + 1))
@@ -135,7 +141,6 @@ def lattice(points: np.ndarray, index: PieceIndex) -> list[tuple[int, np.ndarray
     return out
 
 
-LONG_WORD = 2000
 #: Up to this length a product of the smallest probabilities stays far from the end of doubles.
 UNSCALED = 32
 
@@ -143,57 +148,64 @@ UNSCALED = 32
 def forward(points: np.ndarray, index: PieceIndex, table: np.ndarray) -> np.ndarray:
     """log P(word) for each word and language. ``table``: pieces × languages, a row of zeros last.
 
-    In longer words the sums are scaled at each position, so that they do not underflow."""
+    In longer words the sums are scaled at each position, so that they do not underflow. A word of any length is walked
+    whole: its lattice is made for ``WINDOW`` positions at a time, and the last sums go on into the next window."""
     n, length = points.shape
     langs = table.shape[1]
-    cells = lattice(points, index)
-    reach = max(w for w, _ in cells)
     alpha = {0: np.ones((n, langs))}
     total = np.zeros((n, langs))
-    for i in range(1, length + 1):
-        now = np.zeros((n, langs))
-        for w, ids in cells:
-            if w == 1:
-                now += alpha[i - 1] * table[ids[:, i - 1]]
-            elif w <= i:
-                some = np.flatnonzero(ids[:, i - w] >= 0)
-                if len(some):
-                    now[some] += alpha[i - w][some] * table[ids[some, i - w]]
-        if length > UNSCALED:
-            total += np.log(now)
-            for k in range(max(0, i - reach + 1), i):
-                alpha[k] = alpha[k] / now
-            now = np.ones((n, langs))
-        alpha[i] = now
-        alpha.pop(i - reach, None)
+    for start in range(0, length, WINDOW):
+        stop, back = min(start + WINDOW, length), max(0, start - index.longest)  # pieces may begin in the window before
+        cells = lattice(points[:, back:stop], index)
+        reach = max(w for w, _ in cells) if length <= WINDOW else index.longest
+        for i in range(start + 1, stop + 1):
+            now = np.zeros((n, langs))
+            for w, ids in cells:
+                if w == 1:
+                    now += alpha[i - 1] * table[ids[:, i - 1 - back]]
+                elif w <= i - back:
+                    some = np.flatnonzero(ids[:, i - w - back] >= 0)
+                    if len(some):
+                        now[some] += alpha[i - w][some] * table[ids[some, i - w - back]]
+            if length > UNSCALED:
+                total += np.log(now)
+                for k in range(max(0, i - reach + 1), i):
+                    alpha[k] = alpha[k] / now
+                now = np.ones((n, langs))
+            alpha[i] = now
+            alpha.pop(i - reach, None)
     return total + np.log(alpha[length])
 
 
 def expected(points: np.ndarray, weight: np.ndarray, index: PieceIndex, table: np.ndarray) -> np.ndarray:
     """Expected piece counts of the words in one language; ``table``: one column."""
     n, length = points.shape
-    cells = lattice(points, index)
     p = table[:, 0]
     alpha, beta = np.zeros((length + 1, n)), np.zeros((length + 1, n))
     scale = np.ones((length + 1, n))
     alpha[0] = 1
-    for i in range(1, length + 1):
-        run = np.ones(n)
-        for w, ids in cells:
-            if w <= i:
-                run = scale[i - w + 1 : i].prod(axis=0)
-                alpha[i] += alpha[i - w] * p[ids[:, i - w]] / run
-        scale[i] = alpha[i]
-        alpha[i] = 1
+    for start in range(0, length, WINDOW):
+        stop, back = min(start + WINDOW, length), max(0, start - index.longest)
+        cells = lattice(points[:, back:stop], index)
+        for i in range(start + 1, stop + 1):
+            for w, ids in cells:
+                if w <= i - back:
+                    run = scale[i - w + 1 : i].prod(axis=0)
+                    alpha[i] += alpha[i - w] * p[ids[:, i - w - back]] / run
+            scale[i] = alpha[i]
+            alpha[i] = 1
     beta[length] = 1
     counts = np.zeros(len(p))
-    for i in range(length - 1, -1, -1):
-        for w, ids in cells:
-            if i + w <= length:
-                run = scale[i + 1 : i + w + 1].prod(axis=0)
-                share = p[ids[:, i]] * beta[i + w] / run
-                beta[i] += share
-                counts += np.bincount(ids[:, i] % len(p), weight * share * alpha[i], len(p))
+    for start in reversed(range(0, length, WINDOW)):
+        stop = min(start + WINDOW, length)
+        cells = lattice(points[:, start : stop + index.longest], index)  # pieces may end in the window behind
+        for i in range(stop - 1, start - 1, -1):
+            for w, ids in cells:
+                if i + w <= length and i - start < ids.shape[1]:
+                    run = scale[i + 1 : i + w + 1].prod(axis=0)
+                    share = p[ids[:, i - start]] * beta[i + w] / run
+                    beta[i] += share
+                    counts += np.bincount(ids[:, i - start] % len(p), weight * share * alpha[i], len(p))
     return counts
 
 
@@ -214,9 +226,7 @@ class LanguageModel:
         """log P of each distinct word in each language."""
         out = np.zeros((len(words), len(self.langs)))
         for rows, points in by_length([MARK + w for w in words]):
-            # a very long word is the product of its parts: its lattice stays small
-            for a in range(0, points.shape[1], LONG_WORD):
-                out[rows] += forward(points[:, a : a + LONG_WORD], self.index, self.table)
+            out[rows] = forward(points, self.index, self.table)
         return out
 
     def texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -241,14 +251,21 @@ class LanguageModel:
         return names, shares
 
 
+def sampled(train: DataFrame, rows_per_lang: int) -> DataFrame:
+    """lang, text of about ``rows_per_lang`` rows of each language at most. Rows are drawn by id and text, so that those without
+    an id are drawn one by one; rows that repeat both count once."""
+    train = train.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
+    sizes = train.groupBy("lang").count()  # a row a language
+    hashed = F.xxhash64(F.col("doc_id").cast("string"), "text").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+    drawn = train.join(F.broadcast(sizes), "lang").filter(hashed * F.col("count") < rows_per_lang)
+    return drawn.select("doc_id", "lang", "text").distinct().select("lang", "text")
+
+
 def fit(train: DataFrame, pieces: list[str], rows_per_lang: int = ROWS_PER_LANG, rounds: int = ROUNDS) -> LanguageModel:
     """``train``: doc_id, text, lang. The sample holds about ``rows_per_lang`` rows a language."""
     spark = train.sparkSession
     ship_code(spark)
-    train = train.filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = train.groupBy("lang").count()  # a row a language
-    hashed = (F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << 30) - 1))) / F.lit(float(1 << 30))
-    sample = train.join(F.broadcast(sizes), "lang").filter(hashed * F.col("count") < rows_per_lang).select("lang", "text")
+    sample = sampled(train, rows_per_lang)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,8 +295,7 @@ def fit(train: DataFrame, pieces: list[str], rows_per_lang: int = ROWS_PER_LANG,
                     weight = own["n"].to_numpy(float)
                     column = np.append(table[:, k], 0.0)[:, None]
                     for rows, points in by_length([MARK + w for w in own["word"]]):
-                        for a in range(0, points.shape[1], 64):
-                            sums[:, k] += expected(points[:, a : a + 64], weight[rows], index, column)[: len(sums)]
+                        sums[:, k] += expected(points, weight[rows], index, column)[: len(sums)]
             at, k = np.nonzero(sums)
             yield pd.DataFrame({"k": k.astype("int32"), "piece": at.astype("int32"), "n": sums[at, k]})
 
