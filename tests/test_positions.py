@@ -147,3 +147,34 @@ def test_stale_flag(spark):
     assert p["stale"] is True
     p = one(spark, [{"received": "2026-07-09T09:00:00.000Z"}])
     assert p["stale"] is False
+
+
+def test_rows_are_worked_out_once_and_sort_keys_are_columns(spark):
+    """The tracker's own columns are taken once, however many steps read them, and no sort works out an expression a comparison."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = tracker_df(spark, [{"interview_datetime": "2026-07-09T10:00"}, {"company_key": "globex", "company": "Globex"}])
+    pos = build_positions(rows.mapInArrow(count, rows.schema), AS_OF)
+    assert [r["company"] for r in pos.collect()] == ["Acme", "Globex"]
+    assert seen.value == 2
+    plan = pos._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in next(line for line in plan.splitlines() if "Sort [" in line)
+
+
+def test_every_kind_of_white_space_is_trimmed(spark):
+    import re
+
+    from pyspark.sql import functions as F
+    from trackwise.functions import patterns as PT
+    from trackwise.functions import text as T
+
+    odd = [chr(c) for c in range(0x3100) if re.match(r"\s", chr(c))] + ["﻿", "​", "᠎"]
+    texts = [a + b + "x" + a + "y" + b + a for a in odd for b in ("", " ", "　")] + ["", "  \t", "א ב "]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    want = F.regexp_replace(F.coalesce("t", F.lit("")), "^" + PT.WS + "+|" + PT.WS + "+\\z", "")
+    assert df.filter(T.jtrim("t") != want).count() == 0

@@ -19,6 +19,8 @@ _META = set(".^$*+?()[]{}|\\")
 # one shared whitespace class: what a JavaScript trim()/\s removes, written so
 # that Java and RE2 read it identically
 WS = r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: the same class as plain characters
+WS_CHARS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # ASCII word boundary for Java (Java's \b also treats non-ASCII letters as word chars)
 _JAVA_WB = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"

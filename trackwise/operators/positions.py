@@ -64,6 +64,9 @@ EVENT_COLUMNS = [
     "interviewer", "message_id", "seq", "cnt", "first_seen", "cluster",
 ]
 
+#: The same of a row as it comes in.
+ROW_COLUMNS = [c for c in EVENT_COLUMNS if c not in ("cnt", "first_seen", "cluster")]
+
 
 def assign_clusters(
     events: DataFrame, min_contain: int = fixed.CONTAIN_MIN_LEN, min_len: int = 0, key_map: DataFrame | None = None
@@ -138,19 +141,20 @@ def rollup_segments(ev: DataFrame, as_of, tz: str = fixed.DISPLAY_TZ) -> DataFra
     """AG-04 + AG-05 + AG-06 over (cluster, seg). ``ev`` carries cluster, seg,
     cnt, first_seen and the tracker columns."""
     now_m = now_minutes(as_of, tz)
-    ev = ev.withColumn("wm", wall_minutes("interview_datetime")).withColumn("is_boundary", T.is_boundary())
+    ev = ev.withColumns(
+        {"wm": wall_minutes("interview_datetime"), "is_boundary": T.is_boundary(), "cat": T.norm("category"), "manual": T.is_manual()}
+    )
     rec = recency()
     ch = chrono()
     latest = F.struct(
-        "received", "company_key", "thread_id", "message_id", "summary", "status", "step", "category",
-        T.is_manual().alias("manual"),
+        "received", "company_key", "thread_id", "message_id", "summary", "status", "step", "category", "manual",
     )
-    cat = T.norm("category")
+    cat = F.col("cat")
     upcoming = F.col("wm") >= F.lit(now_m)
     agg = ev.groupBy("cluster", "seg").agg(
         F.count(F.lit(1)).alias("rounds"),
         F.max_by(latest, rec).alias("latest"),
-        F.max_by(F.struct("status", "step", T.is_manual().alias("manual")), F.when(F.col("is_boundary"), rec)).alias("term"),
+        F.max_by(F.struct("status", "step", "manual"), F.when(F.col("is_boundary"), rec)).alias("term"),
         F.max_by("step", F.when(cat == "offer", rec)).alias("offer_step"),
         F.max((cat == "offer").cast("int")).alias("has_offer"),
         F.max_by("step", F.when(cat == "invitation", rec)).alias("inv_step"),
@@ -294,12 +298,13 @@ def order_positions(pos: DataFrame, by: str = "interview") -> DataFrame:
     last update descending; ``recent``: last update descending; ``company``:
     company A–Z with Unicode collation. The lists are sorted stably after the
     default order, so ties fall back to it, then to emission order."""
-    wm = F.when(F.col("next_interview") != "", wall_minutes("next_interview"))
-    default = [wm.asc_nulls_last(), F.col("last_update").desc()]
+    # a column, as an expression would be worked out in each comparison of the sort
+    pos = pos.withColumn("_wm", F.when(F.col("next_interview") != "", wall_minutes("next_interview")))
+    default = [F.col("_wm").asc_nulls_last(), F.col("last_update").desc()]
     if "cluster_order" in pos.columns:
         default += [F.col("cluster_order"), F.col("seg")]
     if by == "recent":
-        return pos.orderBy(F.col("last_update").desc(), *default)
+        return pos.orderBy(F.col("last_update").desc(), *default).drop("_wm")
     if by == "company":
-        return pos.orderBy(F.expr("company COLLATE UNICODE"), *default)
-    return pos.orderBy(*default)
+        return pos.orderBy(F.expr("company COLLATE UNICODE"), *default).drop("_wm")
+    return pos.orderBy(*default).drop("_wm")

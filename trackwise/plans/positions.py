@@ -18,8 +18,11 @@ def build_positions(
     ordered: bool = True,
     key_map: DataFrame | None = None,
 ) -> DataFrame:
+    # keys, ranges and rows are each taken from the tracker: worked out once
+    tracker = stored(tracker.select(*P.ROW_COLUMNS), "tracker")
     ev = P.assign_clusters(tracker, min_contain, min_len, key_map)
     # the segmented events feed five aggregations: stored by column, each reads its own columns only
     ev = stored(P.segment_events(ev.select(*P.EVENT_COLUMNS)), "segments")
     pos = P.position_rollup(ev, as_of, tz).join(P.cluster_rank(ev), "cluster")
-    return P.order_positions(pos) if ordered else pos
+    # a sort by ranges reads its input twice
+    return P.order_positions(stored(pos, "positions")) if ordered else pos

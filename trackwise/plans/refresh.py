@@ -25,7 +25,7 @@ from trackwise.operators.components import components
 from trackwise.session import stored
 from trackwise.sources.bucket_store import BucketStore, Table
 
-ROW = [c for c in P.EVENT_COLUMNS if c not in ("cnt", "first_seen", "cluster")]
+ROW = P.ROW_COLUMNS
 _TEXT = [c for c in ROW if c != "seq"]
 TABLES = {
     "events": Table(", ".join(f"{c} string" for c in _TEXT) + ", seq long, gkey string", "gkey"),
