@@ -115,3 +115,12 @@ def test_election_on_random_graphs(spark):
         at += size
     df = spark.createDataFrame(edges, "early long, late long")
     assert {r["key"]: r["state"] for r in cluster.elect(df).collect()} == elect_plainly(edges)
+
+
+def test_exploded_keys_are_never_gathered_by_the_driver(spark):
+    """Variants, parts and grams are many times the key table whose size the planner sees."""
+    from trackwise.operators.cluster import new_edges, similarity_edges
+
+    keys = spark.range(300).selectExpr("md5(cast(id as string)) AS key")
+    for edges in (similarity_edges(keys), new_edges(keys, keys.filter("key < '4'"))):
+        assert "BroadcastHashJoin" not in edges._jdf.queryExecution().executedPlan().toString()

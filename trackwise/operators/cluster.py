@@ -19,7 +19,8 @@ Distributed form:
    * containment: the shorter key's rarest 7-gram must occur in the longer key —
      equi-join on that gram, then verify with ``instr``.
    Every join key is selective: a variant bucket holds at most one key per
-   character value, and choosing the rarest gram keeps gram buckets small.
+   character value, and choosing the rarest gram keeps gram buckets small. Variants, parts and grams are several a key,
+   which the size of the key table doesn't tell: their joins are merge joins, so the driver never gathers them.
 2. Leader election over the edge list only. A key without an earlier neighbour leads; one with a leader among its earlier
    neighbours follows; one whose earlier neighbours all follow leads. A key that hangs on a single undecided neighbour is
    its opposite, so whoever looks at it may look at that neighbour instead and count the turn: chains shrink to half in each
@@ -54,6 +55,11 @@ def _deletions(keys: DataFrame) -> DataFrame:
     )
 
 
+def _merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of exploded keys, never by broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _sized(keys: DataFrame) -> DataFrame:
     return keys.select("key").filter(F.col("key") != UNKNOWN).withColumn("len", F.length("key"))
 
@@ -77,20 +83,20 @@ def new_edges(old: DataFrame, fresh: DataFrame, min_contain: int = fixed.CONTAIN
     f, o = _sized(fresh), _sized(old)
     fe, oe = f.filter(F.col("len") >= min_len), o.filter(F.col("len") >= min_len)
     fd, od = _deletions(fe), _deletions(oe).select(F.col("key").alias("other"), "len", "pos", "variant")
-    swapped = fd.join(od, ["variant", "pos", "len"]).filter(F.col("key") != F.col("other")).select(*_pair("key", "other"))
-    longer = fd.join(oe.select(F.col("key").alias("variant")), "variant").select(*_pair("key", "variant"))
-    shorter = od.join(fe.select(F.col("key").alias("variant")), "variant").select(*_pair("other", "variant"))
+    swapped = _merged(fd, od, ["variant", "pos", "len"]).filter(F.col("key") != F.col("other")).select(*_pair("key", "other"))
+    longer = _merged(fd, oe.select(F.col("key").alias("variant")), "variant").select(*_pair("key", "variant"))
+    shorter = _merged(od, fe.select(F.col("key").alias("variant")), "variant").select(*_pair("other", "variant"))
 
     fl, ol = f.filter(F.col("len") >= min_contain), o.filter(F.col("len") >= min_contain)
     parts = _substrings(fl, F.explode(F.sequence(F.lit(min_contain), F.col("len"))))
-    inside = parts.join(ol.select(F.col("key").alias("part")), "part").select(*_pair("key", "part"))
+    inside = _merged(parts, ol.select(F.col("key").alias("part")), "part").select(*_pair("key", "part"))
     grams = _substrings(fl, F.lit(min_contain))
-    holders = _substrings(ol, F.lit(min_contain)).join(grams.select("part").distinct(), "part", "left_semi")
+    holders = _merged(_substrings(ol, F.lit(min_contain)), grams.select("part").distinct(), "part", "left_semi")
     holders = holders.withColumnRenamed("key", "other")
-    rare = grams.join(holders.groupBy("part").agg(F.count("*").alias("n")), "part", "left").groupBy("key").agg(
+    rare = _merged(grams, holders.groupBy("part").agg(F.count("*").alias("n")), "part", "left").groupBy("key").agg(
         F.min_by("part", F.struct(F.coalesce("n", F.lit(0)), "part")).alias("part")
     )
-    around = rare.join(holders, "part").filter((F.length("other") > F.length("key")) & (F.instr(F.col("other"), F.col("key")) > 0))
+    around = _merged(rare, holders, "part").filter((F.length("other") > F.length("key")) & (F.instr(F.col("other"), F.col("key")) > 0))
     found = similarity_edges(fresh, min_contain, min_len)
     for e in (swapped, longer, shorter, inside, around.select(*_pair("key", "other"))):
         found = found.unionByName(e)
@@ -105,11 +111,11 @@ def similarity_edges(keys: DataFrame, min_contain: int = fixed.CONTAIN_MIN_LEN,
     dels = _deletions(edit_keys)
     d1 = dels.select(F.col("key").alias("a"), "len", "pos", "variant")
     d2 = dels.select(F.col("key").alias("b"), "len", "pos", "variant")
-    substitution = d1.join(d2, ["variant", "pos", "len"]).filter(F.col("a") < F.col("b")).select("a", "b")
+    substitution = _merged(d1, d2, ["variant", "pos", "len"]).filter(F.col("a") < F.col("b")).select("a", "b")
 
     shorter = edit_keys.select(F.col("key").alias("short"), F.col("len").alias("slen"))
     insertion = (
-        dels.join(shorter, dels["variant"] == shorter["short"])
+        _merged(dels, shorter, dels["variant"] == shorter["short"])
         .select(F.least("key", "short").alias("a"), F.greatest("key", "short").alias("b"))
     )
 
@@ -121,14 +127,14 @@ def similarity_edges(keys: DataFrame, min_contain: int = fixed.CONTAIN_MIN_LEN,
     ).select("key", "len", "pos", F.expr(f"substring(key, pos + 1, {min_contain})").alias("gram"))
     gram_df = grams.select("key", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
     rarest = (
-        grams.join(gram_df, "gram")
+        _merged(grams, gram_df, "gram")
         .groupBy("key", "len")
         .agg(F.min_by("gram", F.struct("df", "pos")).alias("gram"))
         .select(F.col("key").alias("s"), F.col("len").alias("slen"), "gram")
     )
     holders = grams.select(F.col("key").alias("t"), F.col("len").alias("tlen"), "gram").distinct()
     containment = (
-        rarest.join(holders, "gram")
+        _merged(rarest, holders, "gram")
         .filter((F.col("tlen") > F.col("slen")) & (F.instr(F.col("t"), F.col("s")) > 0))
         .select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
     )
