@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 
 from trackwise.llm import ppm
+from trackwise.llm.textbatch import packed, unpacked
 
 
 def folded(text):
@@ -171,3 +172,30 @@ def test_contexts_against_the_textbook_recursion(spark):
 
     for i, t in data[:40]:
         assert math.isclose(got[i], sum(math.log10(p(six, s)) for six, s in grams(t)), rel_tol=1e-4)
+
+
+def test_units_hold_grams_in_few_rows(spark, monkeypatch):
+    """A row for each unit, kind and bucket, not for each gram; how documents are dealt to units changes no score."""
+    data = [(i, t) for i, t in rows() if i is not None]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").coalesce(1)
+    parts = ppm.gather(df).toPandas()
+    asked = parts[parts.doc_id.isna()]
+    grams = {(bytes(6) + folded(t) + bytes(1))[k : k + 7] for _, t in data for k in range(len(folded(t)) + 1)}
+    assert len(parts) - len(asked) == len(data) and sorted(set(asked.kind)) == [0, 1, 2]
+    assert len(asked) <= 3 * 64 < len(grams) and asked.groupby("kind")["size"].sum()[2] == len(grams)
+    want = {(r.doc_id, r.n_tokens): r for r in ppm.lm_scores(df).collect()}
+    for name, value in (("COUNT_BYTES", 700), ("UNIT_BYTES", 1500)):
+        monkeypatch.setattr(ppm, name, value)
+    got = {(r.doc_id, r.n_tokens): r for r in ppm.lm_scores(df).collect()}
+    assert ppm.gather(df).select("unit").distinct().count() > 3 and got.keys() == want.keys()
+    for k, r in want.items():
+        assert got[k].n_known == r.n_known and math.isclose(got[k].base_score, r.base_score, rel_tol=1e-9) and math.isclose(got[k].score, r.score, rel_tol=1e-6)
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(3)
+    values = np.sort(rng.integers(0, 2**63, 500, dtype=np.uint64))
+    assert (unpacked(packed(values, rising=True), 500, rising=True) == values).all()
+    some = rng.random(7).astype(np.float32)
+    assert (unpacked(packed(some), 7, np.float32) == some).all()
+    assert len(unpacked(packed(values[:0], rising=True), 0, rising=True)) == 0

@@ -40,11 +40,11 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither
     recompute it nor depend on the executors that made it."""
     path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

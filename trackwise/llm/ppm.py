@@ -10,16 +10,15 @@ Contexts are nested, each a part of the next shorter: the last six, five, four a
 one with the classes of the bytes up to the third; then the upper trie, three classes to none. There are 32
 classes (each letter, white space, digits, marks, UTF-8 leads, UTF-8 tails, the end). The upper
 trie has at most 32**3 × 256 counts, a bound that holds for any corpus; it is one table of log
-probabilities. All contexts below it count: the tasks get those with the
-largest counts, each whole, as long as they have at most ``SHARED_GRAMS`` followers; bytes whose longest
-contexts a task lacks are joined with the others (each row's different grams, with their times).
+probabilities. All contexts below it count.
 
-Counts of the trie and of words are gathered from all training documents: tasks add up their
-own, Spark sums them by key. Words are keyed by 64-bit hashes.
-
-The base score needs every word's training count. The words with the largest counts (at most
-``SHARED_WORDS``, by a cut on the count) are shipped to the tasks, which takes the hot keys out of
-the join. All other words of a document are joined with their counts by hash and summed by document.
+Documents are dealt to units (runs of rows with at most ``UNIT_BYTES`` of text, or one row if that is longer). A unit asks for
+each different gram (six bytes and the next) and each different word once, with the times it has them in training documents.
+The counts and questions of all units meet by the three bytes before the symbol (words: by hash), are added up there, and
+the answers go back to the units, which score their texts with them. Up to three bytes the contexts of a gram share its three
+classes, so these levels are worked out first, from grams of three bytes and the next, dealt by classes (at most 64**3 × 256
+grams have the same three, a bound that holds for any corpus).
+Words are keyed by 64-bit hashes.
 
 Defined cases: null text counts as empty and has the end only; without training documents every
 token is unknown (N = V = 0) and the trie knows no byte; repeated rows and ids give a row each; an empty
@@ -33,20 +32,25 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackwise.llm.common import discard, fold, released, ship_code, shuffles_freed, stored
-from trackwise.llm.textbatch import LOWER, LongTable, Words, blocks, row_reduce
+from trackwise.llm.common import discard, fold, release, released, ship_code, shuffles_freed, stored
+from trackwise.llm.textbatch import LOWER, LongTable, Words, blocks, mix, packed, row_reduce, unpacked
 
-SHARED_WORDS = 1 << 18
-SHARED_GRAMS = 1 << 21
-ORDER, DEEP, CLASSES, LEVELS = 3, 6, 32, 6
+SHARED_WORDS = 1 << 21  # a unit ends when it holds so many different words
+SHARED_GRAMS = 1 << 22  # or grams
+UNIT_BYTES = 1 << 25
+ORDER, DEEP, CLASSES = 3, 6, 32
 CELLS = CLASSES**ORDER * 256
-HELD_ENTRIES = 1_000_000
 BLOCK_BYTES = 1 << 20
-HELD_GRAMS = 1 << 18
-FIELDS = "context bigint, total bigint, kinds bigint, around bigint, escape float, grams array<struct<symbol: int, direct: float>>"
+COUNT_BYTES = 1 << 21
+HELD_ENTRIES = 1 << 21
+LEAST_BUCKETS = 64
+WORDS, SHORT, GRAMS, TEXT = range(4)  # kinds of rows
+PARTS = "kind int, unit bigint, bucket int, size int, keys binary, vals binary"
 
 _CLASS = np.zeros(256, np.uint64)
 _CLASS[1:128] = 30  # marks and control characters
@@ -58,21 +62,19 @@ _CLASS[128:192] = 29
 _CLASS[192:256] = 31
 
 
-_SAME = np.arange(256, dtype=np.uint64)
-
 
-def grams(raw: np.ndarray, offs: np.ndarray, code: np.ndarray = _CLASS, bits: int = 5, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte and end of each text: the codes (classes) of the ``order`` bytes before it, ``bits`` each, and itself
+def grams(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte and end of each text: the classes of the ``ORDER`` bytes before it, five bits each, and itself
     in the low eight bits. Also the row edges. ``raw`` is folded."""
     rows = len(offs) - 1
     size = np.diff(offs)
     begin = offs[:-1] + DEEP * np.arange(1, rows + 1)
     full = np.zeros(len(raw) + DEEP * (rows + 1), np.uint8)  # ends stand between the texts and before the first
     full[np.arange(len(raw)) + DEEP * (np.repeat(np.arange(rows), size) + 1)] = raw
-    code, n = code[full], len(full) - DEEP
+    code, n = _CLASS[full], len(full) - DEEP
     gram = np.zeros(n, np.uint64)
-    for j in range(DEEP - order, DEEP):
-        gram = (gram << np.uint64(bits)) | code[j : j + n]
+    for j in range(DEEP - ORDER, DEEP):
+        gram = (gram << np.uint64(5)) | code[j : j + n]
     gram = (gram << np.uint64(8)) | full[DEEP:]
     wanted = np.ones(n, bool)  # of the ends after a text only the first is a symbol
     for extra in range(1, DEEP):
@@ -83,7 +85,16 @@ def grams(raw: np.ndarray, offs: np.ndarray, code: np.ndarray = _CLASS, bits: in
 
 def deep_grams(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """The ``DEEP`` bytes before each byte and end, and itself: 56 bits."""
-    return grams(raw, offs, _SAME, 8, DEEP)[0]
+    size = np.diff(offs)
+    full = np.zeros(len(raw) + DEEP * (len(size) + 1) + 2, np.uint8)  # ends stand between the texts and before the first
+    wanted = np.zeros(len(full) - 7, bool)
+    at = 1 + DEEP
+    for k, n in enumerate(size.tolist()):
+        full[at : at + n] = raw[offs[k] : offs[k] + n]
+        wanted[at - 7 : at - 6 + n] = True
+        at += n + DEEP
+    eight = np.ndarray(len(wanted), ">u8", full, strides=(1,))  # the eight bytes up to each
+    return eight[wanted].astype(np.uint64) & np.uint64((1 << 56) - 1)
 
 
 def cells(gram: np.ndarray) -> np.ndarray:
@@ -124,143 +135,149 @@ def log_table(counts: np.ndarray) -> np.ndarray:
     return out.ravel()
 
 
-def gather(train: DataFrame) -> DataFrame:
-    """kind, key, n: words (0, by hash), cells of the upper trie (1), rows (2), grams of the lower trie (3)."""
-    ship_code(train.sparkSession)
+def level_key(level: int, gram: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """The keys of one level's grams: the context (from bit 8) and the symbol in the low eight bits; level 0 is the cell."""
+    if level >= ORDER:
+        return gram & np.uint64((1 << 8 * level + 8) - 1)
+    return ((gram >> np.uint64(8)) & np.uint64((1 << 8 * level) - 1)) << np.uint64(23) | cell.astype(np.uint64)
 
-    def emit(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if kind == 3:  # the cell follows from the gram
-            yield from emit(1, *added(cell_of(keys).astype(np.int64), n))
-        for a in range(0, len(keys), 100_000):
-            k = keys[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[a : a + 100_000])], ["kind", "key", "n"])
 
-    def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys)
-        keys = keys[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-        return keys[first], np.add.reduceat(n[order], first) if len(first) else n
+def turned(gram: np.ndarray) -> np.ndarray:
+    """Grams with the three bytes next to the symbol first, so that sorted ones lie close; turned twice they are as before."""
+    return (gram >> np.uint64(8) & np.uint64(0xFFFFFF)) << np.uint64(32) | (gram >> np.uint64(32)) << np.uint64(8) | gram & np.uint64(255)
 
-    def merged(held: list) -> tuple[np.ndarray, np.ndarray]:
-        return added(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows_seen = 0
-        held: dict[int, list] = {0: [], 3: []}
-        total = {0: 0, 3: 0}
-        for batch in batches:
-            for rows, raw, offs in blocks(batch, 0, BLOCK_BYTES):
-                raw = LOWER[raw]
-                rows_seen += rows.num_rows
-                for kind, keys in ((0, Words(raw, offs).hashes()), (3, deep_grams(raw, offs))):
-                    keys, n = np.unique(keys.view(np.int64), return_counts=True)
-                    held[kind].append((keys, n))
-                    total[kind] += len(keys)
-                    if total[kind] > HELD_ENTRIES:
-                        held[kind] = [merged(held[kind])]
-                        total[kind] = len(held[kind][0][0])
-                        if total[kind] > HELD_ENTRIES // 2:
-                            yield from emit(kind, *held[kind].pop())
-                            total[kind] = 0
-        for kind in held:
-            if held[kind]:
-                yield from emit(kind, *merged(held[kind]))
-        if rows_seen:
-            yield from emit(2, np.zeros(1, np.int64), np.array([rows_seen], np.int64))
-
-    parts = train.select("text").mapInArrow(released(run), "kind int, key bigint, n bigint")
-    return stored(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")
-
-
-def cut_at(counts: DataFrame, limit: int, by: str = "n", size: Column | None = None) -> tuple[Column, bool]:
-    """Which rows have the largest counts, with sizes that add up to at most ``limit``: the cut is the least power of
-    2**(1/4) that keeps to it. Also whether any row is left out."""
-    step = F.floor(F.log2(by) * 4).cast("int")
-    cut, above = 1 << 20, 0
-    steps = counts.groupBy(step.alias("step")).agg(F.sum(F.lit(1) if size is None else size).alias("size")).collect()  # at most 256 rows
-    for r in sorted(steps, key=lambda r: -r["step"]):
-        above += r["size"]
-        if above > limit:
-            return step >= cut, True
-        cut = r["step"]
-    return step >= cut, False
-
-
-def levels(key: Column) -> list[Column]:
-    """The keys under which a gathered gram counts below the upper trie, longest context first, and its cell. The number
-    of the level stands from bit 59, the symbol in the low eight bits."""
-    classes = F.lit([int(c) for c in _CLASS])
-    byte = [F.shiftright(key, 8 * j).bitwiseAND(F.lit(255)) for j in range(ORDER + 1)]
-    cell = byte[0].cast("bigint")
-    for j in range(1, ORDER + 1):
-        cell = cell.bitwiseOR(F.shiftleft(F.get(classes, byte[j].cast("int")).cast("bigint"), 5 * j + 3))
-    out = []
-    for level in range(LEVELS, 0, -1):
-        if level >= ORDER:  # the class of each byte that a shorter context needs is in the key
-            part = key.bitwiseAND(F.lit((1 << 8 * level + 8) - 1))
-        else:
-            part = F.shiftleft(F.shiftright(key, 8).bitwiseAND(F.lit((1 << 8 * level) - 1)), 23).bitwiseOR(cell)
-        out.append(part.bitwiseOR(F.lit(level << 59)))
-    return [*out, cell]
+def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, sorted, and the sum of each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
-def level_key(level: int, gram: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    """The same of one level, for an array and its cells."""
-    if level >= ORDER:
-        part = gram & np.uint64((1 << 8 * level + 8) - 1)
-    else:
-        part = ((gram >> np.uint64(8)) & np.uint64((1 << 8 * level) - 1)) << np.uint64(23) | cell.astype(np.uint64)
-    return part | np.uint64(level << 59)
-
-
-def nested(key: np.ndarray, n: np.ndarray) -> list[pa.RecordBatch]:
-    """The rows of ``contexts`` for the levels beyond ``ORDER``, from all gathered grams of some contexts of ``ORDER`` bytes."""
-    out, cell = [], np.zeros(len(key), np.uint64)  # these levels do without the cell
-    for level in range(ORDER, LEVELS + 1):
-        grams_, of = np.unique(level_key(level, key, cell), return_inverse=True)
-        times = np.bincount(of, n, len(grams_))
-        context, first, of, kinds = np.unique(grams_ >> np.uint64(8), return_index=True, return_inverse=True, return_counts=True)
-        total = np.bincount(of, times, len(context))
-        p = times / (total + kinds)[of]
-        if level > ORDER:
-            lower = np.searchsorted(below[0], level_key(level - 1, grams_ & np.uint64((1 << 56) - 1), cell[: len(grams_)]))
-            mass = np.bincount(of, below[1][lower], len(context))
-            escape = np.log10(kinds / (total + kinds)) - np.log10(np.maximum(1 - mass, 1e-9))
-            pairs = pa.StructArray.from_arrays([pa.array((grams_ & np.uint64(255)).astype(np.int32)), pa.array(np.log10(p).astype(np.float32))], ["symbol", "direct"])
-            out.append(pa.RecordBatch.from_arrays(
-                [
-                    pa.array(context.view(np.int64)), pa.array(total.astype(np.int64)), pa.array(kinds), pa.array(below[2][lower[first]].astype(np.int64)),
-                    pa.array(escape.astype(np.float32)), pa.ListArray.from_arrays(pa.array(np.append(first, len(grams_)).astype(np.int32)), pairs),
-                ],
-                ["context", "total", "kinds", "around", "escape", "grams"],
-            ))
-        below = grams_, p, total[of]
-    return out
+def tallied(keys: np.ndarray, held: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Different keys with their times in training documents: those of training documents, then those of the others."""
+    for own, counts in ((keys[~held], True), (keys[held], False)):
+        own.sort()
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+        yield own[first], np.diff(np.append(first, len(own))) if counts else np.zeros(len(first), np.int64)
 
 
-def long_contexts(deep: DataFrame) -> DataFrame:
-    """``contexts`` beyond ``ORDER`` bytes: all that share their last ``ORDER`` bytes meet in one task, one such group at a time
-    or several small ones."""
+def bucket_count(spark) -> int:
+    return max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def by_three(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each gram: all that share the three bytes before the symbol have the same."""
+    return (mix(gram >> np.uint64(8) & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+
+
+def dealt(keys: np.ndarray, n: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """bucket, size, keys and counts of each bucket, from sorted keys."""
+    order = np.argsort(bucket, kind="stable")
+    keys, n, bucket = keys[order], n[order], bucket[order]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+        yield int(bucket[a]), b - a, packed(keys[a:b], rising=True), packed(n[a:b].astype(np.uint64))
+
+
+def part_rows(rows: list[tuple]) -> pa.Table:
+    names = ["kind", "unit", "bucket", "size", "keys", "vals"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def gather(docs: DataFrame) -> DataFrame:
+    """The units: rows of doc_id, held_out and text, and what each unit has of every bucket, different keys with their times in
+    training documents: words (by hash), grams of three bytes and the next, grams. Without ``held_out`` all is for training."""
+    spark = docs.sparkSession
+    ship_code(spark)
+    buckets, words_most, grams_most, unit_bytes, block_bytes = bucket_count(spark), SHARED_WORDS, SHARED_GRAMS, UNIT_BYTES, COUNT_BYTES
+    if "held_out" not in docs.columns:
+        docs = docs.withColumn("held_out", F.lit(False))
+    docs = docs.select("doc_id", "held_out", "text")
+    doc_kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        unit, seen = TaskContext.get().partitionId() << 32, 0
+        held, fresh = {WORDS: [], GRAMS: []}, {WORDS: 0, GRAMS: 0}
+        kinds = None
+
+        def merged(kind: int) -> tuple[np.ndarray, np.ndarray]:
+            keys, n = zip(*held.pop(kind), strict=True)
+            held[kind], fresh[kind] = [added(np.concatenate(keys), np.concatenate(n))], 0
+            return held[kind][0]
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            keys, n = merged(WORDS)
+            rows = [(WORDS, unit, *x) for x in dealt(keys, n, (keys % np.uint64(buckets)).astype(np.int64))]
+            keys, n = merged(GRAMS)
+            short, m = added(keys & np.uint64(0xFFFFFFFF), n)
+            rows += [(SHORT, unit, *x) for x in dealt(short, m, (mix((cell_of(short) >> 8).astype(np.uint64)) % np.uint64(LEAST_BUCKETS)).astype(np.int64))]
+            keys, n = added(turned(keys), n)
+            rows += [(GRAMS, unit, *x) for x in dealt(keys, n, by_three(turned(keys), buckets))]
+            table = part_rows(rows)
+            for name in ("doc_id", "held_out", "text"):
+                table = table.append_column(name, pa.nulls(table.num_rows, kinds.field(name).type))
+            yield from table.combine_chunks().to_batches()
+
         for batch in batches:
-            held.append([batch.column(k).to_numpy() for k in (0, 1)])
-            size += batch.num_rows
-            if size >= HELD_GRAMS:
-                key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-                group = key >> 8 & 0xFFFFFF
-                whole = int(np.searchsorted(group, group[-1]))  # the last group may go on
-                if whole:
-                    yield from nested(key[:whole].view(np.uint64), n[:whole])
-                held, size = [[key[whole:], n[whole:]]], len(key) - whole
-        if size:
-            key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield from nested(key.view(np.uint64), n)
-
-    group = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF))
-    dealt = deep.select("key", "n").repartition(group).sortWithinPartitions(group)
-    return dealt.mapInArrow(released(run), FIELDS)
+            kinds = batch.schema
+            for rows, raw, offs in blocks(batch, 2, block_bytes):
+                raw = LOWER[raw]
+                out = rows.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                words = Words(raw, offs)
+                for kind, keys, which in ((WORDS, words.hashes(), out[words.row]), (GRAMS, deep_grams(raw, offs), np.repeat(out, np.diff(offs) + 1))):
+                    for some in tallied(keys, which):
+                        held[kind].append(some)
+                        fresh[kind] += len(some[0])
+                    if fresh[kind] > HELD_ENTRIES:
+                        merged(kind)
+                seen += len(raw)
+                n = rows.num_rows
+                none = [pa.nulls(n, k) for k in (pa.int32(), pa.int32(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, TEXT, np.int32)), pa.array(np.full(n, unit)), *none, *rows.columns],
+                    ["kind", "unit", "bucket", "size", "keys", "vals", "doc_id", "held_out", "text"],
+                )
+                if seen > unit_bytes or any(sum(len(keys) for keys, _ in held[kind]) > most for kind, most in ((WORDS, words_most), (GRAMS, grams_most))):
+                    yield from asked()
+                    unit, seen = unit + 1, 0
+                    held, fresh = {WORDS: [], GRAMS: []}, {WORDS: 0, GRAMS: 0}
+        if held[GRAMS]:
+            yield from asked()
+
+    parts = docs.mapInArrow(released(run), f"{PARTS}, doc_id {doc_kind}, held_out boolean, text string")
+    return stored(parts, "ppm-parts", compression="zstd")
+
+
+def nested(gram: np.ndarray, n: np.ndarray, levels: range, answer: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each level its grams, their log10 p, their contexts and the escapes of these, and last the answers: log10 of what
+    each gram gets. ``gram``: all different ones of some contexts, with their times; ``answer``: what each gets at the first level."""
+    cell, below = cell_of(gram), None
+    for level in levels:
+        keys, rep, of = np.unique(level_key(level, gram, cell), return_index=True, return_inverse=True)
+        times = np.bincount(of, n, len(keys))
+        new = np.append(True, keys[1:] >> np.uint64(8) != keys[:-1] >> np.uint64(8))[: len(keys)]
+        first, at = np.flatnonzero(new), np.cumsum(new) - 1
+        met = times > 0
+        total, kinds = (np.add.reduceat(x, first) if len(first) else np.zeros(0) for x in (times, met.astype(np.float64)))
+        every = np.maximum(total + kinds, 1)
+        p = times / every[at]
+        direct = np.log10(np.where(met, p, 1))
+        escape = np.zeros(len(first))
+        if below is None:
+            own = answer[rep]
+        else:
+            of_below, p_below, own_below = below
+            lower = of_below[rep]
+            mass = np.add.reduceat(np.where(met, p_below[lower], 0), first) if len(first) else np.zeros(0)
+            # the shorter context answers without the symbols that this one has
+            escape = np.where(total > 0, np.log10(np.where(total > 0, kinds, every) / every) - np.log10(np.maximum(1 - mass, 1e-9)), 0.0)
+            own = np.where(met, direct, own_below[lower] + escape[at])
+        below = of, p, own
+        yield keys[met], direct[met], (keys[first] >> np.uint64(8))[total > 0], escape[total > 0], own[of]
 
 
 def narrow(n: np.ndarray) -> np.ndarray:
@@ -268,70 +285,28 @@ def narrow(n: np.ndarray) -> np.ndarray:
     return n.astype(np.min_scalar_type(int(n.max(initial=0))))
 
 
-def contexts(counts: DataFrame) -> DataFrame:
-    """A row for each context below the upper trie: context, total, kinds, escape, grams (symbol, direct; at most 256).
+class Model:
+    """The upper trie and the grams of three bytes and the next (``short``: bucket, key, n), from the units.
 
-    ``around`` is the count of the next shorter context. Where it is the same, so are all answers."""
-    gathered = counts.filter("kind = 3")
-    three = F.col("key").bitwiseAND(F.lit((1 << 8 * ORDER + 8) - 1)).alias("key")  # grams of ORDER bytes are few
-    three = stored(gathered.select(three, "n").groupBy("key").agg(F.sum("n").alias("n")), "ppm-upper")
-    chain = levels(F.col("key"))[LEVELS - ORDER :]
-    pairs = [F.struct(a.alias("key"), b.alias("lower")) for a, b in zip(chain, chain[1:], strict=False)]
-    deep = three.select(F.explode(F.array(*pairs)).alias("g"), "n").groupBy("g.key", "g.lower").agg(F.sum("n").alias("n"))
-    both = deep.unionByName(counts.filter("kind = 1").select("key", F.lit(None).cast("bigint").alias("lower"), "n"))
-    own = both.groupBy(F.shiftright("key", 8).alias("context")).agg(
-        F.sum("n").alias("total"), F.count("*").alias("kinds"), F.collect_list(F.struct("key", "lower", "n")).alias("grams")
-    )
-    short = stored(own, "ppm-contexts")
-    each = short.select("context", "total", "kinds", F.inline("grams"))
-    each = each.withColumn("p", F.col("n") / (F.col("total") + F.col("kinds")))
-    below = each.select(F.col("key").alias("lower"), F.col("p").alias("q"), F.col("total").alias("around"))  # what followed a context followed the shorter one too
-    out = each.filter("lower IS NOT NULL").join(below, "lower").groupBy("context").agg(
-        F.first("total").alias("total"), F.first("kinds").alias("kinds"), F.sum("q").alias("mass"), F.first("around").alias("around"),
-        F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), F.log10("p").cast("float").alias("direct"))).alias("grams"),
-    )
-    # the shorter context answers without the symbols that this one has
-    escape = F.log10(F.col("kinds") / (F.col("total") + F.col("kinds"))) - F.log10(F.greatest(1 - F.col("mass"), F.lit(1e-9)))
-    out = out.select("context", "total", "kinds", "around", escape.cast("float").alias("escape"), "grams")
-    out = stored(out.unionByName(long_contexts(gathered)), "ppm-escapes")
-    discard(three)
-    discard(short)
-    return out
+    Shipped as the counts of the upper trie; the tasks work out its table."""
 
+    def __init__(self, parts: DataFrame):
+        def total(table: pa.Table) -> pa.Table:
+            keys, n = added(*_columns(table))
+            return pa.table({"bucket": np.full(len(keys), table["bucket"][0].as_py(), np.int32), "key": keys.view(np.int64), "n": n.view(np.int64)})
 
-class Model:
-    """What the tasks get: the table of the trie, the common words, and the totals.
-
-    Shipped without what a task can work out: the upper trie as its counts, a level as its contexts and, for each, how many
-    symbols follow, which, and their logarithms."""
-
-    def __init__(self, counts: DataFrame, deep: DataFrame | None = None):
-        words = counts.filter("kind = 0")
-        row = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-        ends = counts.filter("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        self.ends, self.tokens = int(ends), int(row.n) + int(ends)
-        self.divisor = self.tokens + 0.5 * (row.v + (1 if ends else 0) + 1)
-        common = words.filter(cut_at(words, SHARED_WORDS)[0]).select("key", "n").toArrow()
-        self.words = common["key"].to_numpy().view(np.uint64)
-        self.counts = narrow(common["n"].to_numpy())
-        upper = counts.filter("kind = 1").select("key", "n").toArrow()  # at most CELLS rows
-        self.upper = upper["key"].to_numpy().astype(np.int32), narrow(upper["n"].to_numpy())
-        self._lower(contexts(counts) if deep is None else deep)
-
-    def _lower(self, deep: DataFrame) -> None:
-        kept = deep.filter(cut_at(deep, SHARED_GRAMS, "total", F.col("kinds"))[0])
-        rows = kept.select("context", F.inline("grams")).select(F.shiftleft("context", 8).bitwiseOR(F.col("symbol").cast("bigint")).alias("key"), "direct")
-        rows = rows.toArrow()  # at most SHARED_GRAMS rows, and no more contexts
-        per = kept.select("context", "escape").toArrow()
-        key, context = rows["key"].to_numpy().view(np.uint64), per["context"].to_numpy().view(np.uint64)
-        by_key, by_context = np.argsort(key), np.argsort(context)
-        key, direct = key[by_key], rows["direct"].to_numpy()[by_key]
-        context, escape = context[by_context], per["escape"].to_numpy()[by_context]
-        self.levels = []  # from the shortest
-        for level in range(1, LEVELS + 1):
-            at, of = key >> np.uint64(59) == level, context >> np.uint64(51) == level
-            self.levels.append((key[at], direct[at], context[of], escape[of]))
-        self.grams, self.direct, self.contexts, self.escape = self.levels[0]  # next to the upper trie
+        with shuffles_freed(parts.sparkSession):
+            short = parts.filter(F.col("kind") == SHORT).select("bucket", "size", "keys", "vals")
+            self.short = stored(short.groupBy("bucket").applyInArrow(total, "bucket int, key bigint, n bigint"), "ppm-short")
+
+        def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys, n = added(cell_of(batch.column(0).to_numpy().view(np.uint64)).astype(np.int64), batch.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["cell", "n"])
+
+        upper = self.short.filter("n > 0").select("key", "n").mapInArrow(to_cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+        upper = upper.toArrow()  # at most CELLS rows
+        self.upper = upper["cell"].to_numpy().astype(np.int32), narrow(upper["n"].to_numpy())
 
     @cached_property
     def table(self) -> np.ndarray:
@@ -340,165 +315,155 @@ class Model:
         return log_table(trie)
 
     @cached_property
-    def tables(self) -> list[tuple[LongTable, LongTable]]:
-        """Where each level has its grams and its contexts, from the shortest."""
-        return [(LongTable(grams_), LongTable(contexts_)) for grams_, _, contexts_, _ in self.levels]
+    def _next(self) -> tuple[np.ndarray, ...]:
+        """The level next to the upper trie; its grams are bounded by a byte, two classes and the symbol."""
+        def to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key = batch.column(0).to_numpy().view(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(level_key(1, key, cell_of(key)).view(np.int64)), *batch.columns], ["first", "key", "n"])
+
+        rows = self.short.select("key", "n").mapInArrow(to_first, "first bigint, key bigint, n bigint")
+        rows = rows.groupBy("first").agg(F.min("key").alias("key"), F.sum("n").alias("n")).toArrow()
+        gram = rows["key"].to_numpy().view(np.uint64)
+        return list(nested(gram, rows["n"].to_numpy(), range(2), self.table[cell_of(gram)].astype(np.float64)))[-1]
+
+    grams = property(lambda self: self._next[0])
+    direct = property(lambda self: self._next[1])
+    contexts = property(lambda self: self._next[2])
+    escape = property(lambda self: self._next[3])
 
     def __getstate__(self) -> dict:
-        own = {k: getattr(self, k) for k in ("ends", "tokens", "divisor", "words", "counts", "upper")}
-        own["levels"] = []
-        for grams_, direct, contexts_, escape in self.levels:  # both sorted: the grams of a context stand together
-            kinds = np.diff(np.append(np.searchsorted(grams_ >> np.uint64(8), contexts_), len(grams_)))
-            own["levels"].append((contexts_, (kinds - 1).astype(np.uint8), grams_.astype(np.uint8), direct, escape))
-        return own
-
-    def __setstate__(self, own: dict) -> None:
-        levels = [
-            (np.repeat(contexts_, kinds.astype(np.int64) + 1) << np.uint64(8) | symbols, direct, contexts_, escape)
-            for contexts_, kinds, symbols, direct, escape in own["levels"]
-        ]
-        self.__dict__.update(own, levels=levels)
-
-    def base(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 0.5) / self.divisor)
-
-
-def tally(row: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first place of each different key of a row, by rows; how often it stands there; the edges of the ``n`` rows."""
-    order = np.lexsort((key, row))
-    row, key = row[order], key[order]
-    new = np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])) if len(row) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    return order[first], np.diff(np.append(first, len(row))), np.searchsorted(row[first], np.arange(n + 1)).astype(np.int32)
-
-
-def trie_scores(model: Model, gram: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probabilities by the shared contexts, and the number of the longest level whose context is shared.
-
-    A shorter context has at least the count of a longer one, so all those of a shared one are shared."""
-    bits, paid = model.table[cell].astype(np.float64), np.zeros(len(gram))
-    known, todo = np.full(len(gram), LEVELS, np.int8), np.arange(len(gram))
-    for level in range(LEVELS, 0, -1):
-        key = level_key(level, gram[todo], cell[todo])
-        grams_at, contexts_at = model.tables[level - 1]
-        _, direct, _, escape = model.levels[level - 1]
-        at = grams_at.get(key)
-        hit = at >= 0
-        if hit.any():
-            bits[todo[hit]] = paid[todo[hit]] + direct[at[hit]]
-        todo, key = todo[~hit], key[~hit]
-        at = contexts_at.get(key >> np.uint64(8))
-        there = at >= 0
-        if there.any():
-            paid[todo[there]] += escape[at[there]]
-        known[todo[~there]] = level - 1
-    bits[todo] += paid[todo]
-    return bits, known
-
-
-def unshared(rows: DataFrame, rest: DataFrame) -> DataFrame:
-    """rid, gain: what the contexts that the tasks do not have (``rest``) add to the rows' scores.
-
-    ``asked`` holds a gram and, from bit 56, the longest level that the task had; ``own`` the task's answer."""
-    with shuffles_freed(rows.sparkSession):
-        once = rows.select(F.inline(F.arrays_zip("asked", "own"))).groupBy("asked").agg(F.min("own").alias("own"))
-        once = stored(once, "ppm-asked")
-    chain = levels(F.col("asked").bitwiseAND(F.lit((1 << 56) - 1)))[:-1]
-    steps = F.array(*[F.struct(F.lit(len(chain) - j).alias("level"), k.alias("key")) for j, k in enumerate(chain)])
-    wanted = F.slice(steps, F.lit(1), F.lit(LEVELS) - F.shiftright("asked", 56).cast("int"))
-    each = once.select("asked", "own", F.inline(wanted)).withColumn("context", F.shiftright("key", 8))
-    place = F.array_position("symbol", F.col("key").bitwiseAND(F.lit(255)).cast("int")).cast("int")
-    met = each.join(rest, "context").withColumn("direct", F.when(place > 0, F.get("direct", place - 1)))
-    own = [F.max(F.when(F.col("level") == j, F.col(c))).alias(f"{c}{j}") for c in ("escape", "direct") for j in range(1, LEVELS + 1)]
-    answers = met.groupBy("asked").agg(F.min("own").cast("double").alias("own"), *own)
-    answer = F.col("own")
-    for j in range(1, LEVELS + 1):  # each longer context gives its own probability or escapes to the shorter ones
-        answer = F.coalesce(F.col(f"direct{j}").cast("double"), answer + F.coalesce(f"escape{j}", F.lit(0.0)))
-    with shuffles_freed(rows.sparkSession):
-        answers = stored(answers.select("asked", (answer - F.col("own")).alias("more")), "ppm-answers")
-    discard(rest)
-    discard(once)
-    asked = rows.select("rid", F.inline(F.arrays_zip("asked", "often")))
-    return asked.join(answers, "asked").groupBy("rid").agg(F.sum(F.col("often") * F.col("more")).alias("gain"))
-
-
-def score(docs: DataFrame, counts: DataFrame, deep: DataFrame | None = None) -> DataFrame:
-    """The contract's columns for every row of doc_id, held_out, text. ``deep``: the stored contexts, which go once what the
-    tasks lack is taken from them; without it they are worked out from all counts."""
-    spark = docs.sparkSession
-    deep = contexts(counts) if deep is None else deep
-    model = Model(counts, deep)
-    shared = spark.sparkContext.broadcast(model)
-    kept, cut = cut_at(deep, SHARED_GRAMS, "total", F.col("kinds"))
-    if cut:
-        rest = stored(deep.filter(~kept & (F.col("total") < F.col("around"))).select("context", "escape", "grams.symbol", "grams.direct"), "ppm-rest")
-    discard(deep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        words_at = LongTable(model.words)
-        end = float(model.base(np.array(model.ends)))
-        for batch in batches:
-            for rows, raw, offs in blocks(batch, 2, BLOCK_BYTES):
+        return {"upper": self.upper}
+
+
+def _columns(table: pa.Table, kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and values of some rows of units, one after the other."""
+    size = table["size"].to_pylist()
+    keys = [unpacked(k, n, rising=True) for k, n in zip(table["keys"].to_pylist(), size, strict=True)]
+    vals = [unpacked(v, n, kind) for v, n in zip(table["vals"].to_pylist(), size, strict=True)]
+    return tuple(np.concatenate([np.zeros(0, t), *x]) for x, t in ((keys, np.uint64), (vals, kind)))
+
+
+def short_answers(model: Model, buckets: int) -> DataFrame:
+    """The answers to the grams of three bytes and the next, for the buckets of the longer ones (unit -1)."""
+    shared = model.short.sparkSession.sparkContext.broadcast(model)
+
+    def run(table: pa.Table) -> pa.Table:
+        gram = table["key"].to_numpy().view(np.uint64)
+        order = np.argsort(gram)
+        gram = gram[order]
+        *_, last = nested(gram, table["n"].to_numpy()[order], range(ORDER + 1), shared.value.table[cell_of(gram)].astype(np.float64))
+        return part_rows([(GRAMS, -1, *x) for x in dealt(gram, last[-1].view(np.uint64), by_three(gram, buckets))])
+
+    return model.short.groupBy("bucket").applyInArrow(run, PARTS)
+
+
+def answers(parts: DataFrame, short: DataFrame) -> DataFrame:
+    """For each unit its words with their training counts and its grams with their log10 probabilities; for unit -1 the number of
+    different words and of all in training documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind = table["kind"][0].as_py()
+        own = table.filter(pa.compute.greater_equal(table["unit"], 0))
+        keys, n = _columns(own)
+        if not len(keys):
+            return part_rows([])
+        keys, of = np.unique(keys, return_inverse=True)
+        n = np.bincount(of, n, len(keys))
+        rows = []
+        if kind == WORDS:
+            val = n.astype(np.uint64)
+            rows.append((WORDS, -1, 0, 2, None, packed(np.array([(n > 0).sum(), n.sum()], np.uint64))))
+        else:
+            key, known = _columns(table.filter(pa.compute.less(table["unit"], 0)), np.float64)
+            order = np.argsort(key)
+            gram = turned(keys)
+            at = order[np.searchsorted(key[order], gram & np.uint64(0xFFFFFFFF))]
+            *_, last = nested(gram, n, range(ORDER, DEEP + 1), known[at])
+            val = last[-1].astype(np.float32)
+        a = 0
+        for unit, size, k in zip(own["unit"].to_pylist(), own["size"].to_pylist(), own["keys"].to_pylist(), strict=True):
+            rows.append((kind, unit, 0, size, k, packed(val[of[a : a + size]])))
+            a += size
+        release()
+        return part_rows(rows)
+
+    asked = parts.filter(F.col("kind").isin(WORDS, GRAMS)).select("kind", "unit", "bucket", "size", "keys", "vals")
+    return asked.unionByName(short).groupBy("kind", "bucket").applyInArrow(run, PARTS)
+
+
+def unit_scores(docs: pa.Table, words: tuple[np.ndarray, np.ndarray], grams_: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """doc_id, held_out, n_tokens, known, base, score of a unit's texts. base: log10 of each word's count and a half, added up."""
+    words_at, count = LongTable(words[0]), words[1].astype(np.int64)
+    gram = turned(grams_[0])
+    order = np.argsort(gram)
+    gram, bits = gram[order], grams_[1][order].astype(np.float64)
+    weight = np.log10(count + 0.5)
+    for batch in docs.combine_chunks().to_batches():
+        for a in range(0, batch.num_rows, 256):  # a row's number takes the eight bits that a gram leaves
+            for rows, raw, offs in blocks(batch.slice(a, 256), 2, BLOCK_BYTES):
                 raw = LOWER[raw]
-                upper, edges = grams(raw, offs)
-                gram = deep_grams(raw, offs)
-                bits, level = trie_scores(model, gram, cells(upper))
-                code = row_reduce(np.add, bits, edges)
-                open_ = np.flatnonzero(level < LEVELS) if cut else np.zeros(0, np.int64)
-                asked = gram[open_] | level[open_].astype(np.uint64) << np.uint64(56)
-                some, often, parts = tally(np.searchsorted(edges, open_, "right") - 1, asked, rows.num_rows)
-                asked, own = asked[some].view(np.int64), bits[open_[some]].astype(np.float32)
-                words = Words(raw, offs)
-                h = words.hashes()
-                at = words_at.get(h)
-                count = np.where(at >= 0, model.counts[at].astype(np.int64), -1) if len(model.counts) else at
-                base = row_reduce(np.add, np.where(count >= 0, model.base(np.maximum(count, 0)), 0.0), words.edges) + end
-                known = row_reduce(np.add, (count >= 0).astype(np.int64), words.edges) + (model.ends > 0)
-                rare = np.flatnonzero(count < 0)
-                first, times, split = tally(words.row[rare], h[rare], rows.num_rows)
-                key = h[rare[first]].view(np.int64)
+                n = rows.num_rows
+                key = deep_grams(raw, offs) << np.uint64(8) | np.repeat(np.arange(n, dtype=np.uint64), np.diff(offs) + 1)
+                key.sort()
+                each = key >> np.uint64(8)
+                new = np.append(True, each[1:] != each[:-1])
+                at = np.searchsorted(gram, each[new])
+                score = np.bincount((key & np.uint64(255)).astype(np.int64), bits[at[np.cumsum(new) - 1]], n)
+                found = Words(raw, offs)
+                at = words_at.get(found.hashes())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rows.column(0), rows.column(1), pa.array(np.diff(words.edges) + 1), pa.array(known), pa.array(base), pa.array(code),
-                        pa.ListArray.from_arrays(split, pa.array(key)), pa.ListArray.from_arrays(split, pa.array(times.astype(np.int32))),
-                        pa.ListArray.from_arrays(parts, pa.array(asked)), pa.ListArray.from_arrays(parts, pa.array(own)),
-                        pa.ListArray.from_arrays(parts, pa.array(often.astype(np.int32))),
+                        rows.column(0), rows.column(1), pa.array(np.diff(found.edges) + 1), pa.array(row_reduce(np.add, (count[at] > 0).astype(np.int64), found.edges)),
+                        pa.array(row_reduce(np.add, weight[at], found.edges)), pa.array(score), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int64)),
                     ],
-                    names,
+                    ["doc_id", "held_out", "n_tokens", "known", "base", "score", "v", "n"],
                 )
 
-    names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times", "asked", "own", "often"]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, "
-    fields += "rare array<bigint>, times array<int>, asked array<bigint>, own array<float>, often array<int>"
-    rows = docs.select("doc_id", "held_out", "text").mapInArrow(released(run), fields).withColumn("rid", F.monotonically_increasing_id())
-    rows = stored(rows, "ppm-rows")
-    shared.destroy()
-    rare = rows.select("rid", F.inline(F.arrays_zip("rare", "times")))
-    words = counts.filter("kind = 0").select(F.col("key").alias("rare"), "n")
-    n = F.coalesce("n", F.lit(0))
-    sums = rare.join(words, "rare", "left").groupBy("rid").agg(
-        F.sum(F.col("times") * F.log10((n + 0.5) / F.lit(model.divisor))).alias("more"),
-        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("also"),
-    )
-    out = rows.join(sums, "rid", "left")
-    out = out.join(unshared(rows, rest), "rid", "left") if cut else out.withColumn("gain", F.lit(0.0))
-    return out.select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"),
-    )
+
+def unit_rows(parts: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``unit_scores`` for every unit; those without ``held_out`` hold v and n, which add up to V and N."""
+    kind = parts.schema["doc_id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        which = table["kind"]
+        docs = table.filter(pa.compute.equal(which, TEXT)).select(["doc_id", "held_out", "text"])
+        names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "v", "n"]
+        if table["unit"][0].as_py() < 0:
+            v, n = np.sum([unpacked(x, 2).astype(np.int64) for x in table["vals"].to_pylist()], axis=0).tolist()
+            columns = [pa.nulls(1, docs.schema.field("doc_id").type), pa.nulls(1, pa.bool_()), *[pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]]
+            return pa.table([*columns, pa.array([v]), pa.array([n])], names)
+        own = [_columns(table.filter(pa.compute.equal(which, k)), t) for k, t in ((WORDS, np.uint64), (GRAMS, np.float32))]
+        out = pa.Table.from_batches(unit_scores(docs, *own))
+        release()
+        return out
+
+    texts = parts.filter(F.col("kind") == TEXT).select("kind", "unit", "size", "keys", "vals", "doc_id", "held_out", "text")
+    both = texts.unionByName(found.select("kind", "unit", "size", "keys", "vals"), allowMissingColumns=True)
+    fields = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, v bigint, n bigint"
+    return both.groupBy("unit").applyInArrow(run, fields)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """The contract's row for each document."""
-    docs = docs.select("doc_id", "text", (fold(F.col("doc_id"), 5) == 1).alias("held_out"))
-    with shuffles_freed(docs.sparkSession):
-        counts = gather(docs.filter("NOT held_out"))
-        deep = contexts(counts)
-        words = stored(counts.filter("kind < 3"), "ppm-words")
-        discard(counts)
-    return score(docs, words, deep)
+    spark = docs.sparkSession
+    parts = gather(docs.select("doc_id", "text", (fold(F.col("doc_id"), 5) == 1).alias("held_out")))
+    model = Model(parts)
+    found = answers(parts, short_answers(model, bucket_count(spark)))
+    with shuffles_freed(spark):
+        rows = stored(unit_rows(parts, found), "ppm-rows")
+    discard(parts)
+    discard(model.short)
+    sums = rows.agg(
+        F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(~F.col("held_out"), 1)).alias("ends")
+    ).first()
+    tokens = sums.n + sums.ends
+    divisor = float(np.log10(tokens + 0.5 * (sums.v + (1 if sums.ends else 0) + 1)))
+    end = float(np.log10(sums.ends + 0.5))
+    return rows.filter("held_out IS NOT NULL").select(
+        "doc_id", "held_out", "n_tokens",
+        (F.col("known") + F.lit(1 if sums.ends else 0)).alias("n_known"),
+        F.lit(tokens).cast("bigint").alias("train_tokens"),
+        (F.col("base") + F.lit(end) - F.col("n_tokens") * F.lit(divisor)).alias("base_score"),
+        "score",
+    )

@@ -139,6 +139,21 @@ def distinct_by_row(values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray,
     return values, np.searchsorted(row, np.arange(len(edges)))
 
 
+def packed(values: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers as a small binary value: compressed, equal places of all bytes together; ``rising``: sorted, as differences."""
+    if rising:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kind: type = np.uint64, rising: bool = False) -> np.ndarray:
+    """The ``n`` numbers of ``packed``."""
+    wide = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=n * wide, codec="zstd", asbytes=True), np.uint8)
+    values = np.ascontiguousarray(raw.reshape(wide, n).T).view(kind).ravel()
+    return np.cumsum(values, dtype=kind) if rising else values
+
+
 class LongTable:
     """Row numbers of uint64 keys: open addressing in arrays, looked up a whole array at a time."""
 
